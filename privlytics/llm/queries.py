@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pii, secret_scan, url_filter
+from . import chat, decontaminate, language_id, media, pii, secret_scan, url_filter
+from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,21 @@ def _span_digest(kinds: tuple[str, ...], spans: str) -> dict[str, Column]:
     return {f"n_{k}": _count(column, k) for k in kinds} | {"base_sha256": _sha(_joined(base)), "spans": _joined(column)}
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, learn=crc_mod(F.col("doc_id"), 4) != 2)
+    out = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", media.text_payload(F.col("text")).alias("payload"))
+    stored = media.store_media(docs).drop("payload")
+    read = media.read_media(stored, tensor=False)
+    tail = F.substring("stored", -64, 64)
+    return read.select("doc_id", "n_bytes", F.length("stored").cast("long").alias("payload_bytes"), F.sha2("stored", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -111,6 +127,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op2_media": op2_media,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
