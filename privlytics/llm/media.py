@@ -53,7 +53,7 @@ def samples(coefs: np.ndarray, quant: np.ndarray) -> np.ndarray:
 
 
 def rgb_of(planes: list[np.ndarray], height: int, width: int) -> np.ndarray:
-    """Planes (..., h, w) of Y or Y, Cb, Cr to (..., height, width, 3); chroma is repeated up to the size of Y."""
+    """Planes (files, h, w) of Y or Y, Cb, Cr to (files, 3, height, width); chroma is repeated up to the size of Y."""
 
     def full(plane: np.ndarray) -> np.ndarray:
         v, h = -(-planes[0].shape[-2] // plane.shape[-2]), -(-planes[0].shape[-1] // plane.shape[-1])
@@ -61,15 +61,16 @@ def rgb_of(planes: list[np.ndarray], height: int, width: int) -> np.ndarray:
         return plane[..., :height, :width]
 
     y = full(planes[0]).astype(np.int16)
+    out = np.empty((len(y), 3, height, width), np.uint8)
     if len(planes) == 1:
-        return np.stack([y, y, y], axis=-1).astype(np.uint8)
+        out[:] = y[:, None]
+        return out
     cb, cr = planes[1].astype(np.int32) - 128, planes[2].astype(np.int32) - 128
     half = 1 << 15  # fixed-point factors of 1.402, 0.344136, 0.714136, 1.772
     r, b = (91881 * cr + half) >> 16, (116130 * cb + half) >> 16
     g = (-22554 * cb - 46802 * cr + half) >> 16
-    out = np.empty((*y.shape, 3), np.uint8)
     for i, part in enumerate((r, g, b)):
-        out[..., i] = np.clip(y + full(part.astype(np.int16)), 0, 255)
+        out[:, i] = np.clip(y + full(part.astype(np.int16)), 0, 255)
     return out
 
 
@@ -87,18 +88,19 @@ def shape_of(blocks: int) -> tuple[int, int]:
     return columns, -(-units // columns)
 
 
-def _dht(kind: int, symbol: int) -> bytes:
-    return _segment(0xC4, bytes([kind << 4, 1, *[0] * 15, symbol]))
+def _dht(table: int, symbol: int) -> bytes:
+    return _segment(0xC4, bytes([table, 1, *[0] * 15, symbol]))
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
     """(files, bits) to bytes, filled up with ones."""
-    fill = -bits.shape[1] % 8
-    return np.packbits(np.pad(bits, ((0, 0), (0, fill)), constant_values=1), axis=1)
+    fill = np.ones((len(bits), -bits.shape[1] % 8), np.uint8)
+    return np.packbits(np.concatenate([bits, fill], axis=1), axis=1)
 
 
 def _sos(component: int, ss: int, se: int, ah: int, al: int) -> bytes:
-    return _segment(0xDA, bytes([1, component, 0, ss, se, ah << 4 | al]))
+    """Refinement of a band uses the second AC table."""
+    return _segment(0xDA, bytes([1, component, 1 if ss and ah else 0, ss, se, ah << 4 | al]))
 
 
 def encode_many(payloads: np.ndarray, lengths: list[int]) -> list[bytes]:
@@ -110,6 +112,7 @@ def encode_many(payloads: np.ndarray, lengths: list[int]) -> list[bytes]:
     body[:, :blocks] = payloads
     counts, at, parts = (4 * units, units, units), 0, []
     stuffed = lambda packed: [row.tobytes().replace(b"\xff", b"\xff\x00") for row in packed]
+    restarted: list[tuple[bytes, list[bytes]]] = []
     scans: list[tuple[bytes, list[bytes]]] = []
     for c, n in enumerate(counts, 1):
         part = body[:, at : at + n]
@@ -127,19 +130,21 @@ def encode_many(payloads: np.ndarray, lengths: list[int]) -> list[bytes]:
         keep = np.ones(line.shape, bool)
         keep[:, :, 2] = code[:, :, 1] == 0xFF
         keep[:, -1, 3:] = False
-        scans.append((_segment(0xDD, b"\x00\x01") + _dht(0, 8) + _sos(c, 0, 0, 0, 1), [line[i][keep[i]].tobytes() for i in range(files)]))
-        scans.append((_segment(0xDD, b"\x00\x00") + _sos(c, 0, 0, 1, 0), stuffed(_pack(dc & 1))))
+        restarted.append((_sos(c, 0, 0, 0, 1), [line[i][keep[i]].tobytes() for i in range(files)]))
+        scans.append((_sos(c, 0, 0, 1, 0), stuffed(_pack(dc & 1))))
         for ss, se in BANDS:
             band = part[:, :, ss : se + 1]
             bits = np.zeros((*band.shape, 9), np.uint8)
             bits[..., 1:] = np.unpackbits((band >> 1 | 0x80)[..., None], axis=-1)
-            scans.append((_dht(1, 8) + _sos(c, ss, se, 0, 1), stuffed(_pack(bits.reshape(files, -1)))))
+            scans.append((_sos(c, ss, se, 0, 1), stuffed(_pack(bits.reshape(files, -1)))))
             bits = np.zeros((files, n, se - ss + 2), np.uint8)
             bits[:, :, 1:] = band & 1
-            scans.append((_dht(1, 0) + _sos(c, ss, se, 1, 0), stuffed(_pack(bits.reshape(files, -1)))))
+            scans.append((_sos(c, ss, se, 1, 0), stuffed(_pack(bits.reshape(files, -1)))))
     height, width = rows * 16, columns * 16
     frame = _segment(0xDB, bytes([0]) + bytes([1]) * 64) + _segment(0xC2, struct.pack(">BHHB", 8, height, width, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
-    return [b"".join([b"\xff\xd8", _segment(0xFE, b"payload %d" % lengths[i]), frame, *(x for head, data in scans for x in (head, data[i])), b"\xff\xd9"]) for i in range(files)]
+    frame += _dht(0, 8) + _dht(0x10, 8) + _dht(0x11, 0) + _segment(0xDD, b"\x00\x01")
+    scans[0] = _segment(0xDD, b"\x00\x00") + scans[0][0], scans[0][1]
+    return [b"".join([b"\xff\xd8", _segment(0xFE, b"payload %d" % lengths[i]), frame, *(x for head, data in restarted + scans for x in (head, data[i])), b"\xff\xd9"]) for i in range(files)]
 
 
 # --- reading ---------------------------------------------------------------------------------------------------------
@@ -366,8 +371,8 @@ def _planes(coefs: np.ndarray, quant: np.ndarray, across: int) -> np.ndarray:
     return s.transpose(0, 1, 3, 2, 4).reshape(files, n // across * 8, across * 8)
 
 
-def decode_many(files: list[bytes]) -> Iterator[tuple[int, dict, dict[int, np.ndarray], np.ndarray]]:
-    """(position, parsed file, component -> (blocks, 64) coefficients, RGB tensor), in any order."""
+def decode_many(files: list[bytes]) -> Iterator[tuple[int, dict, dict[int, np.ndarray], np.ndarray, str]]:
+    """(position, parsed file, component -> (blocks, 64) coefficients, RGB as (3, height, width), feature), in any order."""
     groups: dict = defaultdict(list)
     for i, data in enumerate(files):
         f = parse(data)
@@ -381,25 +386,27 @@ def decode_many(files: list[bytes]) -> Iterator[tuple[int, dict, dict[int, np.nd
             if coefs is None:
                 for i, _ in part:
                     f, found = decode_file(files[i])
-                    planes = [_planes(c.reshape(1, -1, 64), f["quant"][f["components"][n][2]], c.shape[1])[0] for n, c in found.items()]
-                    yield i, f, {n: c.reshape(-1, 64) for n, c in found.items()}, rgb_of(planes, f["height"], f["width"])
+                    planes = [_planes(c.reshape(1, -1, 64), f["quant"][f["components"][n][2]], c.shape[1]) for n, c in found.items()]
+                    tensors = rgb_of(planes, f["height"], f["width"])
+                    yield i, f, {n: c.reshape(-1, 64) for n, c in found.items()}, tensors[0], features_of(tensors)[0]
                 continue
             comps = part[0][1]["components"]
             planes = [_planes(c, part[0][1]["quant"][comps[n][2]], width // 8 * comps[n][0] // 2) for n, c in coefs.items()]
             tensors = rgb_of(planes, height, width)
+            features = features_of(tensors)
             for j, (i, f) in enumerate(part):
-                yield i, f, {n: c[j] for n, c in coefs.items()}, tensors[j]
+                yield i, f, {n: c[j] for n, c in coefs.items()}, tensors[j], features[j]
 
 
-def feature_of(rgb: np.ndarray) -> str:
-    """Size, mean of each channel in thousandths, and a hash of which of 8 x 8 fields are brighter than the mean."""
-    h, w, _ = rgb.shape
-    total = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
+def features_of(rgb: np.ndarray) -> list[str]:
+    """Of (files, 3, h, w): size, mean of each channel in thousandths, and which of 8 x 8 fields are brighter than the mean."""
+    _, _, h, w = rgb.shape
+    gray = rgb[:, 0].astype(np.int32) + rgb[:, 1] + rgb[:, 2]
     rows, columns = np.linspace(0, h, 9).astype(int)[:-1], np.linspace(0, w, 9).astype(int)[:-1]
-    gray = rgb.sum(axis=2, dtype=np.int32)
-    field = np.add.reduceat(np.add.reduceat(gray, rows, axis=0, dtype=np.int64), columns, axis=1)
-    bright = np.packbits((field * 64 > field.sum()).ravel()).tobytes().hex()
-    return f"{w}x{h}:" + ",".join(str(int(t * 1000 // (h * w))) for t in total) + f":{bright}"
+    field = np.add.reduceat(np.add.reduceat(gray, rows, axis=1, dtype=np.int64), columns, axis=2)
+    bright = np.packbits((field * 64 > field.sum(axis=(1, 2), keepdims=True)).reshape(len(rgb), 64), axis=1)
+    means = rgb.reshape(len(rgb), 3, -1).sum(axis=2, dtype=np.int64) * 1000 // (h * w)
+    return [f"{w}x{h}:{m[0]},{m[1]},{m[2]}:{x.tobytes().hex()}" for m, x in zip(means.tolist(), bright, strict=True)]
 
 
 # --- columns ---------------------------------------------------------------------------------------------------------
@@ -446,10 +453,10 @@ def read_media(df: DataFrame, media: str = "media", payload: bool = True, tensor
         for batch in batches:
             files = batch.column(media).to_pylist()
             out: dict[str, list] = {k: [None] * len(files) for k in new}
-            for i, f, coefs, rgb in decode_many(files):
-                out["height"][i], out["width"][i], out["feature"][i] = f["height"], f["width"], feature_of(rgb)
+            for i, f, coefs, rgb, feature in decode_many(files):
+                out["height"][i], out["width"][i], out["feature"][i] = f["height"], f["width"], feature
                 if tensor:
-                    out["rgb"][i] = rgb.tobytes()
+                    out["rgb"][i] = np.moveaxis(rgb, 0, -1).tobytes()
                 if payload and (m := re.fullmatch(rb"payload (\d+)", f["comment"])):
                     blocks = np.concatenate([coefs[c] for c in f["components"]])
                     out["stored"][i] = (blocks.reshape(-1)[: max(1, -(-int(m[1]) // 64)) * 64] - 256).astype(np.uint8).tobytes()
