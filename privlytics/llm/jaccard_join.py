@@ -4,7 +4,8 @@ Documents link when the Jaccard similarity of their sets of word shingles is at
 the result is each document's component under links.
 
 1. Equal sets become one class, told apart by two 64-bit sums over the set. Along the way a table of ``2**bits`` counters,
-   of fixed size, gathers how often shingles occur: a global order from rare to frequent.
+   chosen by the size of the texts (about 32 shingles a counter, at most 2**25), gathers how often shingles occur: a global
+   order from rare to frequent. Counters are shared by shingles, which only makes some look more frequent than they are.
 2. Two sets that link share a shingle among the first ``n - ceil(t n) + 1`` of each in that order. Tasks send these
    shingles with their class, packed, to the partition of the shingle's hash. Where several classes meet, the smallest is
    the region's leader, and (leader, member) pairs are sent on: all linked pairs lie in a common region. Shingles with
@@ -26,6 +27,7 @@ a component of null ids alone has a null name. Only id and text are read, so oth
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,11 +55,31 @@ def _class_key(found: np.ndarray) -> tuple[int, int]:
         return int(mix(found).sum(dtype=np.uint64).astype(np.int64)), int(mix(found ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64).astype(np.int64))
 
 
+def _count(counters: np.ndarray, pending: list[np.ndarray]) -> None:
+    found, times = np.unique(np.concatenate(pending), return_counts=True)
+    counters[found.astype(np.int64)] += times.astype(np.uint32)
+
+
+def _squeeze(counters: np.ndarray) -> bytes:
+    """Counters as bytes, with those over 254 behind them."""
+    large = np.flatnonzero(counters > 254)
+    low = np.minimum(counters, 255).astype(np.uint8)
+    return zlib.compress(low.tobytes() + large.astype(np.uint32).tobytes() + counters[large].tobytes(), 1)
+
+
+def _unsqueeze(blob: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(blob)
+    out = np.frombuffer(raw[:n], np.uint8).astype(np.int64)
+    large = np.frombuffer(raw[n:], np.uint32).reshape(2, -1)
+    out[large[0]] = large[1]
+    return out
+
+
 def _sets(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
     """(doc_id, n, k1, k2) for each document, and (part, counts) with the task's counters."""
 
     def run(batches: Pairs) -> Pairs:
-        counters = np.zeros(1 << bits, np.int64)
+        counters = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             n, k1, k2, pending, held = [], [], [], [], 0
@@ -66,16 +88,16 @@ def _sets(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
                 n.append(len(found)), k1.append(a), k2.append(b)
                 pending.append(found & np.uint64((1 << bits) - 1))
                 held += len(found)
-                if held > FLUSH // 4:
-                    counters += np.bincount(np.concatenate(pending).astype(np.int64), minlength=1 << bits)
+                if held > FLUSH:
+                    _count(counters, pending)
                     pending, held = [], 0
             if held:
-                counters += np.bincount(np.concatenate(pending).astype(np.int64), minlength=1 << bits)
+                _count(counters, pending)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "n", "k1", "k2", "part", "counts"])
         if counters.any():
-            parts = counters.astype(np.uint32).reshape(64, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(64, batch.column("doc_id").type), pa.nulls(64, pa.int32()), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "n", "k1", "k2", "part", "counts"])
+            parts = counters.reshape(64, -1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(64, batch.column("doc_id").type), pa.nulls(64, pa.int32()), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.array(range(64), pa.int32()), pa.array([_squeeze(p) for p in parts], pa.binary())], names=["doc_id", "n", "k1", "k2", "part", "counts"])
 
     return docs.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, part int, counts binary")
 
@@ -87,19 +109,19 @@ def _sketch(tables: DataFrame, bits: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(blob, np.uint32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in total.values()], pa.binary())], names=["part", "counts"])
+                total[part] = total.get(part, 0) + _unsqueeze(blob, (1 << bits) // 64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_squeeze(np.minimum(v, 2**32 - 1).astype(np.uint32)) for v in total.values()], pa.binary())], names=["part", "counts"])
 
-    out = np.zeros((64, (1 << bits) // 64), np.int64)
+    out = np.zeros((64, (1 << bits) // 64), np.uint32)
     for r in tables.repartition(8, "part").mapInArrow(add, "part int, counts binary").collect():
-        out[r.part] = np.frombuffer(bytes(r.counts), np.int32)
+        out[r.part] = _unsqueeze(bytes(r.counts), (1 << bits) // 64)
     return out.reshape(-1)
 
 
 def _regions(docs: DataFrame, counts: np.ndarray, shingle: int, num: int, den: int, hot: int) -> DataFrame:
     """Distinct (leader, member) pairs of classes, leader included: every linked pair of classes lies in a region."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))  # 2**bits numbers
+    shared = spark.sparkContext.broadcast(counts)  # 2**bits numbers
     targets = max(partitions(spark), 16)
 
     def send(batches: Pairs) -> Pairs:
@@ -180,10 +202,12 @@ def _regions(docs: DataFrame, counts: np.ndarray, shingle: int, num: int, den: i
                 token, key = unpack([blob])
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(key)], names=["token", "member"])
 
-    sent = materialize(docs.mapInArrow(send, "target int, packed binary"), "jaccard-prefixes")
+    any_hot = bool((counts > hot).any())
+    sent = docs.mapInArrow(send, "target int, packed binary")
+    sent = materialize(sent, "jaccard-prefixes") if any_hot else sent
     common = sent.filter(F.col("target") < targets).repartition(targets, "target").mapInArrow(meet, "leader long, member long")
     pairs = common.groupBy("leader", "member").agg(F.lit(1).alias("one"))
-    if (counts > hot).any():
+    if any_hot:
         each = materialize(sent.filter(F.col("target") >= targets).mapInArrow(rows, "token long, member long"), "jaccard-hot")
         leaders = materialize(each.groupBy("token").agg(F.min("member").alias("leader"), F.max("member").alias("last")).filter("leader < last"), "jaccard-leaders")
         pairs = pairs.unionByName(each.join(leaders, "token").groupBy("leader", "member").agg(F.lit(1).alias("one")))
@@ -191,6 +215,23 @@ def _regions(docs: DataFrame, counts: np.ndarray, shingle: int, num: int, den: i
     return materialize(pairs.drop("one"), "jaccard-regions")
 
 
+def _sized(regions: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Regions without members that have no other of a size that could link (leaders stay), and without regions of one.
+
+    Sizes within den / num of each other are at most one step apart on a logarithmic scale of that step.
+    """
+    step = F.floor(F.log(F.col("n")) / F.lit(float(np.log(den / num)) * (1 + 1e-9))).cast("int")
+    sized = regions.join(classes.groupBy("k1").agg(F.max("n").alias("n")), F.col("member") == F.col("k1")).select("leader", "member", step.alias("step"))
+    sized = materialize(sized, "jaccard-steps")
+    counts = sized.groupBy("leader", "step").agg(F.count("*").alias("here"))
+    near = counts.select("leader", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "here")
+    near = materialize(near.groupBy("leader", "step").agg(F.sum("here").alias("near")).filter("near > 1"), "jaccard-near")
+    kept = sized.join(near, ["leader", "step"], "left").filter("near is not null or leader = member").select("leader", "member")
+    kept = materialize(kept, "jaccard-kept")
+    several = materialize(kept.groupBy("leader").count().filter("count > 1").select("leader"), "jaccard-several")
+    return kept.join(several, "leader")
+
+
 # --- signature trees -------------------------------------------------------------------------------------------------
 
 
@@ -363,14 +404,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 3, den: int = 4, bits: int = 20, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 3, den: int = 4, bits: int | None = None, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id of the component), n_copies (rows with an equal set)."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if bits is None:
+        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(25, max(12, (size // 192).bit_length()))
     both = materialize(_sets(source, shingle, bits), "jaccard-sets")
     sets = both.filter("part is null").select("doc_id", "n", "k1", "k2")
     counts = _sketch(both.filter("part is not null").select("part", "counts"), bits)
     classes = materialize(sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
     regions = _regions(source, counts, shingle, num, den, hot)
+    regions = materialize(_sized(regions, classes, num, den), "jaccard-sized")
     # the sets of classes that lie in a region
     wanted = regions.select(F.col("member").alias("k1")).distinct()
     firsts = classes.join(wanted, "k1").select("k1", "first")
@@ -379,13 +424,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     chosen = source.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("first")).select("text")
 
     def tokens(batches: Pairs) -> Pairs:
+        seen: set[int] = set()  # equal rows of this task say nothing new
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
-            found = list(shingle_sets(data, offsets, shingle))
-            yield pa.RecordBatch.from_arrays([pa.array([_class_key(s)[0] if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "tokens"])
+            keys, blobs = [], []
+            for found in shingle_sets(data, offsets, shingle):
+                if len(found) and (key := _class_key(found)[0]) not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    blobs.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "tokens"])
 
-    store = chosen.mapInArrow(tokens, "key long, tokens binary").filter("key is not null")
-    store = materialize(store.dropDuplicates(["key"]), "jaccard-tokens")
+    store = materialize(chosen.mapInArrow(tokens, "key long, tokens binary"), "jaccard-tokens")
     sizes = materialize(regions.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "jaccard-blocks")
     placed = regions.join(sizes, "leader").withColumn("mine", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int"))
     placed = materialize(placed, "jaccard-placed")
