@@ -10,7 +10,9 @@ the result is each document's component under links.
    shingles with their class, packed, to the partition of the shingle's hash. Where several classes meet, the smallest is
    the region's leader, and (leader, member) pairs are sent on: all linked pairs lie in a common region. Shingles with
    counts over ``hot`` are dealt by rows instead, with their leader found by partial minimums.
-3. Regions are cut into blocks of ``block`` members. In each block, with the leader, a signature tree is built over the
+3. Members without any other of a size that could link leave. Regions are cut into blocks of ``block`` members. In regions
+   of one block a signature tree over bitmaps alone, a few bytes a member, keeps those members that may link with another;
+   only their sets are fetched. In each block, with the leader, a signature tree is built over the
    members' sets: members sorted by size, nodes with OR-combined bitmaps of token bits and size ranges. Dual traversal
    leaves out node pairs whose maximum possible overlap is too small or whose members are connected already; pairs at
    the leaves are verified on the exact sets. Only links that join two components are sent on.
@@ -238,15 +240,11 @@ def _sized(regions: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
 class SignatureTree:
     """Members sorted by size; level 0 are the members, each node above holds up to ``fan`` of the level below."""
 
-    def __init__(self, sets: list[np.ndarray], width: int, fan: int = 8):
-        self.order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-        size = np.array([len(sets[i]) for i in self.order], np.int64)
-        maps = np.zeros((len(sets), width), np.uint8)
-        for row, i in enumerate(self.order):
-            maps[row, (mix(sets[i]) % np.uint64(width)).astype(np.int64)] = 1
-        packed = np.packbits(maps, axis=1).view(np.uint64)
-        excess = size - maps.sum(axis=1, dtype=np.int64)  # tokens that share a bit
-        self.levels = [(packed, size, size, excess)]
+    def __init__(self, sizes: list[int], maps: np.ndarray, excess: np.ndarray, fan: int = 8):
+        """``maps``: bitmaps as rows of 64-bit numbers; ``excess``: at least each one's tokens that share a bit with another."""
+        self.order = np.argsort(np.array(sizes, np.int64), kind="stable")
+        size = np.array(sizes, np.int64)[self.order]
+        self.levels = [(maps[self.order], size, size, excess[self.order])]
         self.fan = fan
         while len(self.levels[-1][0]) > 1:
             bits, lo, hi, extra = self.levels[-1]
@@ -254,6 +252,24 @@ class SignatureTree:
             self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(extra, at)))
 
 
+def signature(found: np.ndarray, width: int) -> np.ndarray:
+    """Bitmap of a set, ``width`` bits (a power of 2, 64 at least) as 64-bit numbers."""
+    bits = np.zeros(width, np.uint8)
+    bits[(mix(found) & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def _width(n: int) -> int:
+    return min(1 << 15, 1 << max(6, int(2 * n).bit_length()))
+
+
+def _tree(sizes: list[int], maps: list[np.ndarray]) -> SignatureTree:
+    """Of bitmaps of any widths: narrow ones are repeated up to the widest, which adds bits but loses none."""
+    words = max(len(m) for m in maps)
+    excess = np.array([n - int(np.bitwise_count(m).sum()) for n, m in zip(sizes, maps, strict=True)], np.int64)
+    return SignatureTree(sizes, np.stack([np.tile(m, words // len(m)) for m in maps]), excess)
+
+
 def possible(a: SignatureTree, la: int, ia: np.ndarray, b: SignatureTree, lb: int, ib: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether the node pairs may hold linked members: at most common bits + shared-bit tokens overlap, and no more than the smaller size."""
     (x, lox, hix, ex), (y, loy, hiy, ey) = a.levels[la], b.levels[lb]
@@ -295,6 +311,35 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return both * den >= num * (len(a) + len(b) - both)
 
 
+def dual_walk(a: SignatureTree, b: SignatureTree, num: int, den: int, leaf) -> None:
+    """Calls ``leaf`` with arrays of member pairs that may link; each pair once where ``a`` is ``b``."""
+
+    def walk(la: int, lb: int, ia: np.ndarray, ib: np.ndarray) -> None:
+        while len(ia):
+            ok = possible(a, la, ia, b, lb, ib, num, den)
+            if a is b:
+                ok &= ia < ib if la == 0 else ia <= ib
+            ia, ib = ia[ok], ib[ok]
+            if la == lb == 0:
+                leaf(a.order[ia], b.order[ib])
+                return
+            if len(ia) > 1 << 12:  # piecewise, so that what is found early prunes what comes later
+                for at in range(0, len(ia), 1 << 11):
+                    walk(la, lb, ia[at : at + (1 << 11)], ib[at : at + (1 << 11)])
+                return
+            if la >= lb:
+                ia, parent = _children(a, la, ia)
+                ib, la = ib[parent], la - 1
+                if a is b:
+                    ib, parent = _children(b, lb, ib)
+                    ia, lb = ia[parent], lb - 1
+            else:
+                ib, parent = _children(b, lb, ib)
+                ia, lb = ia[parent], lb - 1
+
+    walk(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+
 def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, comps: list[int], num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect members: of ``left`` among themselves, or of ``left`` with ``right`` (numbered behind).
 
@@ -317,41 +362,63 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, comps: li
             for j in range(len(left), len(sets)) if right else range(i + 1, len(left)):
                 verify(i, j)
         return links
-    width = 1 << max(7, int(4 * np.median([len(s) for s in sets])).bit_length())
-    width = min(width, 1 << 15)
-    a = SignatureTree(left, width)
-    b = SignatureTree(right, width) if right else a
-    shift = len(left) if right else 0
+    tree = lambda part: _tree([len(s) for s in part], [signature(s, _width(len(s))) for s in part])
+    a = tree(left)
+    b, shift = (tree(right), len(left)) if right else (a, 0)
+    if right and len(a.levels[0][0][0]) != len(b.levels[0][0][0]):  # both trees of the same width
+        words = max(len(a.levels[0][0][0]), len(b.levels[0][0][0]))
+        for t in (a, b):
+            t.levels = [(np.tile(bits, (1, words // bits.shape[1])), *rest) for bits, *rest in t.levels]
+
+    def leaf(ia: np.ndarray, ib: np.ndarray) -> None:
+        roots = np.array([union.find(i) for i in range(len(sets))])
+        other = roots[ia] != roots[ib + shift]
+        for i, j in zip(ia[other].tolist(), (ib[other] + shift).tolist(), strict=True):
+            verify(i, j)
+
+    dual_walk(a, b, num, den, leaf)
+    return links
 
-    def walk(la: int, lb: int, ia: np.ndarray, ib: np.ndarray) -> None:
-        while len(ia):
-            ok = possible(a, la, ia, b, lb, ib, num, den)
-            if not right:
-                ok &= ia <= ib
-            ia, ib = ia[ok], ib[ok]
-            if la == lb == 0:
-                roots = np.array([union.find(i) for i in range(len(sets))])
-                oa, ob = np.array(a.order), np.array(b.order) + shift
-                other = roots[oa[ia]] != roots[ob[ib]]
-                for i, j in zip(oa[ia[other]].tolist(), ob[ib[other]].tolist(), strict=True):
-                    verify(i, j)
-                return
-            if len(ia) > 1 << 12:  # piecewise, so that what is found early prunes what comes later
-                for at in range(0, len(ia), 1 << 11):
-                    walk(la, lb, ia[at : at + (1 << 11)], ib[at : at + (1 << 11)])
-                return
-            if la >= lb and la:
-                ia, parent = _children(a, la, ia)
-                ib, la = ib[parent], la - 1
-                if not right:
-                    ib, parent = _children(b, lb, ib)
-                    ia, lb = ia[parent], lb - 1
-            else:
-                ib, parent = _children(b, lb, ib)
-                ia, lb = ia[parent], lb - 1
 
-    walk(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
-    return links
+def _grouped(batches: Pairs, *names: str) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of sorted batches by their first two columns."""
+    current, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if row[:2] != current:
+                if held:
+                    yield current, held
+                current, held = row[:2], []
+            held.append(row[2:])
+    if held:
+        yield current, held
+
+
+def _survivors(placed: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
+    """Members of regions of one block, without those whose bitmaps say that they link with no other there."""
+    targets = 4 * max(partitions(placed.sparkSession), 16)
+
+    def run(batches: Pairs) -> Pairs:
+        out: list[tuple[int, int]] = []
+        for (leader, _), rows in _grouped(batches, "leader", "blocks", "member", "n", "bits"):
+            keep = np.zeros(len(rows), bool)
+
+            def leaf(ia: np.ndarray, ib: np.ndarray, keep: np.ndarray = keep) -> None:
+                keep[ia] = keep[ib] = True
+
+            if len(rows) > 1:
+                tree = _tree([r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows])
+                dual_walk(tree, tree, num, den, leaf)
+            out += [(leader, r[0]) for r, k in zip(rows, keep, strict=True) if k]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["leader", "member"])
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["leader", "member"])
+
+    one = placed.filter("blocks = 1").join(bitmaps, F.col("member") == F.col("key")).select("leader", "blocks", "member", "n", "bits")
+    dealt = one.repartition(targets, "leader").sortWithinPartitions("leader", "member")
+    kept = dealt.mapInArrow(run, "leader long, member long").withColumn("blocks", F.lit(1)).withColumn("mine", F.lit(0))
+    return placed.filter("blocks > 1").select("leader", "member", "blocks", "mine").unionByName(kept)
 
 
 def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -359,30 +426,19 @@ def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
     targets = 4 * max(partitions(rows.sparkSession), 16)
 
     def run(batches: Pairs) -> Pairs:
-        current: tuple | None = None
-        held: list[tuple[int, int, int, np.ndarray]] = []
-
-        def finish() -> list[tuple[int, int]]:
-            left = [h for h in held if h[0] == 0]
-            right = [h for h in held if h[0] == 1]
-            if not left or len(held) < 2:
-                return []
-            every = left + right
-            found = tree_links([h[3] for h in left], [h[3] for h in right] if right else None, [h[2] for h in every], num, den)
-            return [(every[i][1], every[j][1]) for i, j in found]
-
         out: list[tuple[int, int]] = []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("region", "task", "side", "member", "comp", "tokens")]
-            for region, task, side, member, comp, tokens in zip(*cols, strict=True):
-                if (region, task) != current:
-                    out += finish()
-                    current, held = (region, task), []
-                held.append((side, member, comp, np.frombuffer(tokens, np.uint64)))
-            if out:
+        for _, rows in _grouped(batches, "region", "task", "side", "member", "comp", "tokens"):
+            left = [r for r in rows if r[0] == 0]
+            right = [r for r in rows if r[0] == 1]
+            if not left or len(rows) < 2:
+                continue
+            every = left + right
+            sets = [np.frombuffer(r[3], np.uint64) for r in every]
+            found = tree_links(sets[: len(left)], sets[len(left) :] or None, [r[2] for r in every], num, den)
+            out += [(every[i][1], every[j][1]) for i, j in found]
+            if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
                 out = []
-        out = finish()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     dealt = rows.select("region", "task", "side", "member", "comp", "tokens").repartition(targets, "region", "task").sortWithinPartitions("region", "task", "side", "member")
@@ -404,6 +460,30 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _of_classes(source: DataFrame, classes: DataFrame, placed: DataFrame, shingle: int, make, schema: str) -> DataFrame:
+    """(key, *schema) made from the set of each class in ``placed``; computed anew from one of its texts."""
+    wanted = placed.select(F.col("member").alias("k1")).distinct()
+    ids = materialize(classes.join(wanted, "k1").filter("first is not null").groupBy("first").agg(F.min("k1").alias("k1")), "jaccard-wanted")
+    small = ids.count() * 64 <= 64 << 20
+    chosen = source.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("first")).select("text")
+    full = f"key long, {schema}"
+    names = [part.split()[0] for part in full.split(",")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[part.split()[1]] for part in full.split(",")]
+
+    def run(batches: Pairs) -> Pairs:
+        seen: set[int] = set()  # equal rows of this task say nothing new
+        for batch in batches:
+            data, offsets = texts_of(batch.column("text"))
+            rows = []
+            for found in shingle_sets(data, offsets, shingle):
+                if len(found) and (key := _class_key(found)[0]) not in seen:
+                    seen.add(key)
+                    rows.append([key, *make(found)])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    return chosen.mapInArrow(run, full)
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 3, den: int = 4, bits: int | None = None, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id of the component), n_copies (rows with an equal set)."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -416,29 +496,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = materialize(sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
     regions = _regions(source, counts, shingle, num, den, hot)
     regions = materialize(_sized(regions, classes, num, den), "jaccard-sized")
-    # the sets of classes that lie in a region
-    wanted = regions.select(F.col("member").alias("k1")).distinct()
-    firsts = classes.join(wanted, "k1").select("k1", "first")
-    ids = materialize(firsts.filter("first is not null").groupBy("first").agg(F.min("k1").alias("k1")), "jaccard-wanted")
-    small = ids.count() * 64 <= 64 << 20
-    chosen = source.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("first")).select("text")
-
-    def tokens(batches: Pairs) -> Pairs:
-        seen: set[int] = set()  # equal rows of this task say nothing new
-        for batch in batches:
-            data, offsets = texts_of(batch.column("text"))
-            keys, blobs = [], []
-            for found in shingle_sets(data, offsets, shingle):
-                if len(found) and (key := _class_key(found)[0]) not in seen:
-                    seen.add(key)
-                    keys.append(key)
-                    blobs.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "tokens"])
-
-    store = materialize(chosen.mapInArrow(tokens, "key long, tokens binary"), "jaccard-tokens")
     sizes = materialize(regions.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "jaccard-blocks")
     placed = regions.join(sizes, "leader").withColumn("mine", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int"))
     placed = materialize(placed, "jaccard-placed")
+    bitmaps = materialize(_of_classes(source, classes, placed, shingle, lambda found: [len(found), signature(found, _width(len(found))).tobytes()], "n int, bits binary"), "jaccard-bitmaps")
+    placed = materialize(_survivors(placed, bitmaps, num, den), "jaccard-survivors")
+    store = materialize(_of_classes(source, classes, placed, shingle, lambda found: [found.tobytes()], "tokens binary"), "jaccard-tokens")
     inside = placed.select(F.col("leader").alias("region"), F.explode(F.when(F.col("leader") == F.col("member"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))).alias("task"), "member")
     rows = inside.join(store, F.col("member") == F.col("key")).select("region", F.col("task").cast("string").alias("task"), F.lit(0).alias("side"), "member", F.col("member").alias("comp"), "tokens")
     links = _search(rows, num, den)
