@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, language_id, media, pii, secret_scan, url_filter
+from . import chat, decontaminate, jaccard_join, language_id, lm_score, media, pii, secret_scan, url_filter
 from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(c.alias(n) for n, c in _span_digest(secret_scan.BASE, "secrets").items()), live.alias("n_live"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = F.coalesce(crc_mod(F.col("doc_id"), 5) != 1, F.lit(True))
+    return lm_score.score(docs, lm_score.fit(docs, learn), learn)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -137,6 +143,7 @@ QUERIES: dict[str, Query] = {
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
+    "op8_lm_score": op8_lm_score,
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
 }
