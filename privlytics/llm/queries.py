@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, language_id, lm_score, media, pii, secret_scan, url_filter
+from . import chat, decontaminate, jaccard_join, language_id, lm_score, media, mixing, pii, secret_scan, url_filter
 from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,17 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(c.alias(n) for n, c in _span_digest(secret_scan.BASE, "secrets").items()), live.alias("n_live"))
 
 
+#: Shares of tokens by domain that the mix is to have.
+TARGETS = {"high": 0.85, "low": 0.15, "toxic": 0.0}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rates = mixing.mix_sources(docs, mixing.label_domains(table(spark, sf_dir, "labels")), TARGETS)
+    out = mixing.join_rates(docs, rates)
+    return out.select("doc_id", F.col("tokens").alias("n_tokens"), *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))), "rate")
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learn = F.coalesce(crc_mod(F.col("doc_id"), 5) != 1, F.lit(True))
@@ -143,6 +154,7 @@ QUERIES: dict[str, Query] = {
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
+    "op7_mixing": op7_mixing,
     "op8_lm_score": op8_lm_score,
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
