@@ -30,10 +30,10 @@ def test_rates_fit(spark):
 
 
 def test_mix_cases(spark):
-    docs = spark.createDataFrame([(i, t, 9.0) for i, t in enumerate(["good fine words", "bad bad clown", None, "", "other text"] * 8)] + [(0, "good fine words", 9.0), (None, "clown", 9.0)], "doc_id long, text string, rate double")
-    labels = spark.createDataFrame([(i, "toxic" if i % 5 == 1 else "high") for i in range(40) if i % 5 < 2] + [(999, "high"), (None, "low"), (4, None)], "doc_id long, domain string")
+    docs = spark.createDataFrame([(i, t, 9.0) for i, t in enumerate(["good fine words", "bad bad clown", None, "", "other text"] * 60)] + [(0, "good fine words", 9.0), (None, "clown", 9.0)], "doc_id long, text string, rate double")
+    labels = spark.createDataFrame([(i, "toxic" if i % 5 == 1 else "high") for i in range(300) if i % 5 < 2] + [(999, "high"), (None, "low"), (4, None)], "doc_id long, domain string")
     out = mixing.join_rates(docs, mixing.mix_sources(docs, labels, {"high": 1.0, "toxic": 0.0})).collect()
-    assert len(out) == 42 and all(r.rate is not None and r.rate >= 0 for r in out)
+    assert len(out) == 302 and all(r.rate is not None and r.rate >= 0 for r in out)
     high = {r.text: r.p[0] for r in out}
     assert high["good fine words"] > 0.9 > 0.5 > high["bad bad clown"]
     assert len({r.rate for r in out if r.doc_id == 0}) == 1
