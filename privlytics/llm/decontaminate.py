@@ -59,7 +59,8 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str =
     def matches(n: int) -> DataFrame:
         cols = [F.col("w"), *(F.slice("w", F.lit(i + 1), F.greatest(F.col("n_words") - i, F.lit(0))) for i in range(1, n))]
         zipped = F.arrays_zip(*(c.alias(f"c{i}") for i, c in enumerate(cols))) if n > 1 else F.transform("w", lambda x: F.struct(x.alias("c0")))
-        named = source.select("doc_id", "row_hash", "n_words", F.posexplode(zipped.cast("array<struct<" + ",".join(f"c{i}:string" for i in range(n)) + ">>")).alias("pos", "c"))
+        named = source.select("doc_id", "row_hash", "n_words", F.posexplode_outer(zipped.cast("array<struct<" + ",".join(f"c{i}:string" for i in range(n)) + ">>")).alias("pos", "c"))
+        # outer: for the inner one Spark infers a filter that repeats the regular expression; nulls are filtered next
         text_of = F.concat_ws(" ", *(F.col(f"c.c{i}") for i in range(n)))
         rows = named.filter(F.col(f"c.c{n - 1}").isNotNull()).select("doc_id", "row_hash", "n_words", "pos", text_of.alias("found")).withColumn("key", F.lower("found"))
         return rows.join(known.filter(F.col("k") == n), "key").filter(ascii_lower(F.col("found")) == F.col("shingle")).select("doc_id", "row_hash", "n_words", "pos", "shingle")
