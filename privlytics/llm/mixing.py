@@ -31,7 +31,10 @@ TOKEN = r"[\p{L}\p{N}]++|[^\p{L}\p{N}\s]++"
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, n, tokens): n tokens, and the distinct ones with marks."""
+    """(doc_id, row_hash, n, tokens): n tokens, and the distinct ones with marks.
+
+    To be exploded with ``explode_outer``: for ``explode`` Spark infers a filter that repeats the regular expressions.
+    """
     text = F.lower(F.coalesce("text", F.lit("")))
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("all"))
     base = base.select("doc_id", "row_hash", F.size("all").alias("n"), F.array_distinct("all").alias("d"))
@@ -50,7 +53,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], sampl
     drawn = materialize(known.filter(F.crc32(F.concat(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / 2.0**32 < rate), "mix-labels")
     # about ``sample`` rows of two short columns
     rows = docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "domain", "text")
-    seen = _features(rows.withColumn("doc_id", F.struct("doc_id", "domain"))).select(F.col("doc_id.domain").alias("domain"), F.explode("tokens").alias("token"))
+    seen = _features(rows.withColumn("doc_id", F.struct("doc_id", "domain"))).select(F.col("doc_id.domain").alias("domain"), F.explode_outer("tokens").alias("token"))
     df = seen.groupBy("token").agg(*(F.count_if(F.col("domain") == d).alias(f"d{i}") for i, d in enumerate(domains)))
     df = materialize(df, "mix-counts")
     totals = df.filter(F.col("token") == "\n").first()
@@ -91,7 +94,7 @@ def _platt(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float, float
 
 def _sums(docs: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """(doc_id, row_hash, n, copies, s array<double>): sums of the weights of each (id, text), within bounds."""
-    each = _features(docs).select("doc_id", "row_hash", "n", F.explode("tokens").alias("token"))
+    each = _features(docs).select("doc_id", "row_hash", "n", F.explode_outer("tokens").alias("token"))
     hit = each.join(F.broadcast(weights), "token")  # at most ``vocabulary`` + 1 rows
     # the token of every document counts the rows, so that repeated rows do not add up
     summed = hit.groupBy("doc_id", "row_hash", "n").agg(F.count_if(F.col("token") == "\n").alias("copies"), *(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)))
