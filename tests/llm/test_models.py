@@ -211,6 +211,16 @@ def test_gradients():
         assert abs((up - down) / (2 * step) - g[k][at]) < 1e-4, k
 
 
+def test_scoring_tables_agree_with_forward():
+    rng = np.random.default_rng(6)
+    m = {k: (v + rng.normal(0, 0.2, v.shape)).astype(np.float32) for k, v in lm_score.new_model().items()}
+    x, y = lm_score.windows(rng.integers(0, lm_score.CLASSES, 2500))
+    z = lm_score.forward(m, x)["z"].astype(np.float64)
+    t = y.reshape(-1)
+    want = np.where(t >= 0, (z[np.arange(len(t)), np.maximum(t, 0)] - np.log(np.exp(z).sum(axis=1))) / math.log(10), 0)
+    assert np.abs(lm_score.log10_of(m, x, y) - want).max() < 1e-3
+
+
 def test_lm_scores(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (None, "the end"), (-1, None)], "doc_id long, text string"))
     rows = docs.collect()
