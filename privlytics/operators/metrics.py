@@ -22,9 +22,10 @@ def entity_scores(gold: DataFrame, pred: DataFrame, by: str = "detector") -> Dat
 
 
 def leak_rates(subjects: DataFrame, *by: str) -> DataFrame:
+    """Counts, missed share and its Wilson interval, rounded to 12 digits as its bounds may miss 0 by rounding."""
     n = subjects.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(F.col("detected")).alias("detected"), F.count_if(~F.col("detected")).alias("missed"))
     low, high = wilson(F.col("missed"), F.col("total"))
-    return n.select(*by, "total", "detected", "missed", (F.col("missed") / F.col("total").cast("double")).alias("leak_rate"), low.alias("ci_low"), high.alias("ci_high"))
+    return n.select(*by, "total", "detected", "missed", (F.col("missed") / F.col("total").cast("double")).alias("leak_rate"), F.round(low, 12).alias("ci_low"), F.round(high, 12).alias("ci_high"))
 
 
 def name_context(persons: DataFrame, ids: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def sub3(spark, sf_dir):
     return subjects.person_subjects(_rows(spark, sf_dir))
 
 
-_LEAK = f"SELECT {{by}}, count(*) AS total, count(*) FILTER (detected) AS detected, count(*) FILTER (NOT detected) AS missed, count(*) FILTER (NOT detected) * 1.0e0 / count(*) AS leak_rate, {_wilson('count(*) FILTER (NOT detected)', 'count(*)', '-')} AS ci_low, {_wilson('count(*) FILTER (NOT detected)', 'count(*)', '+')} AS ci_high FROM {{src}} GROUP BY {{by}}"
+_LEAK = f"SELECT {{by}}, count(*) AS total, count(*) FILTER (detected) AS detected, count(*) FILTER (NOT detected) AS missed, count(*) FILTER (NOT detected) * 1.0e0 / count(*) AS leak_rate, round({_wilson('count(*) FILTER (NOT detected)', 'count(*)', '-')}, 12) AS ci_low, round({_wilson('count(*) FILTER (NOT detected)', 'count(*)', '+')}, 12) AS ci_high FROM {{src}} GROUP BY {{by}}"
 
 
 @query("met6_national_id_leakage", f"WITH {_IDS} {_LEAK.format(by='detector, country', src='sub')}")
