@@ -118,6 +118,13 @@ def _sample(docs: DataFrame, per_lang: int, max_langs: int, learn: Column) -> Da
     return drawn.mapInArrow(count, "key string, lang string, ids array<int>, counts array<float>, calib boolean")
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as views of its buffer: no Python object for each number."""
+    whole = pa.concat_arrays(column.chunks)
+    offsets, values = whole.offsets.to_numpy(), whole.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
@@ -132,8 +139,7 @@ def fit(docs: DataFrame, learn: Column | None = None, per_lang: int = 1000, max_
     if not langs:
         return {"langs": [], "table": np.zeros(((1 << BITS) + 1, 1), np.float32), "bias": np.zeros(0), "temperature": 1.0, "threshold": 1.0}
     y = np.searchsorted(langs, lang)
-    ids = [np.asarray(x, np.int64) for x in rows["ids"].to_pylist()]
-    counts = [np.asarray(x, np.float32) for x in rows["counts"].to_pylist()]
+    ids, counts = _views(rows["ids"]), _views(rows["counts"])
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, ((1 << BITS) + 1, DIM)).astype(np.float32)
     emb[-1] = 0
