@@ -15,10 +15,14 @@ DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 BALTIC_FIRST, BALTIC_SECOND = (1, 2, 3, 4, 5, 6, 7, 8, 9, 1), (3, 4, 5, 6, 7, 8, 9, 1, 2, 3)
 EMSO_WEIGHTS = (7, 6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2)
 BSN_WEIGHTS = (9, 8, 7, 6, 5, 4, 3, 2, -1)
+# by letter A to Z, or digit
+CF_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
+CF_MONTHS, CF_OMOCODIA = "ABCDEHLMPRST", "LMNPQRSTUV"
+HETU_CONTROLS = "0123456789ABCDEFHJKLMNPRSTUVWXY"
 
 
 def digit(v: Column, i: int) -> Column:
-    return F.ascii(F.substring(v, i, 1)) - 48
+    return (F.ascii(F.substring(v, i, 1)) - 48).cast("long")
 
 
 def number(v: Column, start: int, n: int) -> Column:
@@ -109,9 +113,90 @@ def parse_si(value: Column) -> Column:
     valid = _digits(v, 13) & (F.when(rem >= 10, 0).otherwise(rem) == digit(v, 13)) & plausible_date(year, m, d)
     return _result(valid, F.when(number(v, 10, 3) < 500, "M").otherwise("F"), _date(year, m, d), F.substring(v, 8, 2))
 
-
-PARSERS: dict[str, Callable[[Column], Column]] = {"RO": parse_ro, "PL": parse_pl, "ES": parse_es, "DE": parse_de, "NL": parse_nl, "EE": parse_baltic, "LT": parse_baltic, "SI": parse_si}
-DECODE_BEARING = ("RO", "PL", "EE", "LT", "SI")
+def _letter_index(c: Column) -> Column:
+    """0 to 9 for digits, 0 to 25 for letters."""
+    code = F.ascii(c)
+    return F.when(code < 58, code - 48).otherwise(code - 65).cast("int")
+
+
+def parse_it(value: Column) -> Column:
+    """Two-digit years: dates are yy-mm-dd; February has 29 days. Letters that stand for digits are read as these."""
+    v = F.upper(F.trim(value))
+    part = lambda i: _letter_index(F.substr(v, i, F.lit(1)))
+    table = F.array(*map(F.lit, CF_ODD))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.when(i % 2 == 1, F.get(table, part(i))).otherwise(part(i)))
+    total = F.aggregate(terms, F.lit(0), lambda a, x: a + x) % 26
+    back = lambda start, n: F.translate(F.substring(v, start, n), CF_OMOCODIA, "0123456789")
+    yy, dd, place = back(7, 2), back(10, 2), F.concat(F.substring(v, 12, 1), back(13, 3))
+    month = F.instr(F.lit(CF_MONTHS), F.substring(v, 9, 1))
+    day = number(dd, 1, 2)
+    real = F.when(day > 40, day - 40).otherwise(day)
+    shape = v.rlike("^[A-Z]{6}[A-Z0-9]{10}$") & yy.rlike("^[0-9]{2}$") & dd.rlike("^[0-9]{2}$")
+    valid = shape & (F.char(total + 65) == F.substring(v, 16, 1)) & (month > 0) & plausible_date(F.lit(2000), month, real)
+    return _result(valid, F.when(day > 40, "F").otherwise("M"), F.concat_ws("-", yy, F.format_string("%02d-%02d", month, real.cast("int"))), place)
+
+
+def parse_fr(value: Column) -> Column:
+    """Two-digit years and no day: dates are yy-mm, null where the month is not known."""
+    v = F.replace(F.upper(F.trim(value)), F.lit(" "), F.lit(""))
+    dept = F.substring(v, 6, 2)
+    body = F.concat(F.substring(v, 1, 5), F.when(dept == "2A", "19").when(dept == "2B", "18").otherwise(dept), F.substring(v, 8, 6))
+    month = number(v, 4, 2)
+    valid = v.rlike("^[0-9]{5}([0-9]{2}|2A|2B)[0-9]{8}$") & (97 - number(body, 1, 13) % 97 == number(v, 14, 2))
+    sex = F.when(digit(v, 1) == 1, "M").when(digit(v, 1) == 2, "F")
+    return _result(valid, sex, F.when(month.between(1, 12), F.concat_ws("-", F.substring(v, 2, 2), F.substring(v, 4, 2))), dept)
+
+
+def parse_se(value: Column) -> Column:
+    """Dates are yyyy-mm-dd for twelve digits, else yy-mm-dd; a day over 60 is that day less 60."""
+    full = F.translate(F.trim(value), "-+ ", "")
+    long = _digits(full, 12)
+    v = F.when(long, F.substring(full, 3, 10)).otherwise(full)
+    doubled = lambda i: digit(v, i) * 2 - F.when(digit(v, i) > 4, 9).otherwise(0)
+    total = sum((digit(v, i) for i in (2, 4, 6, 8)), sum((doubled(i) for i in (3, 5, 7, 9)), doubled(1)))
+    y, m, d = number(v, 1, 2), number(v, 3, 2), number(v, 5, 2)
+    day = F.when(d > 60, d - 60).otherwise(d)
+    year = number(full, 1, 4)
+    dated = F.when(long, plausible_date(year, m, day)).otherwise(m.between(1, 12) & day.between(1, 31))
+    valid = _digits(v, 10) & ((10 - total % 10) % 10 == digit(v, 10)) & dated
+    short = F.format_string("%02d-%02d-%02d", y.cast("int"), m.cast("int"), day.cast("int"))
+    return _result(valid, F.when(digit(v, 9) % 2 == 1, "M").otherwise("F"), F.when(long, _date(year, m, day)).otherwise(short))
+
+
+def parse_cz(value: Column) -> Column:
+    v = F.translate(F.trim(value), "/ ", "")
+    raw = number(v, 3, 2)
+    woman = raw.between(51, 62) | raw.between(71, 82)
+    base = F.when(woman, raw - 50).otherwise(raw)
+    month = F.when(base.between(21, 32), base - 20).otherwise(base)
+    ten, yy = _digits(v, 10), number(v, 1, 2)
+    check = (number(v, 1, 10) % 11 == 0) | ((number(v, 1, 9) % 11 == 10) & (digit(v, 10) == 0))
+    year = F.when(ten & (yy < 54), 2000 + yy).otherwise(1900 + yy)
+    valid = (_digits(v, 9) | (ten & check)) & plausible_date(year, month, number(v, 5, 2))
+    return _result(valid, F.when(woman, "F").otherwise("M"), _date(year, month, number(v, 5, 2)))
+
+
+def parse_dk(value: Column) -> Column:
+    v = F.translate(F.trim(value), "- ", "")
+    mark, yy = digit(v, 7), number(v, 5, 2)
+    century = F.when(mark <= 3, 1900).when(mark.isin(4, 9), F.when(yy < 37, 2000).otherwise(1900)).otherwise(F.when(yy < 58, 2000).otherwise(1800))
+    m, d = number(v, 3, 2), number(v, 1, 2)
+    return _result(_digits(v, 10) & plausible_date(century + yy, m, d), F.when(digit(v, 10) % 2 == 1, "M").otherwise("F"), _date(century + yy, m, d))
+
+
+def parse_fi(value: Column) -> Column:
+    v = F.upper(F.trim(value))
+    mark = F.substring(v, 7, 1)
+    century = F.when(mark == "+", 1800).when(mark.isin(*"-YXWVU"), 1900).otherwise(2000)
+    whole = number(v, 1, 6) * 1000 + number(v, 8, 3)
+    control = F.substr(F.lit(HETU_CONTROLS), (F.pmod(whole, F.lit(31)) + 1).cast("int"), F.lit(1))
+    year, m, d = century + number(v, 5, 2), number(v, 3, 2), number(v, 1, 2)
+    valid = v.rlike("^[0-9]{6}[-+YXWVUABCDEF][0-9]{3}[0-9A-Z]$") & (control == F.substring(v, 11, 1)) & plausible_date(year, m, d)
+    return _result(valid, F.when(digit(v, 10) % 2 == 1, "M").otherwise("F"), _date(year, m, d))
+
+
+PARSERS: dict[str, Callable[[Column], Column]] = {"RO": parse_ro, "PL": parse_pl, "ES": parse_es, "DE": parse_de, "NL": parse_nl, "EE": parse_baltic, "LT": parse_baltic, "SI": parse_si, "IT": parse_it, "FR": parse_fr, "SE": parse_se, "CZ": parse_cz, "SK": parse_cz, "DK": parse_dk, "FI": parse_fi}
+DECODE_BEARING = ("RO", "PL", "EE", "LT", "SI", "IT", "FR", "SE", "CZ", "SK", "DK", "FI")
 
 
 def parse(country: Column, value: Column) -> Column:

@@ -120,6 +120,15 @@ _VALID = {
     "RO": (13, f"(CASE WHEN {_w('value', national_id.CNP_WEIGHTS)} % 11 = 10 THEN 1 ELSE {_w('value', national_id.CNP_WEIGHTS)} % 11 END) = {_n('value', 13, 1)} AND {_n('value', 1, 1)} <> 0 AND CASE WHEN {_n('value', 1, 1)} > 6 THEN {_n('value', 4, 2)} BETWEEN 1 AND 12 AND {_n('value', 6, 2)} BETWEEN 1 AND 31 ELSE {_date_ok('(CASE (' + _n('value', 1, 1) + ' - 1) // 2 WHEN 0 THEN 1900 WHEN 1 THEN 1800 ELSE 2000 END + ' + _n('value', 2, 2) + ')', _n('value', 4, 2), _n('value', 6, 2))} END"),
 }
 
+_LUHN = "(" + " + ".join(f"({_n('value', i, 1)} * 2 - CASE WHEN {_n('value', i, 1)} > 4 THEN 9 ELSE 0 END)" if i % 2 else _n("value", i, 1) for i in range(1, 10)) + ")"
+_CZ_MONTH = f"(CASE WHEN {_n('value', 3, 2)} BETWEEN 51 AND 62 THEN {_n('value', 3, 2)} - 50 WHEN {_n('value', 3, 2)} BETWEEN 71 AND 82 THEN {_n('value', 3, 2)} - 70 WHEN {_n('value', 3, 2)} BETWEEN 21 AND 32 THEN {_n('value', 3, 2)} - 20 ELSE {_n('value', 3, 2)} END)"
+_VALID |= {
+    "FR": (15, "97 - CAST(substr(value, 1, 13) AS BIGINT) % 97 = CAST(substr(value, 14, 2) AS BIGINT)"),
+    "SE": (10, f"(10 - {_LUHN} % 10) % 10 = {_n('value', 10, 1)} AND {_n('value', 3, 2)} BETWEEN 1 AND 12 AND ({_n('value', 5, 2)} BETWEEN 1 AND 31 OR {_n('value', 5, 2)} BETWEEN 61 AND 91)"),
+    "CZ": (10, f"(CAST(value AS BIGINT) % 11 = 0 OR (CAST(substr(value, 1, 9) AS BIGINT) % 11 = 10 AND {_n('value', 10, 1)} = 0)) AND {_date_ok('(CASE WHEN ' + _n('value', 1, 2) + ' >= 54 THEN 1900 ELSE 2000 END + ' + _n('value', 1, 2) + ')', _CZ_MONTH, _n('value', 5, 2))}"),
+    "DK": (10, _date_ok(f"((CASE WHEN {_n('value', 7, 1)} <= 3 THEN 1900 WHEN {_n('value', 7, 1)} IN (4, 9) THEN CASE WHEN {_n('value', 5, 2)} < 37 THEN 2000 ELSE 1900 END WHEN {_n('value', 5, 2)} < 58 THEN 2000 ELSE 1800 END) + {_n('value', 5, 2)})", _n("value", 3, 2), _n("value", 1, 2))),
+}
+
 
 def _validator(cc: str, n: int):
     def run(spark, sf_dir):
@@ -140,6 +149,24 @@ def nid_es(spark, sf_dir):
     return rows.select("k", "value", national_id.parse_es(F.concat("value", "letter"))["valid"].alias("valid"), "letter")
 
 
+@query("nid_fi", f"""WITH {_key_sql(9)}, x AS (SELECT k, value AS v, substr('{national_id.HETU_CONTROLS}', CAST(CAST(value AS BIGINT) % 31 AS INT) + 1, 1) AS c, k % 2 = 0 AS ok FROM v)
+SELECT k, concat(substr(v, 1, 6), '-', substr(v, 7, 3), CASE WHEN ok THEN c ELSE 'G' END) AS value, ok AND {_date_ok('(1900 + ' + _n('v', 5, 2) + ')', _n('v', 3, 2), _n('v', 1, 2))} AS valid FROM x""")
+def nid_fi(spark, sf_dir):
+    v = F.col("value")
+    control = F.substr(F.lit(national_id.HETU_CONTROLS), (v.cast("long") % 31 + 1).cast("int"), F.lit(1))
+    value = F.concat(F.substring(v, 1, 6), F.lit("-"), F.substring(v, 7, 3), F.when(F.col("k") % 2 == 0, control).otherwise("G"))
+    rows = _keys(spark, sf_dir, 9).select("k", value.alias("value"))
+    return rows.select("k", "value", national_id.parse_fi(F.col("value"))["valid"].alias("valid"))
+
+
+@query("nid_it")
+def nid_it(spark, sf_dir):
+    last = F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.col("k") % 26 + 1).cast("int"), F.lit(1))
+    month = F.substr(F.lit(national_id.CF_MONTHS), (F.col("k") % 12 + 1).cast("int"), F.lit(1))
+    value = F.concat(F.lit("RSSMRA"), F.substring("value", 1, 2), month, F.substring("value", 3, 2), F.lit("A"), F.substring("value", 5, 3), last)
+    return _keys(spark, sf_dir, 7).select("k", value.alias("value")).select("k", "value", national_id.parse_it(F.col("value"))["valid"].alias("valid"))
+
+
 @query("nid_de")
 def nid_de(spark, sf_dir):
     return _keys(spark, sf_dir, 11).select("k", "value", national_id.parse_de(F.col("value"))["valid"].alias("valid"))

@@ -20,6 +20,22 @@ from privlytics.operators import corpus, metrics
         ("DE", "86095742719", (True, None, None, None)),
         ("EE", "37605030299", (True, "M", "1976-05-03", None)),
         ("SI", "0101006500006", (True, "M", "2006-01-01", "50")),
+        ("IT", "RSSMRA85T10A562S", (True, "M", "85-12-10", "A562")),
+        ("IT", "rssmra85t50a562w", (True, "F", "85-12-10", "A562")),
+        ("IT", "RSSMRA85T10A562T", (False, None, None, None)),
+        ("IT", "🙂SSMRA85T10A562S", (False, None, None, None)),
+        ("FR", "18520750010010", (False, None, None, None)),
+        ("SE", "850615-2449", (True, "F", "85-06-15", None)),
+        ("SE", "19850615-2449", (True, "F", "1985-06-15", None)),
+        ("SE", "8506152448", (False, None, None, None)),
+        ("CZ", "855615/1010", (True, "F", "1985-06-15", None)),
+        ("SK", "8556151010", (True, "F", "1985-06-15", None)),
+        ("CZ", "8556151011", (False, None, None, None)),
+        ("DK", "211062-0629", (True, "M", "1962-10-21", None)),
+        ("DK", "21106206X9", (False, None, None, None)),
+        ("FI", "131052-308T", (True, "F", "1952-10-13", None)),
+        ("FI", "131052-308U", (False, None, None, None)),
+        ("ES", "🙂🙂🙂🙂🙂🙂🙂🙂Z", (False, None, None, None)),
         ("XX", "1", (False, None, None, None)),
         ("RO", None, (False, None, None, None)),
         ("NL", "", (False, None, None, None)),
@@ -31,6 +47,13 @@ def test_ids(spark, country, value, want):
     assert tuple(row) == want
 
 
+@pytest.mark.parametrize(("body", "sex", "date", "dept"), [("1850675001001", "M", "85-06", "75"), ("1852075001001", "M", None, "75"), ("285122A001001", "F", "85-12", "2A"), ("785122B001001", None, "85-12", "2B")])
+def test_french_ids(spark, body, sex, date, dept):
+    key = 97 - int(body.replace("2A", "19").replace("2B", "18")) % 97
+    rows = spark.createDataFrame([(f"{body}{key:02d}",), (f"{body}{key % 97 + 1:02d}",)], "v string").select(national_id.parse(F.lit("FR"), F.col("v")).alias("r")).collect()
+    assert tuple(rows[0].r) == (True, sex, date, dept) and not rows[1].r.valid
+
+
 def test_intervals(spark):
     df = spark.createDataFrame([(16, 1123), (61, 1500), (0, 190), (0, 0)], "s int, n int")
     low, high = stats.wilson(F.col("s"), F.col("n"))
