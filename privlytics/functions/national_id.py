@@ -26,7 +26,8 @@ def digit(v: Column, i: int) -> Column:
 
 
 def number(v: Column, start: int, n: int) -> Column:
-    return sum((digit(v, start + i) * 10 ** (n - 1 - i) for i in range(1, n)), digit(v, start) * 10 ** (n - 1))
+    """Null where it is no number; shapes are checked apart."""
+    return F.substring(v, start, n).try_cast("long")
 
 
 def weighted(v: Column, weights: Sequence[int]) -> Column:
