@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privlytics.functions.national_id import DECODE_BEARING, parse
+from privlytics.functions.national_id import DECODE_BEARING, parse, parse_ro
+from privlytics.functions.quasi import county_nuts2, dob_band
 from privlytics.functions.tokens import SPACE, whitespace_tokens
 
 
@@ -30,3 +31,26 @@ def person_subjects(rows: DataFrame) -> DataFrame:
     value = F.trim(F.regexp_replace("value", f"[{SPACE}]+", " "))
     names = occurrences(rows).filter("label = 'PERSON'").withColumn("value", value).filter("value <> ''")
     return names.groupBy("detector", "doc_id", "value").agg(F.bool_and("detected").alias("detected"))
+
+
+def quasi_identifier_subjects(docs: DataFrame) -> DataFrame:
+    """(doc_id, country, value, sex, birth_date, place_code) of valid gold ids that disclose something; no predictions are needed."""
+    one = docs.select("doc_id", "country", F.explode("gold").alias("g")).select("doc_id", "country", F.trim("g.value").alias("value")).distinct()
+    told = one.filter(F.col("country").isin(*DECODE_BEARING))
+    parsed = told.withColumn("id", F.explode_outer(F.array(parse(F.col("country"), F.col("value"))))).filter("id.valid")
+    return parsed.select("doc_id", "country", "value", "id.sex", "id.birth_date", "id.place_code")
+
+
+def entity_subjects(spans: DataFrame) -> DataFrame:
+    """Of occurrences (detector, doc_id, entity_id, identifier_type, detected): direct and quasi ones by entity."""
+    kind = F.upper("identifier_type")
+    known = spans.withColumn("identifier_type", kind).filter(F.col("identifier_type").isin("DIRECT", "QUASI") & F.col("entity_id").isNotNull())
+    return known.groupBy("detector", "doc_id", "entity_id", "identifier_type").agg(F.bool_and("detected").alias("detected"))
+
+
+def residual_rows(rows: DataFrame) -> DataFrame:
+    """(detector, doc_id, value, dob_band, sex, nuts2) of national ids of which any occurrence survived."""
+    found = occurrences(rows).filter("label = 'NATIONAL_ID'").withColumn("value", F.trim("value"))
+    left = found.groupBy("detector", "doc_id", "value").agg(F.bool_or(~F.col("detected")).alias("survived")).filter("survived")
+    parsed = left.withColumn("id", F.explode_outer(F.array(parse_ro(F.col("value"))))).filter("id.valid")
+    return parsed.select("detector", "doc_id", "value", dob_band(F.col("id.birth_date")).alias("dob_band"), "id.sex", county_nuts2(F.col("id.place_code")).alias("nuts2"))
