@@ -34,13 +34,13 @@ def _w(v: str, weights) -> str:
 _WILSON = "CASE WHEN {n} > 0 THEN (({s} * 1.0e0 / {n} + 1.95996e0 * 1.95996e0 / (2.0e0 * {n})) {sign} 1.95996e0 * sqrt(({s} * 1.0e0 / {n}) * (1 - {s} * 1.0e0 / {n}) / {n} + 1.95996e0 * 1.95996e0 / (4.0e0 * {n} * {n}))) / (1 + 1.95996e0 * 1.95996e0 / {n}) ELSE 0 END"
 
 
-def _wilson(s: str, n: str, sign: str) -> str:
+def wilson_sql(s: str, n: str, sign: str) -> str:
     return _WILSON.format(s=s, n=n, sign=sign)
 
 
 _BODY = "concat(k % 6 + 1, lpad(CAST(k * 7 % 100 AS VARCHAR), 2, '0'), lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0'), lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0'), lpad(CAST(k % 46 + 1 AS VARCHAR), 2, '0'), lpad(CAST(k * 13 % 1000 AS VARCHAR), 3, '0'))"
 # fixture rows by occurrence, then by detector; dates of the fixture are valid and years are 18yy, 19yy or 20yy
-_IDS = f"""
+IDS = f"""
 f0 AS (SELECT c_custkey AS k, c_name AS name, {_BODY.replace('k ', 'c_custkey ')} AS body FROM customer),
 f1 AS (SELECT *, {_w('body', national_id.CNP_WEIGHTS)} % 11 AS r FROM f0),
 f2 AS (SELECT k, name, concat(body, CASE WHEN k % 7 = 0 THEN (CASE WHEN r = 10 THEN 1 ELSE r END + 1) % 10 WHEN r = 10 THEN 1 ELSE r END) AS value FROM f1),
@@ -175,37 +175,37 @@ def nid_de(spark, sf_dir):
 # --- subjects and metrics --------------------------------------------------------------------------------------------
 
 
-@query("sub1_national_id_subjects", f"WITH {_IDS} SELECT * FROM sub")
+@query("sub1_national_id_subjects", f"WITH {IDS} SELECT * FROM sub")
 def sub1(spark, sf_dir):
     return subjects.national_id_subjects(_rows(spark, sf_dir))
 
 
-@query("sub3_person_subjects", f"WITH {_IDS} SELECT * FROM per")
+@query("sub3_person_subjects", f"WITH {IDS} SELECT * FROM per")
 def sub3(spark, sf_dir):
     return subjects.person_subjects(_rows(spark, sf_dir))
 
 
-_LEAK = f"SELECT {{by}}, count(*) AS total, count(*) FILTER (detected) AS detected, count(*) FILTER (NOT detected) AS missed, count(*) FILTER (NOT detected) * 1.0e0 / count(*) AS leak_rate, round({_wilson('count(*) FILTER (NOT detected)', 'count(*)', '-')}, 12) AS ci_low, round({_wilson('count(*) FILTER (NOT detected)', 'count(*)', '+')}, 12) AS ci_high FROM {{src}} GROUP BY {{by}}"
+LEAK = f"SELECT {{by}}, count(*) AS total, count(*) FILTER (detected) AS detected, count(*) FILTER (NOT detected) AS missed, count(*) FILTER (NOT detected) * 1.0e0 / count(*) AS leak_rate, round({wilson_sql('count(*) FILTER (NOT detected)', 'count(*)', '-')}, 12) AS ci_low, round({wilson_sql('count(*) FILTER (NOT detected)', 'count(*)', '+')}, 12) AS ci_high FROM {{src}} GROUP BY {{by}}"
 
 
-@query("met6_national_id_leakage", f"WITH {_IDS} {_LEAK.format(by='detector, country', src='sub')}")
+@query("met6_national_id_leakage", f"WITH {IDS} {LEAK.format(by='detector, country', src='sub')}")
 def met6(spark, sf_dir):
     return metrics.leak_rates(subjects.national_id_subjects(_rows(spark, sf_dir)), "detector", "country")
 
 
-@query("met8_name_leakage", f"WITH {_IDS} {_LEAK.format(by='detector', src='per')}")
+@query("met8_name_leakage", f"WITH {IDS} {LEAK.format(by='detector', src='per')}")
 def met8(spark, sf_dir):
     return metrics.leak_rates(subjects.person_subjects(_rows(spark, sf_dir)), "detector")
 
 
-@query("met8_name_context", f"""WITH {_IDS}, n AS (SELECT detector, doc_id, bool_or(NOT detected) AS x FROM per GROUP BY ALL), i AS (SELECT detector, doc_id, bool_or(NOT detected) AS y FROM sub GROUP BY ALL)
+@query("met8_name_context", f"""WITH {IDS}, n AS (SELECT detector, doc_id, bool_or(NOT detected) AS x FROM per GROUP BY ALL), i AS (SELECT detector, doc_id, bool_or(NOT detected) AS y FROM sub GROUP BY ALL)
 SELECT detector, count(*) FILTER (x AND y) AS both_leak, count(*) FILTER (x AND NOT y) AS name_only, count(*) FILTER (NOT x AND y) AS id_only, count(*) FILTER (NOT x AND NOT y) AS neither FROM n JOIN i USING (detector, doc_id) GROUP BY detector""")
 def met8_context(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     return metrics.name_context(subjects.person_subjects(rows), subjects.national_id_subjects(rows))
 
 
-@query("met1_entity_scores", f"""WITH {_IDS}, c AS (SELECT detector, count(*) FILTER (detected) AS tp, count(*) AS n_gold, count(*) FILTER (detected) AS n_pred FROM det GROUP BY detector),
+@query("met1_entity_scores", f"""WITH {IDS}, c AS (SELECT detector, count(*) FILTER (detected) AS tp, count(*) AS n_gold, count(*) FILTER (detected) AS n_pred FROM det GROUP BY detector),
 p AS (SELECT *, CASE WHEN n_pred > 0 THEN tp * 1.0e0 / n_pred ELSE 0 END AS precision, tp * 1.0e0 / n_gold AS recall FROM c)
 SELECT detector, tp, n_gold, n_pred, precision, recall, 2.0e0 * tp / (n_gold + n_pred) AS f1, CASE WHEN 4 * precision + recall > 0 THEN 5 * precision * recall / (4 * precision + recall) ELSE 0 END AS f2 FROM p""")
 def met1(spark, sf_dir):
@@ -214,14 +214,14 @@ def met1(spark, sf_dir):
     return metrics.entity_scores(flat("gold"), flat("pred"))
 
 
-@query("met11_k_anonymity", f"""WITH {_IDS}, s AS (SELECT count(*) AS c FROM sub WHERE detector = 'none' GROUP BY sex, CAST(substr(birth_date, 1, 4) AS INT) // 5, place_code)
+@query("met11_k_anonymity", f"""WITH {IDS}, s AS (SELECT count(*) AS c FROM sub WHERE detector = 'none' GROUP BY sex, CAST(substr(birth_date, 1, 4) AS INT) // 5, place_code)
 SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS classes, sum(CASE WHEN c = 1 THEN c ELSE 0 END) * 1.0e0 / sum(c) AS k1, sum(CASE WHEN c < 5 THEN c ELSE 0 END) * 1.0e0 / sum(c) AS k_lt5 FROM s""")
 def met11(spark, sf_dir):
     rows = subjects.national_id_subjects(_rows(spark, sf_dir)).filter("detector = 'none'")
     return metrics.k_anonymity(rows.withColumn("band", F.floor(F.substring("birth_date", 1, 4).cast("int") / 5)), ["sex", "band", "place_code"])
 
 
-@query("sig3_mcnemar", f"""WITH {_IDS}, p AS (SELECT doc_id, value, bool_or(detected) FILTER (detector = 'first') AS x, bool_or(detected) FILTER (detector = 'third') AS y FROM sub GROUP BY ALL),
+@query("sig3_mcnemar", f"""WITH {IDS}, p AS (SELECT doc_id, value, bool_or(detected) FILTER (detector = 'first') AS x, bool_or(detected) FILTER (detector = 'third') AS y FROM sub GROUP BY ALL),
 n AS (SELECT count(*) FILTER (x AND y) AS n_both, count(*) FILTER (NOT x AND NOT y) AS n_neither, count(*) FILTER (NOT x AND y) AS b, count(*) FILTER (x AND NOT y) AS c FROM p)
 SELECT n_both, n_neither, b, c, (abs(b - c) - 1) ** 2 * 1.0e0 / (b + c) AS chi2_cc, least(1.0e0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0e0))))) AS p_value FROM n""")
 def sig3(spark, sf_dir):
@@ -284,7 +284,7 @@ def div10(spark, sf_dir):
     return w.agg(F.round(1 - F.sum(F.col("a") * F.col("b")) / (F.sqrt(F.sum(F.col("a") ** 2)) * F.sqrt(F.sum(F.col("b") ** 2))), 6).alias("distance"))
 
 
-@query("div9_template_repetition", f"""WITH {_IDS}, s AS (SELECT CASE WHEN k % 4 = 0 THEN 'cnp [national_id] name [person] again [national_id]' ELSE 'cnp [national_id] name [person]' END AS sk FROM f2), g AS (SELECT sk, count(*) AS c FROM s GROUP BY sk)
+@query("div9_template_repetition", f"""WITH {IDS}, s AS (SELECT CASE WHEN k % 4 = 0 THEN 'cnp [national_id] name [person] again [national_id]' ELSE 'cnp [national_id] name [person]' END AS sk FROM f2), g AS (SELECT sk, count(*) AS c FROM s GROUP BY sk)
 SELECT count(*) * 1.0e0 / sum(c) AS unique_ratio, max(c) * 1.0e0 / sum(c) AS top_share FROM g""")
 def div9(spark, sf_dir):
     sk = corpus.label_skeleton(F.col("text"), F.col("gold"))
@@ -292,7 +292,7 @@ def div9(spark, sf_dir):
     return g.agg((F.count("*") / F.sum("c").cast("double")).alias("unique_ratio"), (F.max("c") / F.sum("c").cast("double")).alias("top_share"))
 
 
-@query("met3_wilson", f"SELECT q.quality, count(*) AS n, sum(toxic) AS s, {_wilson('sum(toxic)', 'count(*)', '-')} AS ci_low, {_wilson('sum(toxic)', 'count(*)', '+')} AS ci_high FROM labels q GROUP BY q.quality")
+@query("met3_wilson", f"SELECT q.quality, count(*) AS n, sum(toxic) AS s, {wilson_sql('sum(toxic)', 'count(*)', '-')} AS ci_low, {wilson_sql('sum(toxic)', 'count(*)', '+')} AS ci_high FROM labels q GROUP BY q.quality")
 def met3(spark, sf_dir):
     g = read_table(spark, sf_dir, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.sum("toxic").alias("s"))
     low, high = stats.wilson(F.col("s"), F.col("n"))
@@ -302,3 +302,6 @@ def met3(spark, sf_dir):
 @query("boo2_percentiles", "SELECT lang, quantile_cont(n_chars, 0.025) AS p025, quantile_cont(n_chars, 0.975) AS p975 FROM documents GROUP BY lang")
 def boo2(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.percentile("n_chars", F.lit(0.025)).alias("p025"), F.percentile("n_chars", F.lit(0.975)).alias("p975"))
+
+
+from privlytics.plans import deidentification  # noqa: E402, F401  registers its queries
