@@ -26,7 +26,7 @@ def tag1(spark, sf_dir):
     return rows.select("doc_id", F.array_join(tags.gold_tags(F.col("t"), F.col("gold")), ",").alias("tags"))
 
 
-@query("tag6_tag_spans", f"WITH {IDS} SELECT k AS doc_id, label, s AS start, e AS \"end\" FROM det WHERE detector = 'first' AND detected")
+@query("tag6_tag_spans", f"WITH {IDS} SELECT k AS doc_id, label, CAST(s AS INT) AS start, CAST(e AS INT) AS \"end\" FROM det WHERE detector = 'first' AND detected")
 def tag6(spark, sf_dir):
     rows = _rows(spark, sf_dir).filter("detector = 'first'").withColumn("t", tokens.whitespace_tokens(F.col("text")))
     spans = tags.tag_spans(F.col("t"), tags.entity_tags(F.col("t"), F.col("pred")))

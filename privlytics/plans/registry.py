@@ -159,7 +159,12 @@ def nid_fi(spark, sf_dir):
     return rows.select("k", "value", national_id.parse_fi(F.col("value"))["valid"].alias("valid"))
 
 
-@query("nid_it")
+_CF_INDEX = "CASE WHEN ascii(substr(value, i, 1)) < 58 THEN ascii(substr(value, i, 1)) - 48 ELSE ascii(substr(value, i, 1)) - 65 END"
+
+
+@query("nid_it", f"""WITH {_key_sql(7)}, x AS (SELECT k, concat('RSSMRA', substr(value, 1, 2), substr('{national_id.CF_MONTHS}', k % 12 + 1, 1), substr(value, 3, 2), 'A', substr(value, 5, 3), chr(CAST(65 + k % 26 AS INT))) AS value, {_n('value', 3, 2)} AS d, k % 12 + 1 AS m FROM v),
+t AS (SELECT *, list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN {list(national_id.CF_ODD)}[{_CF_INDEX} + 1] ELSE {_CF_INDEX} END)) % 26 AS t FROM x)
+SELECT k, value, t = k % 26 AND {_date_ok('2000', 'm', '(CASE WHEN d > 40 THEN d - 40 ELSE d END)')} AS valid FROM t""")
 def nid_it(spark, sf_dir):
     last = F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.col("k") % 26 + 1).cast("int"), F.lit(1))
     month = F.substr(F.lit(national_id.CF_MONTHS), (F.col("k") % 12 + 1).cast("int"), F.lit(1))
@@ -167,7 +172,8 @@ def nid_it(spark, sf_dir):
     return _keys(spark, sf_dir, 7).select("k", value.alias("value")).select("k", "value", national_id.parse_it(F.col("value"))["valid"].alias("valid"))
 
 
-@query("nid_de")
+@query("nid_de", f"""WITH {_key_sql(11)}, p AS (SELECT k, value, list_reduce(list_prepend(10, list_transform(range(1, 11), lambda i: CAST(substr(value, i, 1) AS BIGINT))), lambda p, d: (CASE WHEN (d + p) % 10 = 0 THEN 10 ELSE (d + p) % 10 END) * 2 % 11) AS p FROM v)
+SELECT k, value, substr(value, 1, 1) <> '0' AND (11 - p) % 10 = {_n('value', 11, 1)} AS valid FROM p""")
 def nid_de(spark, sf_dir):
     return _keys(spark, sf_dir, 11).select("k", "value", national_id.parse_de(F.col("value"))["valid"].alias("valid"))
 
@@ -292,7 +298,7 @@ def div9(spark, sf_dir):
     return g.agg((F.count("*") / F.sum("c").cast("double")).alias("unique_ratio"), (F.max("c") / F.sum("c").cast("double")).alias("top_share"))
 
 
-@query("met3_wilson", f"SELECT q.quality, count(*) AS n, sum(toxic) AS s, {wilson_sql('sum(toxic)', 'count(*)', '-')} AS ci_low, {wilson_sql('sum(toxic)', 'count(*)', '+')} AS ci_high FROM labels q GROUP BY q.quality")
+@query("met3_wilson", f"SELECT q.quality, count(*) AS n, CAST(sum(toxic) AS BIGINT) AS s, {wilson_sql('sum(toxic)', 'count(*)', '-')} AS ci_low, {wilson_sql('sum(toxic)', 'count(*)', '+')} AS ci_high FROM labels q GROUP BY q.quality")
 def met3(spark, sf_dir):
     g = read_table(spark, sf_dir, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.sum("toxic").alias("s"))
     low, high = stats.wilson(F.col("s"), F.col("n"))
