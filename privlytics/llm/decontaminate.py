@@ -7,7 +7,7 @@ lie within its document (length bound) where the prefix shingle's place puts it
 shingles of the window stand there word by word, which is exact containment.
 
 All documents are exploded once into their shingles; only those that some item has are kept, and these few rows serve for
-counts, candidates and verification. The table of the items' shingles is broadcast if its measured size is small and
+counts, candidates and verification; the words are counted in the same pass. The table of the items' shingles is broadcast if its measured size is small and
 shuffled otherwise. No step groups by a word or passage: rows are grouped by document.
 
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Documents are told apart by (id, text), so equal
@@ -47,6 +47,11 @@ def _shingles(w: Column, k: Column) -> Column:
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, row_hash, spans array<struct<start,len>> in words, n_hit, item_ids sorted as strings): documents that are hit."""
+    return _search(docs, items, window, doc_id, text, item_id, item_text, count=False)[0]
+
+
+def _search(docs: DataFrame, items: DataFrame, window: int, doc_id: str, text: str, item_id: str, item_text: str, count: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Hits as of ``find_hits``; with ``count`` (doc_id, row_hash, n_words) of all documents as well, unless no item has words."""
     item_windows = materialize(_windows(items, window, item_id, item_text).withColumn("window", F.array_join("w", " ")), "bench-windows")
     k = F.least(F.lit(3), F.size("w"))
     wins = item_windows.select("window", F.size("w").alias("len"), k.alias("k"), _shingles(F.col("w"), k).alias("sh")).dropDuplicates(["window"])
@@ -56,17 +61,23 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str =
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row_hash"), words(F.col(text)).alias("w")).withColumn("n_words", F.size("w"))
     known = broadcast_if_small(known, F.length("shingle") * 2 + 64)
 
-    def matches(n: int) -> DataFrame:
+    def matches(n: int, told: bool) -> DataFrame:
+        """Shingles that items have; with ``told`` also each document's first row, so that its words are counted in the same pass."""
         cols = [F.col("w"), *(F.slice("w", F.lit(i + 1), F.greatest(F.col("n_words") - i, F.lit(0))) for i in range(1, n))]
         zipped = F.arrays_zip(*(c.alias(f"c{i}") for i, c in enumerate(cols))) if n > 1 else F.transform("w", lambda x: F.struct(x.alias("c0")))
         named = source.select("doc_id", "row_hash", "n_words", F.posexplode_outer(zipped.cast("array<struct<" + ",".join(f"c{i}:string" for i in range(n)) + ">>")).alias("pos", "c"))
         # outer: for the inner one Spark infers a filter that repeats the regular expression; nulls are filtered next
         text_of = F.concat_ws(" ", *(F.col(f"c.c{i}") for i in range(n)))
-        rows = named.filter(F.col(f"c.c{n - 1}").isNotNull()).select("doc_id", "row_hash", "n_words", "pos", text_of.alias("found")).withColumn("key", F.lower("found"))
-        return rows.join(known.filter(F.col("k") == n), "key").filter(ascii_lower(F.col("found")) == F.col("shingle")).select("doc_id", "row_hash", "n_words", "pos", "shingle")
+        first = F.coalesce("pos", F.lit(0)) == 0
+        full = F.col(f"c.c{n - 1}").isNotNull()
+        rows = named.filter(full | first if told else full).select("doc_id", "row_hash", "n_words", "pos", text_of.alias("found")).withColumn("key", F.lower("found"))
+        joined = rows.join(known.filter(F.col("k") == n), "key", "left" if told else "inner").withColumn("shingle", F.when(ascii_lower(F.col("found")) == F.col("shingle"), F.col("shingle")))
+        return joined.filter(F.col("shingle").isNotNull() | first if told else F.col("shingle").isNotNull()).select("doc_id", "row_hash", "n_words", "pos", "shingle")
 
     schema = source.select("doc_id", "row_hash", "n_words", F.lit(0).alias("pos"), F.lit("").alias("shingle"))
-    found = materialize(reduce(DataFrame.unionByName, [matches(n) for n in lengths], schema.limit(0)), "bench-matches")
+    found = materialize(reduce(DataFrame.unionByName, [matches(n, count and i == 0) for i, n in enumerate(lengths)], schema.limit(0)), "bench-matches")
+    sizes = found.select("doc_id", "row_hash", "n_words").distinct() if count and lengths else None
+    found = found.filter(F.col("shingle").isNotNull())
     counts = found.groupBy("shingle").agg(F.count("*").alias("df"))
     ranked = parts.join(counts, "shingle").groupBy("window", "len", "n").agg(F.count("*").alias("present"), F.min_by(F.struct("shingle", "off"), F.struct("df", "shingle", "off")).alias("prefix"))
     prefix = ranked.filter("present = n").select("window", "len", "n", "prefix.shingle", "prefix.off")
@@ -87,14 +98,21 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str =
         lambda a, s: F.struct(F.greatest(a["upto"], s["start"] + s["len"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), s["start"] + s["len"] - F.greatest(a["upto"], s["start"]))).alias("n")),
         lambda a: a["n"],
     )
-    return materialize(hits.withColumn("n_hit", covered), "bench-hits")
+    return materialize(hits.withColumn("n_hit", covered), "bench-hits"), sizes
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, item_ids, spans."""
-    hits = find_hits(docs, items, window).withColumnsRenamed({"doc_id": "_id", "row_hash": "_hash"})
-    all_docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    joined = all_docs.join(hits, all_docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash")), "left")
+    hits, sizes = _search(docs, items, window, "doc_id", "text", "item_id", "text", count=True)
+    hits = hits.withColumnsRenamed({"doc_id": "_id", "row_hash": "_hash"})
+    row_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash")
+    if sizes is None:
+        all_docs = docs.select("doc_id", row_hash, F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    else:
+        rows = docs.select("doc_id", row_hash)
+        sizes = sizes.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_row"), F.col("n_words").cast("long").alias("n_words"))
+        all_docs = rows.join(sizes, rows["doc_id"].eqNullSafe(F.col("_doc")) & (rows["row_hash"] == F.col("_row"))).select("doc_id", "row_hash", "n_words")
+    joined = all_docs.join(hits, all_docs["doc_id"].eqNullSafe(F.col("_id")) & (all_docs["row_hash"] == F.col("_hash")), "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("spans", F.array().cast("array<struct<start:int,len:int>>")).alias("spans"))
 
 
