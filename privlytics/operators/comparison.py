@@ -47,5 +47,29 @@ def board(scores: DataFrame) -> DataFrame:
     return scores.select("adapter", F.rank().over(Window.orderBy("leak")).alias("rank"), "leak")
 
 
-def reproduces(f1: Column, n: Column, version: Column, anchor: float = 0.415, tolerance: float = 0.02, want_n: int = 1500, want_version: str = "0.2.0") -> Column:
+#: The score to reproduce, how closely, and its provenance.
+ANCHOR = {"anchor": 0.415, "tolerance": 0.02, "want_n": 1500, "want_version": "0.2.0"}
+
+
+def reproduces(f1: Column, n: Column, version: Column, anchor: float = ANCHOR["anchor"], tolerance: float = ANCHOR["tolerance"], want_n: int = ANCHOR["want_n"], want_version: str = ANCHOR["want_version"]) -> Column:
     return F.coalesce((F.abs(f1 - anchor) <= tolerance) & (n == want_n) & (version == want_version), F.lit(False))
+
+
+def summary(gaps: DataFrame, leaks: DataFrame, protector: str) -> DataFrame:
+    """By family: gaps, those that hold, and the protector's counts, upper bound and rate (families in which it was not scored have nulls)."""
+    base = leaks.filter(F.col("detector") == protector).select("family", "missed", "total", F.col("ci_high").alias("upper"), "leak_rate")
+    return gaps.groupBy("family").agg(F.count("*").alias("gaps"), F.count_if("holds").alias("holding"), F.bool_or("holds").alias("holds")).join(base, "family", "left")
+
+
+def consolidated(families: DataFrame) -> DataFrame:
+    """One row over families: worst upper bound, summed counts, and whether all hold."""
+    g = families.agg(F.max("upper").alias("worst_upper"), F.sum("missed").alias("missed"), F.sum("total").alias("total"), F.bool_and("holds").alias("holds"))
+    return g.withColumn("leak_rate", F.when(F.col("total") > 0, F.col("missed") / F.col("total").cast("double")).otherwise(0.0))
+
+
+def common_models(scored: DataFrame) -> DataFrame:
+    """(detector, uniform) of detectors scored in every family; uniform iff no family has others."""
+    families = scored.agg(F.count_distinct("family").alias("families"))
+    each = scored.groupBy("detector").agg(F.count_distinct("family").alias("n")).join(F.broadcast(families))  # one row
+    whole = each.agg(F.bool_and(F.col("n") == F.col("families")).alias("uniform"))
+    return each.filter("n = families").select("detector").join(F.broadcast(whole))  # one row

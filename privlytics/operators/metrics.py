@@ -43,12 +43,13 @@ def k_anonymity(rows: DataFrame, qi: list[str]) -> DataFrame:
     return sizes.agg(F.sum("count").alias("n"), F.count("*").alias("classes"), (F.sum(F.when(F.col("count") == 1, F.col("count")).otherwise(0)) / n).alias("k1"), (F.sum(F.when(F.col("count") < 5, F.col("count")).otherwise(0)) / n).alias("k_lt5"))
 
 
-def detector_gaps(leaks: DataFrame, protector: str) -> DataFrame:
-    """Each detector's missed share less the protector's; holds iff the interval lies above 0."""
-    base = leaks.filter(F.col("detector") == protector).select(F.col("missed").alias("m0"), F.col("total").alias("n0"))
-    rows = leaks.filter(F.col("detector") != protector).join(F.broadcast(base))  # one row
+def detector_gaps(leaks: DataFrame, protector: str, *by: str) -> DataFrame:
+    """Each detector's missed share less the protector's (within ``by``); holds iff the interval lies above 0."""
+    base = leaks.filter(F.col("detector") == protector).select(*by, F.col("missed").alias("m0"), F.col("total").alias("n0"))
+    rest = leaks.filter(F.col("detector") != protector)
+    rows = rest.join(base, list(by)) if by else rest.join(F.broadcast(base))  # one row
     gap, low, high = newcombe(F.col("missed"), F.col("total"), F.col("m0"), F.col("n0"))
-    return rows.select("detector", gap.alias("gap"), low.alias("ci_low"), high.alias("ci_high"), (low > 0).alias("holds"))
+    return rows.select("detector", *by, gap.alias("gap"), low.alias("ci_low"), high.alias("ci_high"), (low > 0).alias("holds"))
 
 
 def mcnemar(subjects: DataFrame, a: str, b: str) -> DataFrame:

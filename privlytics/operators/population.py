@@ -72,3 +72,28 @@ def in_sample_uniqueness(rows: DataFrame, axes: list[str]) -> DataFrame:
     some = rows.filter(F.coalesce(*(F.col(a).cast("string") for a in axes)).isNotNull())
     sizes = some.groupBy(*axes).count()
     return sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.count_if(F.col("count") == 1) / F.sum("count").cast("double"), F.lit(0.0)).alias("k1"))
+
+
+def correctness(xi: Column) -> Column:
+    return 1 - xi
+
+
+def delta_purr(baseline: DataFrame, model: DataFrame, tau: float = 0.95) -> DataFrame:
+    """Flagged share of the baseline's scored rows, that of the model's, and the difference."""
+    both = purr(baseline, tau).select(F.col("purr").alias("baseline_purr")).join(F.broadcast(purr(model, tau).select(F.col("purr").alias("model_purr"))))  # one row each
+    return both.withColumn("delta_purr", F.col("baseline_purr") - F.col("model_purr"))
+
+
+def independent_uniqueness(rows: DataFrame, joint: DataFrame, axes: list[str], n: int) -> DataFrame:
+    """``rows`` with ``xi_upper``: uniqueness as if the axes were independent, an upper bound only; null where an axis is missing."""
+    p, known, out = F.lit(1.0), F.lit(True), rows
+    for a in axes:
+        one = joint.groupBy(a).agg(F.sum("p").alias(f"p__{a}"))  # at most the axis' categories
+        out = out.join(one, a, "left")
+        p, known = p * F.coalesce(F.col(f"p__{a}"), F.lit(0.0)), known & F.col(a).isNotNull()
+    return out.withColumn("xi_upper", uniqueness(p, F.lit(n), known)).drop(*(f"p__{a}" for a in axes))
+
+
+def status(placeholder: bool, label: str = "") -> dict[str, object]:
+    """What a figure must carry: reference, and whether it may be reported at all."""
+    return {"reference": label, "reported": not placeholder, "status": "placeholder population: not to be reported" if placeholder else "calibrated reference"}

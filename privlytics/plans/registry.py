@@ -234,12 +234,6 @@ def sig3(spark, sf_dir):
     return metrics.mcnemar(subjects.national_id_subjects(_rows(spark, sf_dir)), "first", "third")
 
 
-@query("sig1_detector_gaps")
-def sig1(spark, sf_dir):
-    leaks = metrics.leak_rates(subjects.national_id_subjects(_rows(spark, sf_dir)), "detector")
-    return metrics.detector_gaps(leaks, "full")
-
-
 # --- corpora ---------------------------------------------------------------------------------------------------------
 
 
@@ -310,4 +304,4 @@ def boo2(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.percentile("n_chars", F.lit(0.025)).alias("p025"), F.percentile("n_chars", F.lit(0.975)).alias("p975"))
 
 
-from privlytics.plans import deidentification  # noqa: E402, F401  registers its queries
+from privlytics.plans import deidentification, evaluation  # noqa: E402, F401  they register their queries
