@@ -257,3 +257,14 @@ def test_lm_scores(spark):
 def test_class_model_is_a_distribution():
     cls, share = lm_score.make_classes(np.random.default_rng(0).integers(0, 50, 1000))
     assert np.allclose(np.bincount(cls, 10.0**share), 1)
+
+
+def test_training_uses_every_window(spark):
+    rows = [(i, "one two three four five six seven eight nine ten " * n) for i, n in enumerate([1, 3, 400, 2] * 10)] + [(None, None), (-1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = lm_score.fit(docs, F.lit(True), sample_docs=0)  # no first weights: all comes from the passes over the table
+    assert fitted["trained"] == sum(len(lm_score.subwords(t, fitted["ranks"])) for _, t in rows)
+    start = fitted | {"model": fitted["model"] | {k: v for k, v in lm_score.new_model().items() if k not in lm_score.LAST}}
+    uniform = fitted | {"model": lm_score.new_model()}
+    now, first, none = (lm_score.score_texts([rows[2][1]], x, fitted["ranks"])[0] for x in (fitted, start, uniform))
+    assert now > first > none
