@@ -22,10 +22,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id."""
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each component of near duplicates the document with the smallest id, null after all others.
+
+    Rows are told apart by id and text, null-safely: other texts under one id, and rows without an id, are documents of their own.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    found = jaccard_join.jaccard_components(keyed.select("_key", "text"), doc_id="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    first = found.join(keyed.select("_key", "doc_id").distinct(), "_key").groupBy("component_id").agg(F.min(order).alias("first")).select("first._key")
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

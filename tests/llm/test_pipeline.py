@@ -94,3 +94,12 @@ def test_pipeline_cases(spark, rows):
         docs = spark.createDataFrame([tuple(r) for r in out.select(*docs.columns).collect()], docs.schema)
 
 
+def test_duplicates_keep_rows_without_an_id_and_other_texts(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcde"]
+    near = lambda t: t + " more"
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, near(texts[3])), (None, near(texts[4])), (9, texts[4])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.duplicates_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
