@@ -78,7 +78,7 @@ def _unsqueeze(blob: bytes, n: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
-    """(doc_id, n, k1, k2) for each document, and (part, counts) with the task's counters."""
+    """(doc_id, row, n, k1, k2) for each document, and (part, counts) with the task's counters."""
 
     def run(batches: Pairs) -> Pairs:
         counters = np.zeros(1 << bits, np.uint32)
@@ -96,12 +96,12 @@ def _sets(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
             if held:
                 _count(counters, pending)
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "n", "k1", "k2", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "row", "n", "k1", "k2", "part", "counts"])
         if counters.any():
             parts = counters.reshape(64, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(64, batch.column("doc_id").type), pa.nulls(64, pa.int32()), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.array(range(64), pa.int32()), pa.array([_squeeze(p) for p in parts], pa.binary())], names=["doc_id", "n", "k1", "k2", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(64, batch.column("doc_id").type), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int32()), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.array(range(64), pa.int32()), pa.array([_squeeze(p) for p in parts], pa.binary())], names=["doc_id", "row", "n", "k1", "k2", "part", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, part int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, row long, n int, k1 long, k2 long, part int, counts binary")
 
 
 def _sketch(tables: DataFrame, bits: int) -> np.ndarray:
@@ -463,9 +463,9 @@ def components(links: DataFrame) -> DataFrame:
 def _of_classes(source: DataFrame, classes: DataFrame, placed: DataFrame, shingle: int, make, schema: str) -> DataFrame:
     """(key, *schema) made from the set of each class in ``placed``; computed anew from one of its texts."""
     wanted = placed.select(F.col("member").alias("k1")).distinct()
-    ids = materialize(classes.join(wanted, "k1").filter("first is not null").groupBy("first").agg(F.min("k1").alias("k1")), "jaccard-wanted")
+    ids = materialize(classes.join(wanted, "k1").select("row").distinct(), "jaccard-wanted")
     small = ids.count() * 64 <= 64 << 20
-    chosen = source.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("first")).select("text")
+    chosen = source.join(F.broadcast(ids) if small else ids, "row").select("text")
     full = f"key long, {schema}"
     names = [part.split()[0] for part in full.split(",")]
     kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[part.split()[1]] for part in full.split(",")]
@@ -486,14 +486,14 @@ def _of_classes(source: DataFrame, classes: DataFrame, placed: DataFrame, shingl
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 3, den: int = 4, bits: int | None = None, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id of the component), n_copies (rows with an equal set)."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))  # never null
     if bits is None:
         size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(25, max(12, (size // 192).bit_length()))
     both = materialize(_sets(source, shingle, bits), "jaccard-sets")
-    sets = both.filter("part is null").select("doc_id", "n", "k1", "k2")
+    sets = both.filter("part is null").select("doc_id", "row", "n", "k1", "k2")
     counts = _sketch(both.filter("part is not null").select("part", "counts"), bits)
-    classes = materialize(sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
+    classes = materialize(sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.max("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
     regions = _regions(source, counts, shingle, num, den, hot)
     regions = materialize(_sized(regions, classes, num, den), "jaccard-sized")
     sizes = materialize(regions.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "jaccard-blocks")

@@ -108,3 +108,14 @@ def test_tree_links():
             got.join(i, j)
         same = lambda u: [[u.find(i) == u.find(j) for j in range(len(every))] for i in range(len(every))]
         assert same(want) == same(got)
+
+
+@pytest.mark.parametrize("kwargs", [{}, {"bits": 8, "hot": 3, "block": 16}])
+def test_null_ids_link_and_bridge(spark, kwargs):
+    words = [f"w{i}" for i in range(60)]
+    changed = lambda a, b: " ".join([f"x{i}" for i in range(a)] + words[a : 60 - b] + [f"z{i}" for i in range(b)])
+    docs = [(4, changed(0, 0)), (None, changed(4, 0)), (9, changed(4, 5)), (20, "other " + " ".join(f"y{i}" for i in range(30))), (None, " ".join(f"y{i}" for i in range(30)))]
+    want = brute(docs)
+    assert [x[2] for x in want if x[0] == 9] == [4] and brute([d for d in docs if d[0] is not None]) != [x for x in want if x[0] is not None]
+    rows = J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), **kwargs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == want
