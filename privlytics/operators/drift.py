@@ -78,12 +78,20 @@ def headline(gaps: DataFrame) -> DataFrame:
 
 
 def desaturation(templated: DataFrame, diverse: DataFrame, limit: float = 0.999) -> DataFrame:
-    """Of (name, f1, ci_high): the drop in f1 and whether the diverse set spreads the scores. A model that has one of them only is not in the result."""
+    """Of (name, f1, ci_high): the drop in f1 and whether the diverse set spreads the scores. A model that has one of them only is in ``desaturation_skips``."""
     both = templated.select("name", F.col("f1").alias("f1_templated")).join(diverse.select("name", F.col("f1").alias("f1_diverse"), "ci_high"), "name")
     drop = F.round(F.col("f1_templated") - F.col("f1_diverse"), 4)
     return both.select("name", "f1_templated", "f1_diverse", drop.alias("drop"), ((F.col("ci_high") < limit) & (F.col("f1_diverse") < F.col("f1_templated"))).alias("desaturates"))
 
 
+def desaturation_skips(templated: DataFrame, diverse: DataFrame) -> DataFrame:
+    """(name, skipped) of models that ``desaturation`` leaves out or cannot compare: which of the two results, or its f1, is missing."""
+    at = lambda rows, s: rows.groupBy("name").agg(F.max("f1").alias(s))
+    every = at(templated, "t").join(at(diverse, "d"), "name", "full")
+    missing = F.concat_ws(", ", F.when(F.col("t").isNull(), "no templated result"), F.when(F.col("d").isNull(), "no diverse result"))
+    return every.select("name", missing.alias("skipped")).filter("skipped <> ''")
+
+
 def residual_bounds(rows: DataFrame) -> DataFrame:
     """Rows (detector, .., gold, pred) of two detectors: ``null`` finds nothing, ``perfect`` finds the gold."""
     kinds = F.array(F.struct(F.lit("null").alias("detector"), F.slice("gold", 1, 0).alias("pred")), F.struct(F.lit("perfect").alias("detector"), F.col("gold").alias("pred")))

@@ -199,3 +199,9 @@ def test_command_line(tmp_path, capsys):
     row = {"config": "en", "f1": 0.4149, "n": 1500, "taxonomy_version": "0.2.0"}
     (tmp_path / "board.json").write_text(json.dumps({"entries": {"a::m": [row]}}))
     assert main(["reproduce", str(tmp_path / "board.json"), "a::m"]) == 0 and main(["reproduce", str(tmp_path / "board.json"), "b::m"]) == 1
+
+
+def test_desaturation_skips(spark):
+    both = lambda rows: spark.createDataFrame(rows, "name string, f1 double, ci_high double")
+    got = drift.desaturation_skips(both([("m", 0.9, 1.0), ("o", 0.9, 1.0), ("p", None, None)]), both([("m", 0.8, 0.85), ("n", 0.9, 1.0), ("p", None, None)])).collect()
+    assert sorted((r.name, r.skipped) for r in got) == [("n", "no templated result"), ("o", "no diverse result"), ("p", "no templated result, no diverse result")]
