@@ -6,13 +6,17 @@ the result is each document's component under links.
 1. Equal sets become one class, told apart by two 64-bit sums over the set. Along the way a table of ``2**bits`` counters,
    chosen by the size of the texts (about 32 shingles a counter, at most 2**25), gathers how often shingles occur: a global
    order from rare to frequent. Counters are shared by shingles, which only makes some look more frequent than they are.
-2. Two sets that link share a shingle among the first ``n - ceil(t n) + 1`` of each in that order. Tasks send these
-   shingles with their class, packed, to the partition of the shingle's hash. Where several classes meet, the smallest is
-   the region's leader, and (leader, member) pairs are sent on: all linked pairs lie in a common region. Shingles with
-   counts over ``hot`` are dealt by rows instead, with their leader found by partial minimums.
-3. Members without any other of a size that could link leave. Regions are cut into blocks of ``block`` members. In regions
+2. Of two sets that link the smaller has a shingle among its first ``n - ceil(2 t n / (1 + t)) + 1`` in that order (index)
+   which is among the first ``n - ceil(t n) + 1`` of the larger (probe), and their sizes are at most one step of a
+   logarithmic scale apart. Tasks send these shingles with class and step, packed, to the partition of the shingle's
+   hash; there are so many partitions that each gets a bounded number of bytes. For each shingle and step, the classes of
+   this step and the next make a region if one of this step has the shingle for an index; the smallest is the region's
+   leader, and (leader, step, member) are sent on: all linked pairs lie in a common region. Shingles with counts far over
+   the mean are dealt by rows instead, with their leader found by partial minimums.
+3. Regions are cut into blocks of ``block`` members. In regions
    of one block a signature tree over bitmaps alone, a few bytes a member, keeps those members that may link with another;
-   only their sets are fetched. In each block, with the leader, a signature tree is built over the
+   only their sets are fetched. Bitmaps and sets are made where the texts are read and go straight to their regions. In
+   each block, with the leader, a signature tree is built over the
    members' sets: members sorted by size, nodes with OR-combined bitmaps of token bits and size ranges. Dual traversal
    leaves out node pairs whose maximum possible overlap is too small or whose members are connected already; pairs at
    the leaves are verified on the exact sets. Only links that join two components are sent on.
@@ -23,7 +27,7 @@ the result is each document's component under links.
 A large group of near copies costs in step 4 the product of unconnected members and group, in blocks, pruned by the trees.
 
 Cases: null or empty text: n_shingles 0, linked with nothing. Fewer words than a shingle: the whole sequence is one.
-Repeated rows: one component if they have words. Null ids: such rows link like others, but give no component its name;
+Repeated rows: one component if they have words. Very long texts are one set like others. Null ids: such rows link like others, but give no component its name;
 a component of null ids alone has a null name. Only id and text are read, so other columns do not matter.
 """
 
@@ -37,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import broadcast_if_small, materialize, partitions
 from .language_id import texts_of
 from .words import mix, shingle_sets
 
 HOT = 1 << 18
 BLOCK = 512
 FLUSH = 1 << 22
+#: Bytes of packed prefixes that one task is to meet.
+MEET_BYTES = 48 << 20
 Pairs = Iterator[pa.RecordBatch]
 
 
@@ -51,6 +57,15 @@ def _prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def _index_length(n: int, num: int, den: int) -> int:
+    return n - -(-2 * num * n // (num + den)) + 1
+
+
+def _step_of(n: int, num: int, den: int) -> int:
+    """Sizes within den / num of each other are at most one step apart; below 128."""
+    return int(np.log(n) / max(np.log(den / num) * (1 + 1e-9), 0.2))
+
+
 def _class_key(found: np.ndarray) -> tuple[int, int]:
     """Two independent sums over a set, as signed integers."""
     with np.errstate(over="ignore"):
@@ -120,29 +135,86 @@ def _sketch(tables: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _regions(docs: DataFrame, counts: np.ndarray, shingle: int, num: int, den: int, hot: int) -> DataFrame:
-    """Distinct (leader, member) pairs of classes, leader included: every linked pair of classes lies in a region."""
+def _pack(to: np.ndarray, token: np.ndarray, key: np.ndarray, step: np.ndarray) -> list[tuple[int, bytes]]:
+    """By target: runs of one class as (class, step, length), then all tokens; the lowest bit of a token says index."""
+    order = np.argsort(to, kind="stable")
+    token, key, step, to = token[order], key[order], step[order], to[order]
+    cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+    out = []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        run = a + np.flatnonzero(np.concatenate([[True], key[a + 1 : b] != key[a : b - 1]]))
+        sizes = np.diff(np.append(run, b)).astype(np.uint32)
+        out.append((int(to[a]), np.array([len(run)], np.int64).tobytes() + key[run].tobytes() + sizes.tobytes() + step[run].tobytes() + token[a:b].tobytes()))
+    return out
+
+
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, class, step, index) of packed prefixes."""
+    tokens, keys, steps = [], [], []
+    for blob in blobs:
+        n = int(np.frombuffer(blob[:8], np.int64)[0])
+        sizes = np.frombuffer(blob[8 + 8 * n : 8 + 12 * n], np.uint32)
+        keys.append(np.repeat(np.frombuffer(blob[8 : 8 + 8 * n], np.int64), sizes))
+        steps.append(np.repeat(np.frombuffer(blob[8 + 12 * n : 8 + 13 * n], np.uint8), sizes))
+        tokens.append(np.frombuffer(blob[8 + 13 * n :], np.uint64))
+    token = np.concatenate(tokens)
+    return token & ~np.uint64(1), np.concatenate(keys), np.concatenate(steps), (token & np.uint64(1)).astype(bool)
+
+
+def _meetings(token: np.ndarray, key: np.ndarray, step: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (leader, step, member) of the postings of some tokens."""
+    order = np.lexsort((key, token))
+    token, key = token[order], key[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])  # equal classes come from several tasks
+    order, token, key = order[new], token[new], key[new]
+    at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    count = np.diff(np.append(at, len(token)))
+    group, several = np.repeat(np.arange(len(at)), count), np.repeat(count > 1, count)
+    order, key, group = order[several], key[several], group[several]
+    step, index = step[order].astype(np.int64), index[order]
+    # each posting is in the region of its step, and in that of the step below
+    n = len(key)
+    key, region = np.concatenate([key, key]), np.concatenate([group * 256 + step + 1, group * 256 + step])
+    small = np.concatenate([index, np.zeros(n, bool)])
+    order = np.lexsort((key, region))
+    key, region, small = key[order], region[order], small[order]
+    at = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]])[: len(region)])
+    count = np.diff(np.append(at, len(region)))
+    ok = np.repeat((count > 1) & (np.add.reduceat(small, at, dtype=np.int64) > 0 if n else False), count)
+    leader, step, key = np.repeat(key[at], count)[ok], region[ok] % 256 - 1, key[ok]
+    order = np.lexsort((key, step, leader))
+    leader, step, key = leader[order], step[order], key[order]
+    new = np.concatenate([[True], (leader[1:] != leader[:-1]) | (step[1:] != step[:-1]) | (key[1:] != key[:-1])])[: len(key)]
+    return leader[new], step[new], key[new]
+
+
+def _regions(docs: DataFrame, counts: np.ndarray, total: int, shingle: int, num: int, den: int, hot: int) -> DataFrame:
+    """Distinct (region, member, lead) of classes, the leader included: every linked pair of classes lies in a region.
+
+    ``total``: shingles of all sets. A counter is hot if it stands ``hot`` over the mean of all.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counts)  # 2**bits numbers
-    targets = max(partitions(spark), 16)
+    often_from = hot + int(counts.mean())
+    targets = max(partitions(spark), 16, total * (den - num) // den * 11 // MEET_BYTES)
 
     def send(batches: Pairs) -> Pairs:
         counts = shared.value
         low = np.uint64(len(counts) - 1)
         seen: set[int] = set()
         tokens: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
+        keys: list[tuple[int, int, int]] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            token, key = np.concatenate(tokens), np.concatenate(keys)
-            often = counts[token & low] > hot
-            to = (token >> np.uint64(40)) % np.uint64(targets)
-            to = np.where(often, np.uint64(targets) + mix(token ^ key) % np.uint64(targets), to).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            token, key, to = token[order], key[order], to[order]
-            cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
-            out = [(int(to[a]), token[a:b].tobytes() + key[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            token, times = np.concatenate(tokens), [k[2] for k in keys]
+            key, step = np.repeat(np.array([k[0] for k in keys], np.int64), times), np.repeat(np.array([k[1] for k in keys], np.uint8), times)
+            bare = token & ~np.uint64(1)
+            to = (bare >> np.uint64(40)) % np.uint64(targets)
+            # dealt by the bare token, so that both of its forms are hot or not
+            often = np.maximum(counts[bare & low], counts[(bare | np.uint64(1)) & low]) > often_from
+            to = np.where(often, np.uint64(targets) + mix(bare ^ key.view(np.uint64)) % np.uint64(targets), to).astype(np.int64)
+            out = _pack(to, token, key, step)
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["target", "packed"])
 
         for batch in batches:
@@ -154,16 +226,18 @@ def _regions(docs: DataFrame, counts: np.ndarray, shingle: int, num: int, den: i
                 if key in seen:  # copies in this task say nothing new
                     continue
                 seen.add(key)
-                k = _prefix_length(len(found), num, den)
+                n = len(found)
+                k = _prefix_length(n, num, den)
                 often = counts[found & low]
-                if k < len(found):
+                if k < n:
                     limit = np.partition(often, k - 1)[k - 1]
-                    first = found[often < limit]
-                    first = np.concatenate([first, found[often == limit][: k - len(first)]])  # sets are sorted by hash
-                else:
-                    first = found
+                    less, equal = often < limit, np.flatnonzero(often == limit)  # sets are sorted by hash
+                    less[equal[: k - int(less.sum())]] = True
+                    found, often = found[less], often[less]
+                first = found & ~np.uint64(1)
+                first[np.argsort(often, kind="stable")[: _index_length(n, num, den)]] |= np.uint64(1)
                 tokens.append(first)
-                keys.append(np.full(len(first), key, np.int64).view(np.uint64))
+                keys.append((key, _step_of(n, num, den), len(first)))
                 held += len(first)
                 if held > FLUSH:
                     yield from flush()
@@ -172,66 +246,49 @@ def _regions(docs: DataFrame, counts: np.ndarray, shingle: int, num: int, den: i
         if held:
             yield from flush()
 
-    def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        both = [np.frombuffer(b, np.uint64).reshape(2, -1) for b in blobs]
-        return np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]).view(np.int64)
-
     def meet(batches: Pairs) -> Pairs:
-        blobs: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for target, blob in zip(batch.column("target").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                blobs.setdefault(target, []).append(blob)
-        for target in list(blobs):
-            token, key = unpack(blobs.pop(target))
-            order = np.lexsort((key, token))
-            token, key = token[order], key[order]
-            start = np.concatenate([[True], token[1:] != token[:-1]])
-            at = np.flatnonzero(start)
-            last = np.append(at[1:], len(token)) - 1
-            leader = np.repeat(key[at], last - at + 1)
-            several = np.repeat(key[at] != key[last], last - at + 1)
-            leader, member = leader[several], key[several]
-            order = np.lexsort((member, leader))
-            leader, member = leader[order], member[order]
-            new = np.concatenate([[True], (leader[1:] != leader[:-1]) | (member[1:] != member[:-1])])[: len(leader)]
-            leader, member = leader[new], member[new]
+        for blobs in _by_target(batches):
+            leader, step, member = _meetings(*_unpack(blobs))
             for a in range(0, len(leader), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(leader[a : a + (1 << 16)]), pa.array(member[a : a + (1 << 16)])], names=["leader", "member"])
+                part = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(leader[part]), pa.array(step[part], pa.int32()), pa.array(member[part])], names=["leader", "step", "member"])
 
     def rows(batches: Pairs) -> Pairs:
         for batch in batches:
             for blob in batch.column("packed").to_pylist():
-                token, key = unpack([blob])
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(key)], names=["token", "member"])
+                token, key, step, index = _unpack([blob])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(key), pa.array(step, pa.int32()), pa.array(index)], names=["token", "member", "own", "index"])
 
-    any_hot = bool((counts > hot).any())
+    any_hot = bool((counts > often_from).any())
     sent = docs.mapInArrow(send, "target int, packed binary")
     sent = materialize(sent, "jaccard-prefixes") if any_hot else sent
-    common = sent.filter(F.col("target") < targets).repartition(targets, "target").mapInArrow(meet, "leader long, member long")
-    pairs = common.groupBy("leader", "member").agg(F.lit(1).alias("one"))
+    common = sent.filter(F.col("target") < targets) if any_hot else sent
+    pairs = common.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(meet, "leader long, step int, member long")
     if any_hot:
-        each = materialize(sent.filter(F.col("target") >= targets).mapInArrow(rows, "token long, member long"), "jaccard-hot")
-        leaders = materialize(each.groupBy("token").agg(F.min("member").alias("leader"), F.max("member").alias("last")).filter("leader < last"), "jaccard-leaders")
-        pairs = pairs.unionByName(each.join(leaders, "token").groupBy("leader", "member").agg(F.lit(1).alias("one")))
-        pairs = pairs.groupBy("leader", "member").agg(F.lit(1).alias("one"))
-    return materialize(pairs.drop("one"), "jaccard-regions")
-
+        each = sent.filter(F.col("target") >= targets).mapInArrow(rows, "token long, member long, own int, index boolean")
+        each = each.withColumn("step", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+        each = materialize(each.withColumn("small", F.col("index") & (F.col("own") == F.col("step"))), "jaccard-hot")
+        leaders = each.groupBy("token", "step").agg(F.min("member").alias("leader"), F.max("member").alias("last"), F.max("small").alias("any"))
+        leaders = materialize(leaders.filter("leader < last and any").select("token", "step", "leader"), "jaccard-leaders")
+        pairs = pairs.unionByName(each.join(leaders, ["token", "step"]).select("leader", "step", "member"))
+    found = pairs.groupBy("leader", "step", "member").agg(F.lit(1).alias("one"))
+    out = materialize(found.select(F.xxhash64("leader", "step").alias("region"), "member", (F.col("leader") == F.col("member")).alias("lead")), "jaccard-regions")
+    shared.destroy()
+    return out
 
-def _sized(regions: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Regions without members that have no other of a size that could link (leaders stay), and without regions of one.
 
-    Sizes within den / num of each other are at most one step apart on a logarithmic scale of that step.
-    """
-    step = F.floor(F.log(F.col("n")) / F.lit(float(np.log(den / num)) * (1 + 1e-9))).cast("int")
-    sized = regions.join(classes.groupBy("k1").agg(F.max("n").alias("n")), F.col("member") == F.col("k1")).select("leader", "member", step.alias("step"))
-    sized = materialize(sized, "jaccard-steps")
-    counts = sized.groupBy("leader", "step").agg(F.count("*").alias("here"))
-    near = counts.select("leader", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "here")
-    near = materialize(near.groupBy("leader", "step").agg(F.sum("here").alias("near")).filter("near > 1"), "jaccard-near")
-    kept = sized.join(near, ["leader", "step"], "left").filter("near is not null or leader = member").select("leader", "member")
-    kept = materialize(kept, "jaccard-kept")
-    several = materialize(kept.groupBy("leader").count().filter("count > 1").select("leader"), "jaccard-several")
-    return kept.join(several, "leader")
+def _by_target(batches: Pairs) -> Iterator[list[bytes]]:
+    """The blobs of each target; batches are sorted by target."""
+    current, held = None, []
+    for batch in batches:
+        for target, blob in zip(batch.column("target").to_pylist(), batch.column("packed"), strict=True):
+            if target != current and held:
+                yield held
+                held = []
+            current = target
+            held.append(blob.as_py())
+    if held:
+        yield held
 
 
 # --- signature trees -------------------------------------------------------------------------------------------------
@@ -394,13 +451,14 @@ def _grouped(batches: Pairs, *names: str) -> Iterator[tuple[tuple, list[tuple]]]
         yield current, held
 
 
-def _survivors(placed: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
-    """Members of regions of one block, without those whose bitmaps say that they link with no other there."""
-    targets = 4 * max(partitions(placed.sparkSession), 16)
+def _survivors(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(region, member) of rows (region, task, member, n, bits) without those whose bitmaps say that they link with no other there."""
+    targets = 4 * max(partitions(rows.sparkSession), 16)
 
     def run(batches: Pairs) -> Pairs:
         out: list[tuple[int, int]] = []
-        for (leader, _), rows in _grouped(batches, "leader", "blocks", "member", "n", "bits"):
+        for (region, _), rows in _grouped(batches, "region", "task", "member", "n", "bits"):
+            rows = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]  # a repeated row may come from several tasks
             keep = np.zeros(len(rows), bool)
 
             def leaf(ia: np.ndarray, ib: np.ndarray, keep: np.ndarray = keep) -> None:
@@ -409,25 +467,23 @@ def _survivors(placed: DataFrame, bitmaps: DataFrame, num: int, den: int) -> Dat
             if len(rows) > 1:
                 tree = _tree([r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows])
                 dual_walk(tree, tree, num, den, leaf)
-            out += [(leader, r[0]) for r, k in zip(rows, keep, strict=True) if k]
+            out += [(region, r[0]) for r, k in zip(rows, keep, strict=True) if k]
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["leader", "member"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["region", "member"])
                 out = []
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["leader", "member"])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["region", "member"])
 
-    one = placed.filter("blocks = 1").join(bitmaps, F.col("member") == F.col("key")).select("leader", "blocks", "member", "n", "bits")
-    dealt = one.repartition(targets, "leader").sortWithinPartitions("leader", "member")
-    kept = dealt.mapInArrow(run, "leader long, member long").withColumn("blocks", F.lit(1)).withColumn("mine", F.lit(0))
-    return placed.filter("blocks > 1").select("leader", "member", "blocks", "mine").unionByName(kept)
+    return rows.repartition(targets, "region").sortWithinPartitions("region", "member").mapInArrow(run, "region long, member long")
 
 
 def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) links from rows (task, side, member, comp, tokens): side 0 alone is joined with itself, else 0 with 1."""
+    """(a, b) links from rows (region, task, side, member, comp, tokens): side 0 alone is joined with itself, else 0 with 1."""
     targets = 4 * max(partitions(rows.sparkSession), 16)
 
     def run(batches: Pairs) -> Pairs:
         out: list[tuple[int, int]] = []
         for _, rows in _grouped(batches, "region", "task", "side", "member", "comp", "tokens"):
+            rows = [r for i, r in enumerate(rows) if not i or r[:2] != rows[i - 1][:2]]  # a repeated row may come from several tasks
             left = [r for r in rows if r[0] == 0]
             right = [r for r in rows if r[0] == 1]
             if not left or len(rows) < 2:
@@ -460,28 +516,32 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _of_classes(source: DataFrame, classes: DataFrame, placed: DataFrame, shingle: int, make, schema: str) -> DataFrame:
-    """(key, *schema) made from the set of each class in ``placed``; computed anew from one of its texts."""
-    wanted = placed.select(F.col("member").alias("k1")).distinct()
-    ids = materialize(classes.join(wanted, "k1").select("row").distinct(), "jaccard-wanted")
-    small = ids.count() * 64 <= 64 << 20
-    chosen = source.join(F.broadcast(ids) if small else ids, "row").select("text")
-    full = f"key long, {schema}"
-    names = [part.split()[0] for part in full.split(",")]
-    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[part.split()[1]] for part in full.split(",")]
+def _fetch(source: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int, make, schema: str) -> DataFrame:
+    """``wanted`` (member, ...) with the columns of ``schema``, which ``make`` makes of the member's set.
+
+    The set is computed anew from one text of the class, where that text is read; nothing but the result is moved.
+    """
+    found = wanted.join(classes.select(F.col("k1").alias("member"), "row"), "member")
+    spots = materialize(found.groupBy("row").agg(F.collect_set(F.struct(*wanted.columns)).alias("spots")), "jaccard-wanted")  # a member's own regions
+    chosen = source.join(broadcast_if_small(spots, 32 + 64 * F.size("spots")), "row").select("text", "spots")
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    old, new = wanted.dtypes, [part.split() for part in schema.split(", ")]
+    types = [kinds[kind] for _, kind in [*old, *new]]
+    names = [name for name, _ in [*old, *new]]
 
     def run(batches: Pairs) -> Pairs:
         seen: set[int] = set()  # equal rows of this task say nothing new
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             rows = []
-            for found in shingle_sets(data, offsets, shingle):
+            for found, spots in zip(shingle_sets(data, offsets, shingle), batch.column("spots"), strict=True):
                 if len(found) and (key := _class_key(found)[0]) not in seen:
                     seen.add(key)
-                    rows.append([key, *make(found)])
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+                    made = make(found)
+                    rows += [[*spot.values(), *made] for spot in spots.as_py()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=names)
 
-    return chosen.mapInArrow(run, full)
+    return chosen.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in [*old, *new]))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 3, den: int = 4, bits: int | None = None, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -494,20 +554,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sets = both.filter("part is null").select("doc_id", "row", "n", "k1", "k2")
     counts = _sketch(both.filter("part is not null").select("part", "counts"), bits)
     classes = materialize(sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.max("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
-    regions = _regions(source, counts, shingle, num, den, hot)
-    regions = materialize(_sized(regions, classes, num, den), "jaccard-sized")
-    sizes = materialize(regions.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "jaccard-blocks")
-    placed = regions.join(sizes, "leader").withColumn("mine", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int"))
-    placed = materialize(placed, "jaccard-placed")
-    bitmaps = materialize(_of_classes(source, classes, placed, shingle, lambda found: [len(found), signature(found, _width(len(found))).tobytes()], "n int, bits binary"), "jaccard-bitmaps")
-    placed = materialize(_survivors(placed, bitmaps, num, den), "jaccard-survivors")
-    store = materialize(_of_classes(source, classes, placed, shingle, lambda found: [found.tobytes()], "tokens binary"), "jaccard-tokens")
-    inside = placed.select(F.col("leader").alias("region"), F.explode(F.when(F.col("leader") == F.col("member"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))).alias("task"), "member")
-    rows = inside.join(store, F.col("member") == F.col("key")).select("region", F.col("task").cast("string").alias("task"), F.lit(0).alias("side"), "member", F.col("member").alias("comp"), "tokens")
-    links = _search(rows, num, den)
+    total = classes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    regions = _regions(source, counts, total, shingle, num, den, hot)
+    sizes = regions.groupBy("region").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = materialize(regions.join(sizes, "region").withColumn("mine", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int")), "jaccard-placed")
+    one = placed.filter("blocks = 1").select("region", F.lit("0").alias("task"), "member")
+    bitmaps = _fetch(source, classes, one, shingle, lambda found: [len(found), signature(found, _width(len(found))).tobytes()], "n int, bits binary")
+    kept = materialize(_survivors(bitmaps, num, den), "jaccard-survivors").withColumn("task", F.lit(0))
     wide = placed.filter("blocks > 1")
+    spread = wide.select("region", "member", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))).alias("task"))
+    wanted = kept.unionByName(spread).select("region", F.col("task").cast("string").alias("task"), F.lit(0).alias("side"), "member", F.col("member").alias("comp"))
+    store = lambda wanted: _fetch(source, classes, wanted, shingle, lambda found: [found.tobytes()], "tokens binary")
+    links = _search(store(wanted), num, den)
     if not wide.isEmpty():
-        links = materialize(links.unionByName(_across(wide, store, components(links), block, num, den)), "jaccard-links")
+        links = materialize(links.unionByName(_search(store(_across(wide, components(links), block)), num, den)), "jaccard-links")
     joined = components(links)
     named = joined.join(classes.groupBy("k1").agg(F.min("first").alias("first")), F.col("node") == F.col("k1"), "left")
     names = named.groupBy("comp").agg(F.min("first").alias("component"))
@@ -518,16 +578,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select("s.doc_id", F.col("s.n").cast("long").alias("n_shingles"), F.when(F.col("s.n") > 0, F.col("f.component")).otherwise(F.col("s.doc_id")).alias("component_id"), F.coalesce("f.copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
-def _across(placed: DataFrame, store: DataFrame, labels: DataFrame, block: int, num: int, den: int) -> DataFrame:
-    """Links between the blocks of a region: members not connected with the leader, against all others."""
-    named = placed.join(labels, F.col("member") == F.col("node"), "left").select("leader", "member", F.coalesce("comp", "member").alias("comp"))
+def _across(placed: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """(region, task, side, member, comp) for the links between the blocks of a region: members not connected with the leader, against all others."""
+    named = placed.join(labels, F.col("member") == F.col("node"), "left").select("region", "member", "lead", F.coalesce("comp", "member").alias("comp"))
     named = materialize(named, "jaccard-across")
-    main = named.filter("leader = member").select(F.col("leader").alias("l"), F.col("comp").alias("main"))
-    split = named.join(main, F.col("leader") == F.col("l")).withColumn("loose", F.col("comp") != F.col("main")).drop("l", "main")
+    main = named.filter("lead").select(F.col("region").alias("r"), F.col("comp").alias("main"))
+    split = named.join(main, F.col("region") == F.col("r")).withColumn("loose", F.col("comp") != F.col("main")).drop("r", "main", "lead")
     split = materialize(split, "jaccard-split")
-    counts = split.groupBy("leader").agg(F.ceil(F.count_if("loose") / block).cast("int").alias("nl"), F.ceil(F.count_if(~F.col("loose")) / block).cast("int").alias("nc"))
+    counts = split.groupBy("region").agg(F.ceil(F.count_if("loose") / block).cast("int").alias("nl"), F.ceil(F.count_if(~F.col("loose")) / block).cast("int").alias("nc"))
     counts = materialize(counts.filter("nl > 0"), "jaccard-counts")
-    dealt = split.join(counts, "leader").withColumn("mine", F.pmod(F.xxhash64("member", F.lit(2)), F.when(F.col("loose"), F.col("nl")).otherwise(F.col("nc"))).cast("int"))
+    dealt = split.join(counts, "region").withColumn("mine", F.pmod(F.xxhash64("member", F.lit(2)), F.when(F.col("loose"), F.col("nl")).otherwise(F.col("nc"))).cast("int"))
     every = lambda n: F.sequence(F.lit(0), n - 1)
     task = lambda kind, x, y: F.concat_ws("-", F.lit(kind), x.cast("string"), y.cast("string"))
     me = F.col("mine")
@@ -539,6 +599,5 @@ def _across(placed: DataFrame, store: DataFrame, labels: DataFrame, block: int,
         F.transform(every(F.col("nc")), lambda j: F.struct(task("c", me, j).alias("task"), F.lit(0).alias("side"))),
     )
     firm = F.transform(every(F.col("nl")), lambda j: F.struct(task("c", j, me).alias("task"), F.lit(1).alias("side")))
-    spread = dealt.select(F.col("leader").alias("region"), "member", "comp", F.explode(F.when(F.col("loose"), loose).otherwise(firm)).alias("t"))
-    rows = spread.join(store, F.col("member") == F.col("key")).select("region", "t.task", "t.side", "member", "comp", "tokens")
-    return _search(rows, num, den)
+    spread = dealt.select("region", "member", "comp", F.explode(F.when(F.col("loose"), loose).otherwise(firm)).alias("t"))
+    return spread.select("region", "t.task", "t.side", "member", "comp")
