@@ -2,20 +2,21 @@
 
 A text is lower-cased and cut into the byte n-grams (2 to 4) of its words, with a mark at both ends of a word; n-grams
 are hashed into ``2**BITS`` embeddings of ``DIM`` numbers, their mean goes through a linear softmax. Embeddings and softmax
-are trained by stochastic gradient descent in numpy on the driver, on a sample of labelled texts whose size is bounded by
-``per_lang`` texts (on average) for each of at most ``max_langs`` languages; each text comes as its n-gram counts,
-so no more than ``2**BITS`` numbers. Executors get embeddings times softmax as one table of ``2**BITS`` x languages floats.
+are trained by stochastic gradient descent in numpy in one task, on a sample of labelled texts whose size is bounded by
+``per_lang`` texts (on average) for each language; each text comes as its n-gram counts,
+so no more than ``2**BITS`` numbers. The model is embeddings times softmax as one table of ``2**BITS`` x languages floats.
 
 Rejection is calibrated on a part of the sample that training has not seen: a temperature is fitted to its likelihood,
 and a text is rejected if its calibrated probability is below that which all but ``reject`` of the rightly predicted
 calibration texts reach. Texts without a letter are ``und`` and rejected.
 
-Whole texts are read, in pieces of bounded size. Cases: null or empty text and text without letters: ``und``, score 0,
+Whole texts are read; very long ones in pieces of bounded size that overlap, so that each n-gram counts once. Cases: null or empty text and text without letters: ``und``, score 0,
 rejected. Null labels are not learned from. Without any label every text is ``und``. Repeated rows have equal results.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small
+
 BITS, DIM, PIECE = 15, 16, 1 << 20
 #: By n-gram length: mask of a little-endian group of four bytes, and an odd multiplier.
 GRAMS = ((2, 0xFFFF, 0x9E3779B1), (3, 0xFFFFFF, 0x85EBCA6B), (4, 0xFFFFFFFF, 0xC2B2AE35))
@@ -72,20 +75,30 @@ def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         at = min(upto, n)
 
 
-def _row_sums(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
+def text_grams(data: np.ndarray, size: int = PIECE) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of one text, piece by piece; pieces overlap by what the longest n-gram needs."""
+    line = np.concatenate([np.full(1, 32, np.uint8), data])  # the first word has its mark
+    for at in range(0, len(line), size):
+        for ids in ngram_ids(line[at : at + size + 3]):
+            yield ids[:size]
+
+
+def _row_sums(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, size: int = PIECE) -> np.ndarray:
     """For each row the sum of ``table`` over its n-grams; a last column of ones makes this their count as well."""
     out = np.zeros((len(offsets) - 1, table.shape[1]))
-    for a, b in pieces(offsets):
-        for at in range(offsets[a], max(offsets[b], offsets[a] + 1), PIECE * 4):  # more than one step only for one long text
-            end = min(offsets[b], at + PIECE * 4)
-            # a blank before each text: words at its ends have their marks
-            starts = np.maximum(offsets[a:b], at) - at + np.arange(b - a)
-            text = np.full(end - at + (b - a), 32, np.uint8)
-            where = np.ones(len(text), bool)
-            where[starts] = False
-            text[where] = data[at:end]
-            for ids in ngram_ids(text):
-                out[a:b] += np.add.reduceat(table[ids], starts, axis=0)
+    for a, b in pieces(offsets, size):
+        if b == a + 1 and offsets[b] - offsets[a] > size:
+            for ids in text_grams(data[offsets[a] : offsets[b]], size):
+                out[a] += table[ids].sum(axis=0, dtype=np.float64)
+            continue
+        # a blank before each text: words at its ends have their marks
+        starts = offsets[a:b] - offsets[a] + np.arange(b - a)
+        text = np.full(offsets[b] - offsets[a] + (b - a), 32, np.uint8)
+        where = np.ones(len(text), bool)
+        where[starts] = False
+        text[where] = data[offsets[a] : offsets[b]]
+        for ids in ngram_ids(text):
+            out[a:b] += np.add.reduceat(table[ids], starts, axis=0)
     return out
 
 
@@ -93,11 +106,11 @@ def _lower(batch: pa.RecordBatch) -> pa.Array:
     return pc.utf8_lower(batch.column("text"))
 
 
-def _sample(docs: DataFrame, per_lang: int, max_langs: int, learn: Column) -> DataFrame:
+def _sample(docs: DataFrame, per_lang: int, learn: Column) -> DataFrame:
     """(key, lang, ids, counts, calib): n-gram counts of a bounded sample of labelled texts."""
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("key"), "lang", "text")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    rates = F.broadcast(sizes.select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("rate")))
+    sizes = known.groupBy("lang").count()
+    rates = broadcast_if_small(sizes.select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("rate")), F.octet_length("lang") + 32)
     drawn = known.join(rates, "lang").filter(F.crc32(F.concat(F.lit("fit"), F.coalesce("key", F.lit("")))) / 2.0**32 < F.col("rate"))
     drawn = drawn.select("key", "lang", "text", (F.crc32(F.concat(F.lit("calib"), F.coalesce("key", F.lit("")))) % 4 == 0).alias("calib"))
 
@@ -107,9 +120,8 @@ def _sample(docs: DataFrame, per_lang: int, max_langs: int, learn: Column) -> Da
             ids, counts = [], []
             for i in range(batch.num_rows):
                 total = np.zeros((1 << BITS) + 1, np.int64)
-                for at in range(offsets[i], offsets[i + 1], PIECE):
-                    for g in ngram_ids(np.concatenate([np.full(1, 32, np.uint8), data[at : min(at + PIECE, offsets[i + 1])]])):
-                        total += np.bincount(g, minlength=len(total))
+                for g in text_grams(data[offsets[i] : offsets[i + 1]]):
+                    total += np.bincount(g, minlength=len(total))
                 found = np.flatnonzero(total[:-1])
                 ids.append(found.astype(np.int32))
                 counts.append(total[found].astype(np.float32))
@@ -118,28 +130,40 @@ def _sample(docs: DataFrame, per_lang: int, max_langs: int, learn: Column) -> Da
     return drawn.mapInArrow(count, "key string, lang string, ids array<int>, counts array<float>, calib boolean")
 
 
-def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """The lists of a column as views of its buffer: no Python object for each number."""
-    whole = pa.concat_arrays(column.chunks)
-    offsets, values = whole.offsets.to_numpy(), whole.values.to_numpy()
-    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-
-
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(docs: DataFrame, learn: Column | None = None, per_lang: int = 1000, max_langs: int = 200, epochs: int = 4, rate: float = 0.5, reject: float = 0.002, seed: int = 7) -> dict:
-    """The model: langs, table (buckets x langs), bias, temperature, threshold."""
-    rows = _sample(docs, per_lang, max_langs, F.lit(True) if learn is None else learn).toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
-    keys, lang, calib = rows["key"].to_pylist(), rows["lang"].to_pylist(), np.array(rows["calib"].to_pylist(), bool)
-    del keys
-    langs = sorted(set(lang))
-    if not langs:
+def fit(docs: DataFrame, learn: Column | None = None, per_lang: int = 1000, epochs: int = 4, rate: float = 0.5, reject: float = 0.002, seed: int = 7) -> dict:
+    """The model: langs, table (buckets x langs), bias, temperature, threshold. It is trained in one task, on the bounded sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, calib, ids, counts = [], [], [], []
+        for batch in batches:
+            lang += batch.column("lang").to_pylist()
+            calib += batch.column("calib").to_pylist()
+            for name, held in (("ids", ids), ("counts", counts)):
+                column = batch.column(name)
+                offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+                held += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        if lang:
+            out = io.BytesIO()
+            np.savez(out, **train(lang, np.array(calib, bool), ids, counts, epochs, rate, reject, seed))
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
+
+    sample = _sample(docs, per_lang, F.lit(True) if learn is None else learn)
+    got = sample.repartition(1).sortWithinPartitions("key", "lang").mapInArrow(run, "model binary").collect()  # one row: the model
+    if not got:
         return {"langs": [], "table": np.zeros(((1 << BITS) + 1, 1), np.float32), "bias": np.zeros(0), "temperature": 1.0, "threshold": 1.0}
-    y = np.searchsorted(langs, lang)
-    ids, counts = _views(rows["ids"]), _views(rows["counts"])
+    found = np.load(io.BytesIO(bytes(got[0].model)))
+    return {"langs": found["langs"].tolist(), "table": found["table"], "bias": found["bias"], "temperature": float(found["temperature"]), "threshold": float(found["threshold"])}
+
+
+def train(lang: list[str], calib: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], epochs: int = 4, rate: float = 0.5, reject: float = 0.002, seed: int = 7) -> dict:
+    """Stochastic gradient descent over texts as n-gram counts; those of ``calib`` only calibrate."""
+    langs = sorted(set(lang))
+    y = np.array([{x: i for i, x in enumerate(langs)}[x] for x in lang])
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, ((1 << BITS) + 1, DIM)).astype(np.float32)
     emb[-1] = 0

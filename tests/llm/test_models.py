@@ -37,16 +37,44 @@ def test_language_cases(spark):
     assert language_id.predict(docs.limit(0), language_id.fit(docs)).count() == 0
 
 
-def test_row_sums_of_long_texts(monkeypatch):
+def test_language_against_plain_python(spark):
+    """Whole texts of the table and some odd ones, scored n-gram by n-gram."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    odd = [(-1, "é", None), (-2, "Ünïcode ÉCOLE straße", None), (-3, " the  end.", None), (-4, "A", None), (-5, "the cat " * 100_000, None)]
+    some = docs.filter("doc_id % 40 = 0").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    table, bits = model["table"].astype(float), language_id.BITS
+    for r in language_id.predict(some, model).collect():
+        line = b" " + bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in r.text.lower().encode()) + b"    "
+        total, n, seen = np.zeros(len(model["langs"])), 0, {}
+        for i in range(len(line) - 4):
+            for size, mask, k in language_id.GRAMS:
+                gram = line[i : i + size]
+                if b" " in gram[1:-1] or gram[1:] == b" " * (size - 1) and (size > 2 or gram[:1] == b" "):
+                    continue
+                seen[gram] = seen.get(gram, 0) + 1
+        for gram, times in seen.items():
+            mask, k = next((m, k) for size, m, k in language_id.GRAMS if size == len(gram))
+            total += times * table[((int.from_bytes(gram, "little") & mask) * k & 0xFFFFFFFF) >> (32 - bits)]
+            n += times
+        z = (total / max(n, 1) + model["bias"]) * model["temperature"]
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(r.score - p.max()) < 1e-3 and r.lang_pred == model["langs"][int(p.argmax())], r.text[:50]
+
+
+def test_row_sums_of_long_texts():
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("abc é"), n)) for n in (0, 3, 900, 40, 2000)]
     raw = [t.encode() for t in texts]
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
-    table = np.ones(((1 << language_id.BITS) + 1, 1), np.float32)
+    table = rng.random(((1 << language_id.BITS) + 1, 2)).astype(np.float32)
     table[-1] = 0
     whole = language_id._row_sums(data, offsets, table)
-    one = [sum(int((g < 1 << language_id.BITS).sum()) for g in language_id.ngram_ids(np.frombuffer(b" " + r, np.uint8))) for r in raw]
-    assert np.abs(whole[:, 0] - one).max() <= 2  # a text is joined with the blank before the next
+    one = np.array([sum(table[g].sum(axis=0, dtype=float) for g in language_id.ngram_ids(np.frombuffer(b" " + r, np.uint8))) for r in raw])
+    assert np.abs(whole - one).max() <= 4  # a text is joined with the blank before the next
+    for size in (1, 7, 64, 500):
+        pieced = language_id._row_sums(data, offsets, table, size)
+        assert np.allclose(pieced[[2, 4]], one[[2, 4]], atol=1e-2)  # the long ones, exactly
 
 
 def test_media_round_trip(spark):
