@@ -46,38 +46,45 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Matches that are walked at once: an array that grows by one item is copied each time.
+WALK = 128
+
+
 def regex_spans(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as array<struct<start,end,value>>; code points, end exclusive.
 
-    Starts come from the lengths of the pieces between the matches, so the text is walked twice and never per match.
+    Starts come from the lengths of the pieces between the matches, so the text is walked twice and never per match. The
+    walk goes block by block of ``WALK`` matches, so its time grows with the matches, not with their square.
     """
     pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     item = "struct<start:int,end:int,value:string>"
-    walked = F.aggregate(
-        F.zip_with(pieces, found, lambda p, m: F.struct(F.char_length(p).alias("gap"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(F.char_length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), acc["out"])
-            .otherwise(
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + x["gap"]).alias("start"),
-                            (acc["at"] + x["gap"] + F.char_length(x["m"])).alias("end"),
-                            x["m"].alias("value"),
-                        )
-                    ),
-                )
-            )
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    gaps = F.zip_with(pieces, found, lambda p, m: F.struct(F.char_length(p).alias("gap"), m.alias("m")))
+
+    def walk(part: Column, at: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(at.alias("at"), F.array().cast(f"array<{item}>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + F.coalesce(F.char_length(x["m"]), F.lit(0))).alias("at"),
+                F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.char_length(x["m"])).alias("end"), x["m"].alias("value"))))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    def blocks(whole: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / WALK).cast("int")), lambda b: F.slice(whole, b * WALK + 1, F.lit(WALK)))
+        span = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(F.char_length(x["m"]), F.lit(0)))
+        placed = F.aggregate(
+            cut,
+            F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,part:array<struct<gap:int,m:string>>>>").alias("out")),
+            lambda acc, part: F.struct((acc["at"] + span(part)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), part.alias("part")))).alias("out")),
+            lambda acc: acc["out"],
+        )
+        return F.flatten(F.transform(placed, lambda b: walk(b["part"], b["at"])))
+
     # rows without a match skip the walk
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(f"array<{item}>"))
+    return F.when(F.size(found) == 0, F.array().cast(f"array<{item}>")).when(F.size(found) < 2 * WALK, walk(gaps, F.lit(0))).otherwise(blocks(gaps))
 
 
 def span_text(spans: Column) -> Column:

@@ -3,13 +3,15 @@
 Base kinds (assign, access, hex) are found by their patterns and always kept. Further candidates (bearer: prefixed
 service tokens; opaque: long mixed runs) are kept only if the corpus says that they are owner-specific. Candidate hashes
 are aggregated over the whole corpus: in how many repositories (documents) and by how many owners (sources) each occurs.
-A value seen with at least ``example_owners`` owners is an ``example``, copied widely; any other is ``live``.
+A value seen with at least ``example_owners`` owners, or in at least ``example_repos`` repositories whoever owns them, is
+an ``example``, copied widely; any other is ``live``.
 
 Hashes are counted in two steps, by (hash, owner) and then by hash, so a value in a third of all rows is pre-aggregated
-in every task; verdicts go back to the candidates by (hash, salt).
+in every task; verdicts go back to the candidates by broadcast if they are few, else by (hash, salt).
 
 Cases: null text is empty. Null repository or owner: counted as one more of each. Repeated rows: each has its result and
-they count as one repository. Columns of the input with the names of new ones are replaced.
+they count as one repository. Very long texts are read whole; the patterns are possessive, so their time grows with the
+text. Columns of the input with the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, regex_spans
+from .common import BROADCAST_BYTES, broadcast_if_small, materialize, regex_spans
 
 # Patterns by kind, in order.
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -66,7 +68,7 @@ def _kind_spans(text: Column, kind: str, rank: int) -> Column:
     return F.when(_possible(kind, text), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
-def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str = "text", example_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str = "text", example_owners: int = 3, example_repos: int = 50) -> DataFrame:
     """(``repo``, row_hash, secrets): one row for each different (repository, text) with candidates.
 
     ``secrets``: array<struct<start,end,rank,kind,label>> sorted by start, then kind; label: live or example.
@@ -78,23 +80,29 @@ def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", t
     spans = found.select("repo", "owner", "row_hash", F.explode("spans").alias("s"))
     by_owner = spans.select(F.col("s.hash").alias("hash"), "owner", "repo").groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     counts = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    verdicts = materialize(counts.select("hash", "owners", "repos", F.when(F.col("owners") >= example_owners, "example").otherwise("live").alias("label")), "secret-verdicts")
-    salted = verdicts.select("hash", "label", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    labelled = spans.withColumn("hash", F.col("s.hash")).withColumn("salt", F.pmod(F.xxhash64("repo", "s.start"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
+    copied = (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)
+    verdicts = materialize(counts.select("hash", "owners", "repos", F.when(copied, "example").otherwise("live").alias("label")), "secret-verdicts")
+    spans = spans.withColumn("hash", F.col("s.hash"))
+    if verdicts.count() * 64 <= BROADCAST_BYTES:
+        labelled = spans.join(F.broadcast(verdicts.select("hash", "label")), "hash")
+    else:
+        salted = verdicts.select("hash", "label", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        labelled = spans.withColumn("salt", F.pmod(F.xxhash64("repo", "s.start"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
     one = F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.rank").alias("rank"), F.col("s.kind").alias("kind"), "label")
     rows = labelled.groupBy("repo", "row_hash").agg(F.array_sort(F.collect_set(one)).alias("secrets"))
     base = lambda s: s["kind"].isin(*BASE)
     inside = lambda s: F.exists(F.filter("secrets", base), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    return rows.withColumn("secrets", F.filter("secrets", lambda s: base(s) | ((s["label"] == "live") & ~inside(s))))
+    return materialize(rows.withColumnRenamed("repo", repo), "secret-rows").withColumn("secrets", F.filter("secrets", lambda s: base(s) | ((s["label"] == "live") & ~inside(s))))
 
 
 def join_secrets(docs: DataFrame, secrets: DataFrame, repo: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with their ``secrets`` (empty where there are none)."""
-    found = secrets.select(F.col("repo").alias("_repo"), F.col("row_hash").alias("_hash"), "secrets")
-    base = docs.drop("secrets")
-    joined = base.join(found, base[repo].eqNullSafe(F.col("_repo")) & (F.xxhash64(F.coalesce(base[text], F.lit(""))) == F.col("_hash")), "left")
+    found = broadcast_if_small(secrets.select(F.col(repo).alias("_repo"), F.col("row_hash").alias("_hash"), "secrets"), 48 + 48 * F.size("secrets"), 16 << 20)
+    # the hash is a column before the join, so that texts are only moved where they are asked for
+    base = docs.drop("secrets").withColumn("_mine", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = base.join(found, base[repo].eqNullSafe(F.col("_repo")) & (F.col("_mine") == F.col("_hash")), "left")
     empty = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,label:string>>")
-    return joined.drop("_repo", "_hash").withColumn("secrets", F.coalesce("secrets", empty))
+    return joined.drop("_repo", "_hash", "_mine").withColumn("secrets", F.coalesce("secrets", empty))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
