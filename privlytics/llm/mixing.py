@@ -2,18 +2,21 @@
 
 A naive Bayes classifier over the tokens that documents contain, each domain against the others with a calibrated logistic
 curve, is learned from a labelled table (on a bounded sample of
-about ``sample`` labelled documents; at most ``vocabulary`` tokens) and gives each document posteriors over the domains.
+about ``sample`` labelled documents) and gives each document posteriors over the domains.
 A document's rate is how often it should be used. Nonnegative rates are fitted so that the expected tokens of each domain,
 sum of rate x tokens x posterior, are in the target proportions while the total stays as it is: least squares by projected
-gradient, preconditioned with the domains' Gram matrix. Each step is one distributed aggregation over the table of
-(tokens, posteriors); the driver sees as many numbers as there are domains, squared. A step that makes the error worse is
-halved and done again. Rates are written out every few steps.
-
-Tokens are runs of letters and digits or of other signs, and marks for the share of distinct tokens and of signs. Documents
+gradient. Each step is two distributed aggregations over the table of
+(tokens, posteriors): one gives the projected gradient's norm and the Gram matrix of the documents that are free to move,
+the other the error at several points, plain gradient steps of several lengths and steps scaled by that matrix, each
+projected onto rates of 0 and more; the best is taken. The plain step of length 1 / L is among them, so the error falls
+until the projected gradient is 0, which is the optimum. The driver sees as many numbers as there are points, times
+domains squared. Rates are written out every few steps.
+
+Tokens are runs of letters and digits or of other signs, and a mark for how the number of distinct tokens grows with that of all (the ratio of their logarithms). Documents
 are told apart by (id, text). Each text's scores are summed before the shuffle, so no domain, source or text can be hot.
 
 Cases: null or empty text: no tokens, prior posteriors, a rate like any other. Repeated rows count each and get one rate
-each. Labels of unknown documents or with null domains are not used; a domain without labels is only as likely as
+each. Very long texts count by all their tokens. Empty labels: all posteriors are alike. Only zero targets: ValueError. Labels of unknown documents or with null domains are not used; a domain without labels is only as likely as
 smoothing makes it. Labels of a document that disagree count each. Columns with clashing names are replaced.
 """
 
@@ -23,10 +26,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize
 
 #: Rows that a token's rates are drawn to the mean by; standard deviations that a token must stand out by.
 SHRINK, SURPRISE = 5.0, 4.0
+#: Sums of log weights are bent towards this.
+BEND = 8.0
+#: Tried steps: lengths of plain ones in 1 / L, of those scaled by the inverse Gram matrix, and what is added to its diagonal in L.
+PLAIN, SCALED, DAMPED = (1.0, 16.0, 256.0), (1.0, 0.5, 0.125), (1e-1, 1e-2, 1e-3, 1e-4, 1e-5)
 TOKEN = r"[\p{L}\p{N}]++|[^\p{L}\p{N}\s]++"
 
 
@@ -38,12 +45,12 @@ def _features(docs: DataFrame) -> DataFrame:
     text = F.lower(F.coalesce("text", F.lit("")))
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("all"))
     base = base.select("doc_id", "row_hash", F.size("all").alias("n"), F.array_distinct("all").alias("d"))
-    ratio = F.floor(10 * F.size("d") / F.greatest(F.col("n"), F.lit(1)) / F.when(F.col("n") > 400, 0.5).otherwise(1.0))
-    marks = F.array(F.lit("\n"), F.concat(F.lit("\nd"), F.least(ratio, F.lit(9)).cast("string")))
+    growth = F.floor(40 * F.log(F.size("d") + 1.0) / F.log(F.col("n") + 1.0))
+    marks = F.array(F.lit("\n"), F.concat(F.lit("\nd"), F.when(F.col("n") > 0, growth).otherwise(-1).cast("string")))
     return base.select("doc_id", "row_hash", "n", F.concat("d", marks).alias("tokens"))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = 6000, vocabulary: int = 3000) -> tuple[DataFrame, list[tuple[float, float]]]:
+def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = 6000) -> tuple[DataFrame, list[tuple[float, float]]]:
     """((token, w array<double>): log weights of a token for each domain against the others, calibration curves).
 
     The token of a line break is in every document and weighs nothing.
@@ -69,7 +76,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], sampl
         z = F.abs(here - expected) / F.sqrt(expected + 1)
         weights.append(F.when(z >= SURPRISE, F.struct(z.alias("z"), ratio.alias("w"))).otherwise(F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("w"))))
     both = df.filter(F.col("token") != "\n").withColumn("zw", F.array(*weights)).withColumn("z", F.array_max(F.transform("zw", lambda x: x["z"])))
-    best = both.filter("z > 0").orderBy(F.col("z").desc(), "token").limit(vocabulary).select("token", F.transform("zw", lambda x: x["w"]).alias("w"))
+    best = both.filter("z > 0").select("token", F.transform("zw", lambda x: x["w"]).alias("w"))
     zeros = F.array(*(F.lit(0.0) for _ in domains))
     one = docs.sparkSession.range(1).select(F.lit("\n").alias("token"), zeros.alias("w"))
     table = materialize(best.unionByName(one), "mix-weights")
@@ -93,12 +100,12 @@ def _platt(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float, float
 
 
 def _sums(docs: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """(doc_id, row_hash, n, copies, s array<double>): sums of the weights of each (id, text), within bounds."""
+    """(doc_id, row_hash, n, copies, s array<double>): sums of the weights of each (id, text), bent by a tanh: long texts are not surer without end."""
     each = _features(docs).select("doc_id", "row_hash", "n", F.explode_outer("tokens").alias("token"))
-    hit = each.join(F.broadcast(weights), "token")  # at most ``vocabulary`` + 1 rows
+    hit = each.join(broadcast_if_small(weights, F.octet_length("token") + 64), "token")  # tokens of the bounded sample that stand out
     # the token of every document counts the rows, so that repeated rows do not add up
     summed = hit.groupBy("doc_id", "row_hash", "n").agg(F.count_if(F.col("token") == "\n").alias("copies"), *(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)))
-    return summed.select("doc_id", "row_hash", "n", "copies", F.array(*(F.greatest(F.lit(-8.0), F.least(F.lit(8.0), F.col(f"s{i}") / F.col("copies"))) for i in range(k))).alias("s"))
+    return summed.select("doc_id", "row_hash", "n", "copies", F.array(*(BEND * F.tanh(F.col(f"s{i}") / F.col("copies") / BEND) for i in range(k))).alias("s"))
 
 
 def posteriors(docs: DataFrame, weights: DataFrame, curves: list[tuple[float, float]]) -> DataFrame:
@@ -108,35 +115,49 @@ def posteriors(docs: DataFrame, weights: DataFrame, curves: list[tuple[float, fl
     return summed.select("doc_id", "row_hash", "copies", F.col("n").cast("long").alias("tokens"), F.transform(F.array(*parts), lambda x: x / sum(parts[1:], parts[0])).alias("p"))
 
 
-def fit_rates(table: DataFrame, targets: list[float], steps: int = 40, tolerance: float = 1e-4) -> DataFrame:
-    """``table`` (copies, tokens, p) with ``rate``."""
+def fit_rates(table: DataFrame, targets: list[float], tolerance: float = 1e-3) -> DataFrame:
+    """``table`` (copies, tokens, p) with ``rate``: nonnegative least squares of the domains' shares.
+
+    Ends where every share is within ``tolerance`` of its target, or else where the norm of the projected gradient is below
+    a tenth of ``tolerance`` of the error, or four steps gain less than ``tolerance`` of it. The number of steps has no limit.
+    """
+    if sum(targets) <= 0 or min(targets) < 0:
+        raise ValueError("targets: nonnegative weights that are not all 0")
     k = range(len(targets))
     goal = np.array(targets, float) / sum(targets)
     mass = F.col("copies") * F.col("tokens")
     rate: Column = F.lit(1.0)
     p = [F.col("p")[i] for i in k]
+    along = lambda move: sum((p[i] * float(move[i]) for i in k[1:]), p[0] * float(move[0]))
     first = table.agg(F.sum(mass), *(F.sum(mass * p[i]) for i in k), *(F.sum(mass * p[i] * p[j]) for i in k for j in k)).first()
     total = float(first[0] or 0)
     if not total:
         return table.withColumn("rate", rate)
-    gram = np.array([float(x) for x in first[1 + len(targets) :]]).reshape(len(targets), -1) / total
-    error = np.array([float(x) for x in first[1 : 1 + len(targets)]]) / total - goal
-    solve = np.linalg.pinv(gram, rcond=1e-6)
-    size, depth = 1.0, 0
-    for _ in range(steps):
-        if np.abs(error).max() < tolerance or size < 1e-3:
+    square = lambda values: np.array([float(x or 0) for x in values]).reshape(len(targets), -1) / total
+    length = float(np.linalg.eigvalsh(square(first[1 + len(targets) :])).max())
+    error = square(first[1 : 1 + len(targets)])[:, 0] - goal
+    depth, errors = 0, [float((error**2).sum())]
+    while (size := float(np.abs(error).max())) > tolerance:
+        slope = along(error)
+        free = (rate > 0) | (slope < 0)
+        got = table.agg(F.sum(mass * F.when(free, slope * slope)), *(F.sum(F.when(free, mass * p[i] * p[j])) for i in k for j in k)).first()
+        if np.sqrt(float(got[0] or 0) / total) < 0.1 * tolerance * size:
             break
-        move = size * (solve @ error)
-        next_rate = F.greatest(F.lit(0.0), rate - sum((p[i] * float(move[i]) for i in k[1:]), p[0] * float(move[0])))
-        got = table.agg(*(F.sum(mass * p[i] * next_rate) for i in k)).first()
-        new = np.array([float(x) for x in got]) / total - goal
-        if np.abs(new).sum() >= np.abs(error).sum() * (1 - 1e-4):
-            size /= 2
-            continue
-        rate, error, depth = next_rate, new, depth + 1
-        if depth % 6 == 0:
+        gram = square(got[1:])
+        moves = [error / length * x for x in PLAIN] + [np.linalg.pinv(gram, rcond=1e-6) @ error * x for x in SCALED]
+        moves += [np.linalg.solve(gram + x * length * np.eye(len(targets)), error) for x in DAMPED]
+        points = [F.greatest(F.lit(0.0), rate - along(move)) for move in moves]
+        sums = square(table.agg(*(F.sum(mass * p[i] * r) for i in k for r in points)).first()) - goal[:, None]
+        best = int(np.argmin((sums**2).sum(axis=0)))
+        if (now := float((sums[:, best] ** 2).sum())) >= errors[-1]:
+            break
+        errors.append(now)
+        rate, error, depth = points[best], sums[:, best], depth + 1
+        if depth % 4 == 0:
             table = materialize(table.withColumn("so_far", rate), "mix-rates")
             rate = F.col("so_far")
+        if len(errors) > 4 and now > errors[-5] * (1 - tolerance):
+            break
     return table.withColumn("rate", rate).drop("so_far")
 
 
@@ -150,10 +171,10 @@ def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -
 def join_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """``docs`` with ``rate``, ``p`` and ``tokens`` of their (id, text)."""
     new = ("rate", "p", "tokens")
-    base = docs.drop(*new)
+    # the hash is a column before the join, so that texts are only moved where they are asked for
+    base = docs.drop(*new).withColumn("_mine", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = rates.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), *new)
-    on = base["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(base["text"], F.lit(""))) == F.col("_hash"))
-    return base.join(found, on, "left").drop("_id", "_hash")
+    return base.join(found, base["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_hash")), "left").drop("_id", "_hash", "_mine")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
