@@ -115,7 +115,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learn = F.coalesce(crc_mod(F.col("doc_id"), 5) != 1, F.lit(True))
-    return lm_score.score(docs, lm_score.fit(docs, learn), learn)
+    coded = lm_score.encode(docs, learn)
+    return lm_score.score(coded, lm_score.fit(coded))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
