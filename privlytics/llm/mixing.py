@@ -5,12 +5,14 @@ curve, is learned from a labelled table (on a bounded sample of
 about ``sample`` labelled documents) and gives each document posteriors over the domains.
 A document's rate is how often it should be used. Nonnegative rates are fitted so that the expected tokens of each domain,
 sum of rate x tokens x posterior, are in the target proportions while the total stays as it is: least squares by projected
-gradient. Each step is two distributed aggregations over the table of
-(tokens, posteriors): one gives the projected gradient's norm and the Gram matrix of the documents that are free to move,
-the other the error at several points, plain gradient steps of several lengths and steps scaled by that matrix, each
-projected onto rates of 0 and more; the best is taken. The plain step of length 1 / L is among them, so the error falls
-until the projected gradient is 0, which is the optimum. The driver sees as many numbers as there are points, times
-domains squared. Rates are written out every few steps.
+gradient, with a small weight (``evenness``) on the rates' squared distance from 1, so that of all rates that do as well
+the evenest are found. The rates are at any time the projection of 1 - p x force onto rates of 0 and more, with one force
+for each domain; a step moves the forces along the gradient, scaled by the inverse Gram matrix of the documents with
+rates over 0, or plainly by 1 / L, whichever of a few tried lengths does best. Each step is one distributed aggregation over
+the table of (tokens, posteriors); the driver sees a few numbers for each pair of domains, and the rate stays one short
+expression, whatever the number of steps. The weight is lowered tenfold each time the steps have arrived, down to
+``evenness`` or until the targets are met. Where they are out of reach, a small ``evenness`` means that few documents are
+used often.
 
 Tokens are runs of letters and digits or of other signs, and a mark for how the number of distinct tokens grows with that of all (the ratio of their logarithms). Documents
 are told apart by (id, text). Each text's scores are summed before the shuffle, so no domain, source or text can be hot.
@@ -32,8 +34,8 @@ from .common import broadcast_if_small, materialize
 SHRINK, SURPRISE = 5.0, 4.0
 #: Sums of log weights are bent towards this.
 BEND = 8.0
-#: Tried steps: lengths of plain ones in 1 / L, of those scaled by the inverse Gram matrix, and what is added to its diagonal in L.
-PLAIN, SCALED, DAMPED = (1.0, 16.0, 256.0), (1.0, 0.5, 0.125), (1e-1, 1e-2, 1e-3, 1e-4, 1e-5)
+#: Tried lengths of the steps that are scaled by the inverse Gram matrix; a plain step of length 1 / L comes with them.
+SCALED = (1.0, 0.4, 0.1)
 TOKEN = r"[\p{L}\p{N}]++|[^\p{L}\p{N}\s]++"
 
 
@@ -115,57 +117,66 @@ def posteriors(docs: DataFrame, weights: DataFrame, curves: list[tuple[float, fl
     return summed.select("doc_id", "row_hash", "copies", F.col("n").cast("long").alias("tokens"), F.transform(F.array(*parts), lambda x: x / sum(parts[1:], parts[0])).alias("p"))
 
 
-def fit_rates(table: DataFrame, targets: list[float], tolerance: float = 1e-3) -> DataFrame:
+def fit_rates(table: DataFrame, targets: list[float], evenness: float = 1e-6, tolerance: float = 1e-3) -> DataFrame:
     """``table`` (copies, tokens, p) with ``rate``: nonnegative least squares of the domains' shares.
 
-    Ends where every share is within ``tolerance`` of its target, or else where the norm of the projected gradient is below
-    a tenth of ``tolerance`` of the error, or four steps gain less than ``tolerance`` of it. The number of steps has no limit.
+    Ends where every share is within ``tolerance`` of its target, or where the gradient at a weight of ``evenness`` is below
+    a tenth of ``tolerance`` of the error. The number of steps has no limit: each makes the convex objective smaller.
     """
     if sum(targets) <= 0 or min(targets) < 0:
         raise ValueError("targets: nonnegative weights that are not all 0")
-    k = range(len(targets))
+    n = len(targets)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
     goal = np.array(targets, float) / sum(targets)
-    mass = F.col("copies") * F.col("tokens")
-    rate: Column = F.lit(1.0)
-    p = [F.col("p")[i] for i in k]
-    along = lambda move: sum((p[i] * float(move[i]) for i in k[1:]), p[0] * float(move[0]))
-    first = table.agg(F.sum(mass), *(F.sum(mass * p[i]) for i in k), *(F.sum(mass * p[i] * p[j]) for i in k for j in k)).first()
-    total = float(first[0] or 0)
+    total = float(table.agg(F.sum(F.col("copies") * F.col("tokens"))).first()[0] or 0)
     if not total:
-        return table.withColumn("rate", rate)
-    square = lambda values: np.array([float(x or 0) for x in values]).reshape(len(targets), -1) / total
-    length = float(np.linalg.eigvalsh(square(first[1 + len(targets) :])).max())
-    error = square(first[1 : 1 + len(targets)])[:, 0] - goal
-    depth, errors = 0, [float((error**2).sum())]
-    while (size := float(np.abs(error).max())) > tolerance:
-        slope = along(error)
-        free = (rate > 0) | (slope < 0)
-        got = table.agg(F.sum(mass * F.when(free, slope * slope)), *(F.sum(F.when(free, mass * p[i] * p[j])) for i in k for j in k)).first()
-        if np.sqrt(float(got[0] or 0) / total) < 0.1 * tolerance * size:
+        return table.withColumn("rate", F.lit(1.0))
+
+    def rate_of(force: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col("p")[i] * float(force[i]) for i in range(1, n)), F.col("p")[0] * float(force[0])))
+
+    def look(forces: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each of some forces: the squared rates, the error, and the Gram matrix of the documents with rates over 0."""
+        rows = table.select((F.col("copies") * F.col("tokens") / total).alias("w"), *(F.col("p")[i].alias(f"p{i}") for i in range(n)), *(rate_of(f).alias(f"r{c}") for c, f in enumerate(forces)))
+        sums = []
+        for c in range(len(forces)):
+            r = F.col(f"r{c}")
+            sums += [F.sum(F.col("w") * r * r), *(F.sum(F.col("w") * r * F.col(f"p{i}")) for i in range(n))]
+            sums += [F.sum(F.when(r > 0, F.col("w") * F.col(f"p{i}") * F.col(f"p{j}"))) for i, j in pairs]
+        got = np.array([float(x or 0) for x in rows.agg(*sums).first()]).reshape(len(forces), -1)
+        out = []
+        for line in got:
+            gram = np.zeros((n, n))
+            for (i, j), x in zip(pairs, line[1 + n :], strict=True):
+                gram[i, j] = gram[j, i] = x
+            out.append((line[0], line[1 : 1 + n] - goal, gram))
+        return out
+
+    force, weight = np.zeros(n), 1.0
+    squares, error, gram = look([force])[0]
+    length = float(np.linalg.eigvalsh(gram).max())
+    while np.abs(error).max() > tolerance:
+        slope = weight * force - error
+        if np.abs(slope).max() > 0.1 * tolerance * np.abs(error).max():
+            step = np.linalg.solve(gram + weight * np.eye(n), slope)
+            tried = [force - x * step for x in SCALED] + [force - slope / (length + weight)]
+            found = look(tried)
+            objective = lambda f, sq: 0.5 * weight * f @ f + 0.5 * sq + goal @ f
+            best = min(range(len(tried)), key=lambda c: objective(tried[c], found[c][0]))
+            if objective(tried[best], found[best][0]) < objective(force, squares):
+                force, (squares, error, gram) = tried[best], found[best]
+                continue
+        if weight <= evenness * 1.0001:
             break
-        gram = square(got[1:])
-        moves = [error / length * x for x in PLAIN] + [np.linalg.pinv(gram, rcond=1e-6) @ error * x for x in SCALED]
-        moves += [np.linalg.solve(gram + x * length * np.eye(len(targets)), error) for x in DAMPED]
-        points = [F.greatest(F.lit(0.0), rate - along(move)) for move in moves]
-        sums = square(table.agg(*(F.sum(mass * p[i] * r) for i in k for r in points)).first()) - goal[:, None]
-        best = int(np.argmin((sums**2).sum(axis=0)))
-        if (now := float((sums[:, best] ** 2).sum())) >= errors[-1]:
-            break
-        errors.append(now)
-        rate, error, depth = points[best], sums[:, best], depth + 1
-        if depth % 4 == 0:
-            table = materialize(table.withColumn("so_far", rate), "mix-rates")
-            rate = F.col("so_far")
-        if len(errors) > 4 and now > errors[-5] * (1 - tolerance):
-            break
-    return table.withColumn("rate", rate).drop("so_far")
+        weight = max(weight / 10, evenness)
+    return table.withColumn("rate", rate_of(force))
 
 
-def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
+def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float], evenness: float = 1e-4) -> DataFrame:
     """(doc_id, row_hash, tokens, p, rate) for each different (id, text); ``labels``: (doc_id, domain), ``targets``: domain -> weight."""
     domains = sorted(targets)
     table = materialize(posteriors(docs, *fit_classifier(docs, labels, domains)), "mix-posteriors")
-    return materialize(fit_rates(table, [targets[d] for d in domains]), "mix-rates")
+    return materialize(fit_rates(table, [targets[d] for d in domains], evenness), "mix-rates")
 
 
 def join_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
