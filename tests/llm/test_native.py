@@ -212,3 +212,48 @@ def test_reply_tree(spark):
     every = chat.format_chats(df, branches=9).collect()
     assert {r.leaf: [t for t in r.formatted.replace("</turn>", "").split("\n") if t.startswith("t")] for r in every} == {5: ["t1", "t2", "t4", "t5"], 6: ["t1", "t3", "t6"], 7: ["t7"]}
     assert [r.leaf for r in chat.format_chats(df).collect()] == [5]
+
+
+TREE = "conv_id long, node long, parent long, role string, text string, score double"
+
+
+def test_reply_tree_with_repeated_nodes(spark):
+    nodes = [(1, n, n - 1 if n > 1 else None, "user", f"t{n}", 0.0) for n in range(1, 5)]
+    nodes += [(1, 2, 1, "user", "t2", 0.0), (1, 3, 2, "user", "t3 told otherwise", 0.0), (1, 3, 2, "user", "t3", 0.0), (None, 1, None, None, None, None)]
+    out = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(nodes, TREE), branches=None).select("conv_id", chat.parse_chats(F.col("formatted")).alias("turns")).collect()}
+    assert [t.text for t in out[1].turns] == ["t1", "t2", "t3", "t4"] and [tuple(t) for t in out[None].turns] == [("", "")]
+
+
+def test_circles_and_what_hangs_on_them_are_left_out(spark):
+    edges = [(1, 1, 3), (1, 2, 1), (1, 3, 2), (1, 4, 3), (1, 5, 4), (2, 1, None), (2, 2, 1), (2, 3, 4), (2, 4, 3), (2, 9, 4), (3, 1, 1), (3, 2, 1)]
+    df = spark.createDataFrame([(c, n, p, "user", f"t{n}", 0.0) for c, n, p in edges], TREE)
+    out = chat.format_chats(df, branches=None).select("conv_id", "leaf", chat.parse_chats(F.col("formatted")).alias("turns")).collect()
+    assert [(r.conv_id, r.leaf, [t.text for t in r.turns]) for r in out] == [(2, 2, ["t1", "t2"])]
+
+
+def test_odd_roles_and_long_texts(spark):
+    rows = [(1, 0, "a>b\n<c>\\g", "\\g>"), (1, 1, "assistant", "<#\\>" * 250_000), (1, 2, ">", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    r = chat.format_chats(chat.linear_tree(df)).select(chat.parse_chats(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [tuple(t) for t in r.turns] == [x[2:] for x in rows] and r.loss == rows[1][3]
+
+
+@pytest.mark.parametrize("branches", [1, 2])
+def test_branches_against_brute_force(spark, branches):
+    import random
+
+    rng = random.Random(branches)
+    nodes = [(c, n, rng.randrange(n) if n and rng.random() < 0.9 else None, "user", f"t{n}", float(rng.randrange(4))) for c in range(12) for n in range(rng.randrange(1, 14))]
+    want = {}
+    for c in range(12):
+        of = {n: (p, s) for k, n, p, _, _, s in nodes if k == c}
+        paths = []
+        for leaf in set(of) - {p for p, _ in of.values()}:
+            path, at = [], leaf
+            while at is not None:
+                path.append(at)
+                at = of[at][0]
+            paths.append((-sum(of[n][1] for n in path), leaf, [f"t{n}" for n in reversed(path)]))
+        want |= {(c, leaf): path for _, leaf, path in sorted(paths)[:branches]}
+    out = chat.format_chats(spark.createDataFrame(nodes, TREE), branches=branches).select("conv_id", "leaf", chat.parse_chats(F.col("formatted")).alias("turns")).collect()
+    assert {(r.conv_id, r.leaf): [t.text for t in r.turns] for r in out} == want
