@@ -11,7 +11,7 @@ which there are at most two a rule, go to every salt. The sweep holds the rules
 meant for up to some 100,000 rules a label.
 
 Cases: null url or no ``://``: host and path are empty and only a rule with an empty host fits. Rules with null host or
-path: taken as empty. Two rules alike: the one whose verdict sorts first. Repeated urls and rows: each has its result. No
+path: taken as empty. Very long urls are handled like others. Two rules alike: the one whose verdict sorts first. Repeated urls and rows: each has its result. No
 rules: all get the default verdict. Columns of the input with the names of new ones are replaced.
 """
 
@@ -88,8 +88,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     names = [c for c in pages.columns if c not in new]
     salts = max(64, 4 * partitions(spark))
     rows = pages.select(*kept, host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
-    # dealt by the content as well: neither a hot host nor repeated rows fill one salt
-    rows = rows.withColumn("top", _top(F.col("key"))).withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    # dealt by all columns of a row, so the same way each time: no hot host fills one salt (rows that are equal in all columns stay together)
+    rows = rows.withColumn("top", _top(F.col("key"))).withColumn("salt", F.pmod(F.xxhash64(*(c for c, kind in rows.dtypes if "map" not in kind)), F.lit(salts)).cast("int"))
     segments = _segments(rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     merged = rows.withColumn("url_row", F.lit(True)).unionByName(segments.withColumn("url_row", F.lit(False)), allowMissingColumns=True)
     swept = Window.partitionBy("top", "salt").orderBy("key", "url_row").rowsBetween(Window.unboundedPreceding, 0)
