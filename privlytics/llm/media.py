@@ -10,7 +10,7 @@ a block, as 256 + byte, so that all have the same magnitude category and each sc
 4:2:0 chroma and these scans for each component: first DC bits (restarted at each block, so that no prediction is needed),
 DC refinement, and for the bands 1-5 and 6-63 first bits and refinement. The payload's true length is in a comment.
 
-Cases: null payload is empty; the empty payload is padded to one block of zero bytes, like any other. Equal payloads give
+Rows are handled in batches of bounded bytes; a very long payload is one file and a batch of its own. Cases: null payload is empty; the empty payload is padded to one block of zero bytes, like any other. Equal payloads give
 equal files. A column of broken files raises ValueError. Columns with the names of new ones are replaced.
 """
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -418,12 +419,23 @@ def _extended(df: DataFrame, new: dict[str, str]) -> tuple[DataFrame, str]:
     return kept, ", ".join([*old, *(f"`{k}` {v}" for k, v in new.items())])
 
 
+def _small(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``PIECE`` bytes of a binary column, one row at least."""
+    for batch in batches:
+        sizes = np.cumsum([0 if x is None else x for x in pc.binary_length(batch.column(name)).to_pylist()])
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def store_media(df: DataFrame, payload: str = "payload") -> DataFrame:
     """``df`` with ``media`` (the file of the payload) and ``n_bytes`` (the payload's length)."""
     kept, schema = _extended(df, {"n_bytes": "bigint", "media": "binary"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, payload):
             rows = [x or b"" for x in batch.column(payload).to_pylist()]
             groups: dict[int, list[int]] = defaultdict(list)
             for i, x in enumerate(rows):
@@ -450,7 +462,7 @@ def read_media(df: DataFrame, media: str = "media", payload: bool = True, tensor
     kept, schema = _extended(df, new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, media):
             files = batch.column(media).to_pylist()
             out: dict[str, list] = {k: [None] * len(files) for k in new}
             for i, f, coefs, rgb, feature in decode_many(files):

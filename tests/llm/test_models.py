@@ -94,9 +94,48 @@ def test_media_table(spark):
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     for r in queries.op2_media(spark, SF).collect():
         padded = docs[r.doc_id].ljust(max(1, -(-len(docs[r.doc_id]) // 64)) * 64, b"\0")
+        assert r.rgb_bytes == 3 * np.prod([int(n) for n in r.feature.split(":")[0].split("x")])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(docs[r.doc_id]), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
 
 
+def plain_picture(payload):
+    """The tensor of a stored payload, block by block: coefficients 256 + byte of unit steps, 4:2:0 chroma repeated."""
+    padded = payload.ljust(max(1, -(-len(payload) // 64)) * 64, b"\0")
+    columns, rows = media.shape_of(len(padded) // 64)
+    blocks = np.full((6 * columns * rows, 64), 256.0)
+    found = np.frombuffer(padded, np.uint8).reshape(-1, 64)
+    blocks[: len(found)] += found
+    k = np.arange(8)
+    c = np.where(k == 0, math.sqrt(1 / 8), 0.5)[:, None] * np.cos((2 * k[None] + 1) * k[:, None] * math.pi / 16)
+    units = columns * rows
+
+    def plane(part, across):
+        out = np.zeros((len(part) // across * 8, across * 8))
+        for i, block in enumerate(part):
+            square = np.zeros(64)
+            square[media.ZIGZAG] = block
+            y, x = divmod(i, across)
+            out[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8] = c.T @ square.reshape(8, 8) @ c
+        return np.clip(np.round(out + 128), 0, 255)
+
+    y, cb, cr = plane(blocks[: 4 * units], 2 * columns), plane(blocks[4 * units : 5 * units], columns), plane(blocks[5 * units :], columns)
+    cb, cr = (p.repeat(2, 0).repeat(2, 1) - 128 for p in (cb, cr))
+    return np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=-1), 0, 255)
+
+
+def test_tensors_and_long_payloads(spark):
+    texts = ["short", "some words of a text " * 30, "é" * 40_000, "x" * 3_000_000]
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, height string").withColumn("payload", media.text_payload(F.col("text")))
+    for r in media.read_media(media.store_media(docs)).collect():
+        raw = r.text.encode()
+        assert bytes(r.stored) == raw.ljust(-(-len(raw) // 64) * 64, b"\0")
+        if len(raw) < 10**6:
+            rgb = np.frombuffer(bytes(r.rgb), np.uint8).reshape(r.height, r.width, 3)
+            assert np.abs(rgb - plain_picture(raw)).max() <= 3
+            means = [int(m) for m in r.feature.split(":")[1].split(",")]
+            assert np.abs(np.array(means) / 1000 - rgb.reshape(-1, 3).mean(axis=0)).max() < 0.01
+
+
 class Writer:
     """A plain writer of progressive scans with 8-bit codes, to test the general reader."""
 
