@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tokens import strip
+
 RESULT = "struct<valid:boolean,sex:string,birth_date:string,place_code:string>"
 # Weights and tables of the public check-digit rules.
 CNP_WEIGHTS = (2, 7, 9, 1, 4, 6, 3, 5, 8, 2, 7, 9)
@@ -55,7 +57,7 @@ def _digits(v: Column, n: int) -> Column:
 
 
 def parse_ro(value: Column) -> Column:
-    v = F.trim(value)
+    v = strip(value)
     rem = weighted(v, CNP_WEIGHTS) % 11
     s, m, d = digit(v, 1), number(v, 4, 2), number(v, 6, 2)
     century = F.when(s.isin(1, 2), 1900).when(s.isin(3, 4), 1800).when(s.isin(5, 6), 2000)
@@ -66,7 +68,7 @@ def parse_ro(value: Column) -> Column:
 
 
 def parse_pl(value: Column) -> Column:
-    v = F.trim(value)
+    v = strip(value)
     raw, d = number(v, 3, 2), number(v, 5, 2)
     band = raw - raw % 20
     year = F.when(band == 0, 1900).when(band == 20, 2000).when(band == 40, 2100).when(band == 60, 2200).when(band == 80, 1800) + number(v, 1, 2)
@@ -75,14 +77,14 @@ def parse_pl(value: Column) -> Column:
 
 
 def parse_es(value: Column) -> Column:
-    v = F.replace(F.upper(F.trim(value)), F.lit("-"), F.lit(""))
+    v = F.replace(F.upper(strip(value)), F.lit("-"), F.lit(""))
     v = F.concat(F.translate(F.substring(v, 1, 1), "XYZ", "012"), F.expr("''"), F.substr(v, F.lit(2), F.length(v)))
     letter = F.substr(F.lit(DNI_LETTERS), (number(v, 1, 8) % 23 + 1).cast("int"), F.lit(1))
     return _result(v.rlike("^[0-9]{8}[A-Z]$") & (letter == F.substring(v, 9, 1)))
 
 
 def parse_de(value: Column) -> Column:
-    v = F.trim(value)
+    v = strip(value)
     digits = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.ascii(F.substr(v, i, F.lit(1))) - 48)
     step = lambda product, d: F.when((d + product) % 10 == 0, 10).otherwise((d + product) % 10) * 2 % 11
     check = 11 - F.aggregate(digits, F.lit(10), step)
@@ -90,14 +92,14 @@ def parse_de(value: Column) -> Column:
 
 
 def parse_nl(value: Column) -> Column:
-    v = F.trim(value)
+    v = strip(value)
     v = F.when(F.length(v) == 8, F.concat(F.lit("0"), v)).otherwise(v)
     total = weighted(v, BSN_WEIGHTS)
     return _result(_digits(v, 9) & (total % 11 == 0) & (total != 0))
 
 
 def parse_baltic(value: Column) -> Column:
-    v = F.trim(value)
+    v = strip(value)
     one, two = weighted(v, BALTIC_FIRST) % 11, weighted(v, BALTIC_SECOND) % 11
     check = F.when(one < 10, one).when(two < 10, two).otherwise(0)
     g, m, d = digit(v, 1), number(v, 4, 2), number(v, 6, 2)
@@ -107,7 +109,7 @@ def parse_baltic(value: Column) -> Column:
 
 
 def parse_si(value: Column) -> Column:
-    v = F.replace(F.trim(value), F.lit(" "), F.lit(""))
+    v = F.replace(strip(value), F.lit(" "), F.lit(""))
     rem = 11 - weighted(v, EMSO_WEIGHTS) % 11
     y, m, d = number(v, 5, 3), number(v, 3, 2), number(v, 1, 2)
     year = F.when(y > 800, 1000 + y).otherwise(2000 + y)
@@ -122,7 +124,7 @@ def _letter_index(c: Column) -> Column:
 
 def parse_it(value: Column) -> Column:
     """Two-digit years: dates are yy-mm-dd; February has 29 days. Letters that stand for digits are read as these."""
-    v = F.upper(F.trim(value))
+    v = F.upper(strip(value))
     part = lambda i: _letter_index(F.substr(v, i, F.lit(1)))
     table = F.array(*map(F.lit, CF_ODD))
     terms = F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.when(i % 2 == 1, F.get(table, part(i))).otherwise(part(i)))
@@ -139,7 +141,7 @@ def parse_it(value: Column) -> Column:
 
 def parse_fr(value: Column) -> Column:
     """Two-digit years and no day: dates are yy-mm, null where the month is not known."""
-    v = F.replace(F.upper(F.trim(value)), F.lit(" "), F.lit(""))
+    v = F.replace(F.upper(strip(value)), F.lit(" "), F.lit(""))
     dept = F.substring(v, 6, 2)
     body = F.concat(F.substring(v, 1, 5), F.when(dept == "2A", "19").when(dept == "2B", "18").otherwise(dept), F.substring(v, 8, 6))
     month = number(v, 4, 2)
@@ -150,7 +152,7 @@ def parse_fr(value: Column) -> Column:
 
 def parse_se(value: Column) -> Column:
     """Dates are yyyy-mm-dd for twelve digits, else yy-mm-dd; a day over 60 is that day less 60."""
-    full = F.translate(F.trim(value), "-+ ", "")
+    full = F.translate(strip(value), "-+ ", "")
     long = _digits(full, 12)
     v = F.when(long, F.substring(full, 3, 10)).otherwise(full)
     doubled = lambda i: digit(v, i) * 2 - F.when(digit(v, i) > 4, 9).otherwise(0)
@@ -165,7 +167,7 @@ def parse_se(value: Column) -> Column:
 
 
 def parse_cz(value: Column) -> Column:
-    v = F.translate(F.trim(value), "/ ", "")
+    v = F.translate(strip(value), "/ ", "")
     raw = number(v, 3, 2)
     woman = raw.between(51, 62) | raw.between(71, 82)
     base = F.when(woman, raw - 50).otherwise(raw)
@@ -178,7 +180,7 @@ def parse_cz(value: Column) -> Column:
 
 
 def parse_dk(value: Column) -> Column:
-    v = F.translate(F.trim(value), "- ", "")
+    v = F.translate(strip(value), "- ", "")
     mark, yy = digit(v, 7), number(v, 5, 2)
     century = F.when(mark <= 3, 1900).when(mark.isin(4, 9), F.when(yy < 37, 2000).otherwise(1900)).otherwise(F.when(yy < 58, 2000).otherwise(1800))
     m, d = number(v, 3, 2), number(v, 1, 2)
@@ -186,7 +188,7 @@ def parse_dk(value: Column) -> Column:
 
 
 def parse_fi(value: Column) -> Column:
-    v = F.upper(F.trim(value))
+    v = F.upper(strip(value))
     mark = F.substring(v, 7, 1)
     century = F.when(mark == "+", 1800).when(mark.isin(*"-YXWVU"), 1900).otherwise(2000)
     whole = number(v, 1, 6) * 1000 + number(v, 8, 3)
@@ -207,3 +209,13 @@ def parse(country: Column, value: Column) -> Column:
     for cc, parser in PARSERS.items():
         out = out.when(country == cc, parser(value))
     return out.otherwise(invalid)
+
+
+def supported_countries() -> list[str]:
+    return sorted(PARSERS)
+
+
+def disclosed(parsed: Column, country: Column) -> Column:
+    """How many quasi-identifiers (sex, birth date, place) a valid id gives away; 0 for countries whose ids hold none."""
+    told = sum((parsed[f].isNotNull().cast("int") for f in ("birth_date", "place_code")), parsed["sex"].isNotNull().cast("int"))
+    return F.when(parsed["valid"] & country.isin(*DECODE_BEARING), told).otherwise(0).cast("long")

@@ -41,3 +41,8 @@ def bioes(owners: Column, labels: Column) -> Column:
         return F.when(owner < 0, "O").otherwise(F.concat(mark, F.lit("-"), F.get(labels, i)))
 
     return F.transform(owners, tag)
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privlytics.functions.redaction import is_mask, mask_spans, value_survives, words
+from privlytics.functions.stats import wilson
 from privlytics.functions.tokens import SPACE, token_count, whitespace_tokens
 
 
@@ -21,6 +22,14 @@ def survivors(subjects: DataFrame, redacted: DataFrame) -> DataFrame:
     return both.select("detector", "doc_id", "country", "value", (~value_survives(F.col("redacted"), F.col("value"))).alias("detected"))
 
 
+def redaction_report(subjects: DataFrame, redacted: DataFrame) -> DataFrame:
+    """Per detector: subjects (doc_id, value, qi), those of whom a part survives masking, their share with its interval, and what they give away."""
+    both = redacted.join(subjects, "doc_id").select("detector", "qi", value_survives(F.col("redacted"), F.col("value")).alias("left"))
+    n = both.groupBy("detector").agg(F.count("*").alias("subjects_total"), F.count_if(F.col("left")).alias("subjects_leaked"), F.coalesce(F.sum(F.when(F.col("left"), F.col("qi"))), F.lit(0)).cast("long").alias("leaked_quasi_identifiers"))
+    low, high = wilson(F.col("subjects_leaked"), F.col("subjects_total"))
+    return n.select("detector", "subjects_total", "subjects_leaked", (F.col("subjects_leaked") / F.col("subjects_total").cast("double")).alias("leak_rate"), F.round(low, 12).alias("leak_rate_ci_low"), F.round(high, 12).alias("leak_rate_ci_high"), "leaked_quasi_identifiers")
+
+
 def pseudonyms(mentions: DataFrame, buckets: int = 1024) -> DataFrame:
     """(label, entity, surrogate) of mentions (doc_id, pos, label, value): LABEL_n, numbered in order of first sight.
 

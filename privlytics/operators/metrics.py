@@ -28,6 +28,45 @@ def leak_rates(subjects: DataFrame, *by: str) -> DataFrame:
     return n.select(*by, "total", "detected", "missed", (F.col("missed") / F.col("total").cast("double")).alias("leak_rate"), F.round(low, 12).alias("ci_low"), F.round(high, 12).alias("ci_high"))
 
 
+def _share(part: str, whole: str):
+    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole).cast("double")).otherwise(0.0)
+
+
+def leak_report(subjects: DataFrame, *by: str) -> DataFrame:
+    """The whole leak report of national ids (``by``, decode_bearing, detected, qi): ids that give something away apart from those that do not.
+
+    Leak rate and interval are of the decode-bearing ids; coverage-only ids have a detection rate alone. Rates of nothing are 0.
+    """
+    told, hit = F.col("decode_bearing"), F.col("detected")
+    n = subjects.groupBy(*by).agg(
+        F.count_if(told).alias("decode_bearing_total"), F.count_if(told & hit).alias("decode_bearing_detected"), F.count_if(told & ~hit).alias("decode_bearing_missed"),
+        F.coalesce(F.sum(F.when(told & ~hit, F.col("qi"))), F.lit(0)).cast("long").alias("leaked_quasi_identifiers"), F.count_if(~told).alias("coverage_only_total"), F.count_if(~told & hit).alias("coverage_only_detected"),
+    )
+    low, high = wilson(F.col("decode_bearing_missed"), F.col("decode_bearing_total"))
+    return n.select(
+        *by, "decode_bearing_total", "decode_bearing_detected", "decode_bearing_missed", _share("decode_bearing_missed", "decode_bearing_total").alias("leak_rate"),
+        F.round(low, 12).alias("leak_rate_ci_low"), F.round(high, 12).alias("leak_rate_ci_high"), _share("decode_bearing_detected", "decode_bearing_total").alias("detection_rate"), "leaked_quasi_identifiers",
+        "coverage_only_total", "coverage_only_detected", _share("coverage_only_detected", "coverage_only_total").alias("coverage_only_detection_rate"),
+    )
+
+
+def country_counts(subjects: DataFrame, *by: str) -> DataFrame:
+    """Subjects and detected ones of each country, of both kinds of ids."""
+    return subjects.groupBy(*by, "country").agg(F.count("*").alias("total"), F.count_if(F.col("detected")).alias("detected"))
+
+
+def cnp_report(subjects: DataFrame, *by: str) -> DataFrame:
+    """The leak report under the names of the Romanian one; ``subjects``: of rows whose country was set to RO."""
+    names = {"decode_bearing_total": "cnp_total", "decode_bearing_detected": "cnp_detected", "decode_bearing_missed": "cnp_missed"}
+    kept = [*by, *names, "leak_rate", "leak_rate_ci_low", "leak_rate_ci_high", "detection_rate", "leaked_quasi_identifiers"]
+    return leak_report(subjects, *by).select(*kept).withColumnsRenamed(names)
+
+
+def class_sizes(rows: DataFrame, qi: list[str], *by: str) -> DataFrame:
+    """The histogram of equivalence classes: how many classes there are of each size (distinctiveness in the sample, not in the population)."""
+    return rows.groupBy(*by, *qi).agg(F.count("*").alias("size")).groupBy(*by, "size").agg(F.count("*").alias("classes"))
+
+
 def name_context(persons: DataFrame, ids: DataFrame) -> DataFrame:
     """Per detector, documents with both channels, by whether a name and an id leaked."""
     leak = lambda df, name: df.groupBy("detector", "doc_id").agg(F.bool_or(~F.col("detected")).alias(name))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privlytics.functions.national_id import DECODE_BEARING, parse, parse_ro
+from privlytics.functions.national_id import DECODE_BEARING, disclosed, parse, parse_ro
 from privlytics.functions.quasi import county_nuts2, dob_band
-from privlytics.functions.tokens import SPACE, whitespace_tokens
+from privlytics.functions.tokens import SPACE, strip, whitespace_tokens
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
@@ -21,21 +21,26 @@ def occurrences(rows: DataFrame) -> DataFrame:
 
 def national_id_subjects(rows: DataFrame) -> DataFrame:
     """(detector, doc_id, country, value, detected, decode_bearing, sex, birth_date, place_code) of valid ids."""
-    all_of = occurrences(rows).withColumn("value", F.trim("value")).groupBy("detector", "doc_id", "country", "value").agg(F.bool_and("detected").alias("detected"))
+    all_of = occurrences(rows).withColumn("value", strip(F.col("value"))).groupBy("detector", "doc_id", "country", "value").agg(F.bool_and("detected").alias("detected"))
     # a generator of one row: the long expression is evaluated once and not repeated in the filter and each field
     parsed = all_of.withColumn("id", F.explode_outer(F.array(parse(F.col("country"), F.col("value"))))).filter("id.valid")
     return parsed.select("detector", "doc_id", "country", "value", "detected", F.col("country").isin(*DECODE_BEARING).alias("decode_bearing"), "id.sex", "id.birth_date", "id.place_code")
 
 
+def with_disclosed(subjects: DataFrame) -> DataFrame:
+    """Subjects with ``qi``: how many quasi-identifiers the id gives away."""
+    return subjects.withColumn("qi", disclosed(F.struct(F.lit(True).alias("valid"), "sex", "birth_date", "place_code"), F.col("country")))
+
+
 def person_subjects(rows: DataFrame) -> DataFrame:
-    value = F.trim(F.regexp_replace("value", f"[{SPACE}]+", " "))
+    value = strip(F.regexp_replace("value", f"[{SPACE}]+", " "))
     names = occurrences(rows).filter("label = 'PERSON'").withColumn("value", value).filter("value <> ''")
     return names.groupBy("detector", "doc_id", "value").agg(F.bool_and("detected").alias("detected"))
 
 
 def quasi_identifier_subjects(docs: DataFrame) -> DataFrame:
     """(doc_id, country, value, sex, birth_date, place_code) of valid gold ids that disclose something; no predictions are needed."""
-    one = docs.select("doc_id", "country", F.explode("gold").alias("g")).select("doc_id", "country", F.trim("g.value").alias("value")).distinct()
+    one = docs.select("doc_id", "country", F.explode("gold").alias("g")).select("doc_id", "country", strip(F.col("g.value")).alias("value")).distinct()
     told = one.filter(F.col("country").isin(*DECODE_BEARING))
     parsed = told.withColumn("id", F.explode_outer(F.array(parse(F.col("country"), F.col("value"))))).filter("id.valid")
     return parsed.select("doc_id", "country", "value", "id.sex", "id.birth_date", "id.place_code")
@@ -50,7 +55,7 @@ def entity_subjects(spans: DataFrame) -> DataFrame:
 
 def residual_rows(rows: DataFrame) -> DataFrame:
     """(detector, doc_id, value, dob_band, sex, nuts2) of national ids of which any occurrence survived."""
-    found = occurrences(rows).filter("label = 'NATIONAL_ID'").withColumn("value", F.trim("value"))
+    found = occurrences(rows).filter("label = 'NATIONAL_ID'").withColumn("value", strip(F.col("value")))
     left = found.groupBy("detector", "doc_id", "value").agg(F.bool_or(~F.col("detected")).alias("survived")).filter("survived")
     parsed = left.withColumn("id", F.explode_outer(F.array(parse_ro(F.col("value"))))).filter("id.valid")
     return parsed.select("detector", "doc_id", "value", dob_band(F.col("id.birth_date")).alias("dob_band"), "id.sex", county_nuts2(F.col("id.place_code")).alias("nuts2"))

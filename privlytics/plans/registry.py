@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from privlytics.functions import national_id, stats, tokens
 from privlytics.operators import corpus, metrics, subjects
+from privlytics.sources.files import seeded_sample, tail
 from privlytics.sources.fixtures import detected, id_docs, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,13 +83,12 @@ def src4(spark, sf_dir):
 
 @query("src3_tail", "SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 50")
 def src3(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id").orderBy(F.desc("doc_id")).limit(50)
+    return tail(read_table(spark, sf_dir, "documents").select("doc_id"), 50, "doc_id")
 
 
 @query("src6_seeded_sample", "SELECT doc_id FROM documents ORDER BY md5('7' || doc_id), doc_id LIMIT 100")
 def src6(spark, sf_dir):
-    key = F.md5(F.concat(F.lit("7"), F.col("doc_id").cast("string")))
-    return read_table(spark, sf_dir, "documents").select("doc_id", key.alias("h")).orderBy("h", "doc_id").limit(100).select("doc_id")
+    return seeded_sample(read_table(spark, sf_dir, "documents").select("doc_id"), 100, 7, "doc_id")
 
 
 # --- validators ------------------------------------------------------------------------------------------------------
@@ -304,4 +304,4 @@ def boo2(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.percentile("n_chars", F.lit(0.025)).alias("p025"), F.percentile("n_chars", F.lit(0.975)).alias("p975"))
 
 
-from privlytics.plans import deidentification, evaluation  # noqa: E402, F401  they register their queries
+from privlytics.plans import deidentification, evaluation, reports  # noqa: E402, F401  they register their queries

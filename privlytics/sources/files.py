@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from privlytics.functions.tags import gold_tags, gold_violation, tags_violation
+from privlytics.functions.tokens import whitespace_tokens
+
 TASKS = ("detection", "anonymization", "leakage", "classification")
 
 
@@ -29,6 +32,33 @@ def _checked(df: DataFrame, path: str, required: Iterable[str]) -> DataFrame:
     return df
 
 
+def tail(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The last n rows by ``order``, columns that tell rows apart; fewer rows than that raise ValueError."""
+    if (there := df.limit(n).count()) < n:
+        raise ValueError(f"{n} rows are asked for, there are {there}")
+    return df.orderBy(*(F.desc(c) for c in order)).limit(n)
+
+
+def seeded_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """n rows, the same ones for the same seed, in order of ``key``; all rows if n is 0 or less, or not below their number."""
+    if n <= 0:
+        return df.orderBy(key)
+    drawn = df.withColumn("_draw", F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))).orderBy("_draw", key).limit(n)
+    return drawn.drop("_draw").orderBy(key)
+
+
+def gold_tags_checked(rows: DataFrame, *keep: str) -> DataFrame:
+    """(``keep``, text, tags) of rows (text, spans array<struct<start,end,label>>); one bad row fails the whole: ValueError."""
+    one = rows.withColumn("_t", whitespace_tokens(F.col("text"))).withColumn("_why", gold_violation(F.col("_t"), F.col("spans")))
+    tagged = one.withColumn("tags", gold_tags(F.col("_t"), F.col("spans")))
+    at = tags_violation(F.col("tags"))
+    why = F.when(F.col("text").isNull() | F.col("spans").isNull(), "no text or spans").otherwise(F.coalesce("_why", F.when(at.isNotNull(), "malformed tags")))
+    bad = tagged.withColumn("_why", why).filter("_why is not null").select("_why", F.substring("text", 1, 80).alias("text")).first()
+    if bad:
+        raise ValueError(f"bad gold row: {bad._why}: {bad.text!r}")
+    return tagged.select(*keep, "text", "tags")
+
+
 def head_per_group(df: DataFrame, by: str, groups: list[str], n: int, *order: str) -> DataFrame:
     """The first n rows of each of the groups; a group without rows raises ValueError, a short one gives what it has."""
     wanted = df.filter(F.col(by).isin(*groups))
