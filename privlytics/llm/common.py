@@ -12,10 +12,10 @@ BROADCAST_BYTES = 64 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set."""
+    """The shared folder of the session; where none is set, a folder of the warehouse, which is shared as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/checkpoints"
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/privlytics"

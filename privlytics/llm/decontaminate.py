@@ -7,13 +7,15 @@ lie within its document (length bound) where the prefix shingle's place puts it
 shingles of the window stand there word by word, which is exact containment.
 
 All documents are exploded once into their shingles; only those that some item has are kept, and these few rows serve for
-counts, candidates and verification; the words are counted in the same pass. The table of the items' shingles is broadcast if its measured size is small and
-shuffled otherwise. No step groups by a word or passage: rows are grouped by document.
+counts, candidates and verification; the words are counted in the same pass. So what the rare prefix saves is the work on
+candidates; the explosion comes before, as the counts that tell what is rare need it. The table of the items' shingles is
+broadcast if its measured size is small and shuffled otherwise. Counts are by shingle, summed in each task first; matches
+are grouped by document.
 
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Documents are told apart by (id, text), so equal
 rows have equal results. Cases: null or empty text has no words; items with null id or without words are left out; equal
 item ids count once; an empty benchmark hits nothing. Columns of the input with clashing names do not matter: only id and
-text are read.
+text are read. Very long texts are read whole, in one row.
 """
 
 from __future__ import annotations

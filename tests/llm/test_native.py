@@ -257,3 +257,16 @@ def test_branches_against_brute_force(spark, branches):
         want |= {(c, leaf): path for _, leaf, path in sorted(paths)[:branches]}
     out = chat.format_chats(spark.createDataFrame(nodes, TREE), branches=branches).select("conv_id", "leaf", chat.parse_chats(F.col("formatted")).alias("turns")).collect()
     assert {(r.conv_id, r.leaf): [t.text for t in r.turns] for r in out} == want
+
+
+def test_decontaminate_long_texts_and_clashing_columns(spark):
+    item = " ".join(f"bench{i}" for i in range(14))
+    texts = ["word " * 300_000 + item, " ".join(f"w{i}" for i in range(50_000)), "word " * 100 + item.upper() + " tail", None, ""]
+    names = ["w", "pos", "start", "shingle", "k", "key", "window", "n_words", "row_hash", "item_id"]
+    docs = spark.createDataFrame([(i, t, *["x"] * len(names)) for i, t in enumerate(texts)], ["doc_id", "text", *names]).withColumn("text", F.col("text"))
+    items = spark.createDataFrame([(1, item, "x"), (None, "word word", "x"), (2, None, "x")], "item_id long, text string, doc_id string")
+    rows = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert [(rows[i].n_words, rows[i].n_hit, rows[i].item_ids) for i in range(5)] == [(300_014, 14, ["1"]), (50_000, 0, []), (115, 14, ["1"]), (0, 0, []), (0, 0, [])]
+    out = decontaminate.decontaminate(docs, items)
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4] and out.columns == docs.columns
+    assert decontaminate.contamination(docs, items.limit(0)).filter("n_hit > 0").count() == 0
