@@ -219,3 +219,17 @@ def disclosed(parsed: Column, country: Column) -> Column:
     """How many quasi-identifiers (sex, birth date, place) a valid id gives away; 0 for countries whose ids hold none."""
     told = sum((parsed[f].isNotNull().cast("int") for f in ("birth_date", "place_code")), parsed["sex"].isNotNull().cast("int"))
     return F.when(parsed["valid"] & country.isin(*DECODE_BEARING), told).otherwise(0).cast("long")
+
+
+#: Places of birth by their code in Italian ids, as of 2024-01-01: towns, and countries (codes with Z).
+TOWNS = {"H501": "Roma", "F205": "Milano", "F839": "Napoli", "L219": "Torino", "G273": "Palermo", "D969": "Genova", "A944": "Bologna", "D612": "Firenze", "L736": "Venezia", "C351": "Catania", "A662": "Bari", "L424": "Trieste"}
+COUNTRIES = {"Z100": "Albania", "Z112": "Germania", "Z114": "Regno Unito", "Z133": "Romania", "Z200": "Egitto", "Z210": "Marocco", "Z301": "Stati Uniti d'America", "Z330": "Brasile", "Z404": "Cina", "Z222": "India"}
+
+
+def birth_place(code: Column) -> Column:
+    """struct<code,kind,name> of a place code whose digits are restored: a foreign country, a town, or unknown; the name is null where it is not listed."""
+    c = F.upper(strip(code))
+    named = lambda places: F.try_element_at(F.create_map(*(F.lit(x) for place in places.items() for x in place)), c)
+    abroad, town = c.startswith("Z"), named(TOWNS)
+    kind = F.when(abroad, "foreign_country").when(town.isNotNull(), "comune").otherwise("unknown")
+    return F.when(c.isNotNull(), F.struct(c.alias("code"), kind.alias("kind"), F.when(abroad, named(COUNTRIES)).otherwise(town).alias("name")))

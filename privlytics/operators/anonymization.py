@@ -48,6 +48,14 @@ def pseudonyms(mentions: DataFrame, buckets: int = 1024) -> DataFrame:
     return lifted.select("label", "entity", F.concat_ws("_", "label", n.cast("string")).alias("surrogate"))
 
 
+def surrogate_maps(mentions: DataFrame, buckets: int = 1024) -> DataFrame:
+    """(doc_id, surrogates map<value,surrogate>) of documents with mentions, by values as they are written; of a value's mentions the last counts."""
+    entity = F.regexp_replace("value", f"[{SPACE}]+", "")
+    named = mentions.withColumn("entity", entity).join(pseudonyms(mentions, buckets), ["label", "entity"])
+    last = named.groupBy("doc_id", "value").agg(F.max_by("surrogate", F.struct("pos", "label")).alias("surrogate"))
+    return last.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("surrogates"))
+
+
 def bijection_rate(pairs: DataFrame, *scope: str) -> DataFrame:
     """Share of entities (within ``scope``) with one surrogate that no other entity has; 1 where there are none."""
     one = pairs.select(*scope, "entity", "surrogate").distinct()

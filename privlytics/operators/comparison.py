@@ -42,6 +42,19 @@ def saturation(scores: DataFrame, limit: float = 0.999) -> DataFrame:
     return g.withColumn("saturates", F.col("most") >= limit)
 
 
+def language_spread(scores: DataFrame, baseline: str = "dummy") -> DataFrame:
+    """By language: least and greatest score of (adapter, language, score) and their distance, to four digits; the baseline does not count."""
+    g = scores.filter(F.col("adapter") != baseline).groupBy("language").agg(F.min("score").alias("least"), F.max("score").alias("most"))
+    return g.select("language", F.round("least", 4).alias("least"), F.round("most", 4).alias("most"), F.round(F.col("most") - F.col("least"), 4).alias("spread"))
+
+
+def saturation_headline(scores: DataFrame, baseline: str = "dummy", limit: float = 0.999) -> DataFrame:
+    """One row: the greatest score of any adapter but the baseline (null without any), and whether the track saturates."""
+    g = scores.filter(F.col("adapter") != baseline).agg(F.max("score").alias("most"))
+    full = F.coalesce(F.col("most") >= limit, F.lit(False))
+    return g.select(F.round("most", 4).alias("most"), full.alias("saturates"), F.when(F.col("most") < limit, "not saturating").otherwise("still saturating").alias("verdict"))
+
+
 def board(scores: DataFrame) -> DataFrame:
     """(adapter, rank, leak) in ascending order of leak; ties share a rank."""
     return scores.select("adapter", F.rank().over(Window.orderBy("leak")).alias("rank"), "leak")

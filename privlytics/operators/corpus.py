@@ -33,6 +33,16 @@ def wasserstein(points: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.sum(F.abs(F.col("f") - F.col("g")) * F.col("dx")), F.lit(0.0)).alias("w1"))
 
 
+def content_hash(hashes: DataFrame, digits: int = 4) -> DataFrame:
+    """One digest (corpus_hash) of hex hashes (h), whatever their order: by their first digits, the digest of the digests of each part's sorted hashes.
+
+    16 ** digits parts, so that no task holds all hashes; the last step joins one digest of each part.
+    """
+    part = hashes.groupBy(F.substring("h", 1, digits).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda d: d["digest"]), "")
+    return part.agg(F.sha2(joined, 256).alias("corpus_hash"))
+
+
 def label_skeleton(text, spans):
     """Text with spans as [LABEL], digits as 0, white space collapsed, lower case; a span before the cursor is skipped."""
     walked = F.aggregate(

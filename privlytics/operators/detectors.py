@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from privlytics.functions.redaction import mask_spans
-from privlytics.functions.tags import SPAN
+from privlytics.functions.tags import SPAN, entity_tags
 from privlytics.functions.taxonomy import mapped_entities
+from privlytics.functions.tokens import whitespace_tokens
+
+from .anonymization import surrogate_maps
 
 
 class Detector(Protocol):
@@ -22,7 +25,36 @@ class Detector(Protocol):
     def detect(self, docs: DataFrame) -> DataFrame: ...
 
 
-class Expression:
+class Surface:
+    """What every detector offers besides ``detect``."""
+
+    name: str
+
+    def detect(self, docs: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def predict_tags(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with ``tags``, one for each token."""
+        found = self.detect(docs)
+        return found.withColumn("tags", entity_tags(whitespace_tokens(F.col("text")), F.col("pred")))
+
+    def anonymize(self, docs: DataFrame) -> DataFrame:
+        return redact(self.detect(docs))
+
+    def pseudonymize(self, docs: DataFrame) -> DataFrame:
+        """``docs`` (doc_id, text, ..) with ``surrogates``, a map of the values found in each document; an empty one where there are none."""
+        maps = surrogate_maps(mentions(self.detect(docs)))
+        none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+        return docs.join(maps, "doc_id", "left").withColumn("surrogates", F.coalesce("surrogates", none))
+
+    def classify(self, docs: DataFrame) -> DataFrame:
+        raise NotImplementedError(f"{self.name} does not classify")
+
+    def leakage_probe(self, docs: DataFrame) -> DataFrame:
+        raise NotImplementedError(f"{self.name} is not probed for leakage")
+
+
+class Expression(Surface):
     """A detector whose spans are an expression over ``text``, with labels of a scheme or harmonised ones."""
 
     def __init__(self, name: str, spans: Callable[[Column], Column], scheme: str | None = None):
@@ -33,7 +65,7 @@ class Expression:
         return docs.withColumn("pred", mapped_entities(found, self._scheme) if self._scheme else found.cast(f"array<{SPAN}>"))
 
 
-class Batched:
+class Batched(Surface):
     """A detector that a Python model backs: ``load()`` is called once for each task and maps a list of texts to lists of spans."""
 
     def __init__(self, name: str, load: Callable[[], Callable], scheme: str | None = None, batch: int = 32):
@@ -58,6 +90,31 @@ class Batched:
 DUMMY = Expression("dummy", lambda text: F.array().cast(f"array<{SPAN}>"))
 
 
+_BUILDERS: dict[str, Callable[[], Detector]] = {"dummy": lambda: DUMMY}
+
+
+def register(name: str, builder: Callable[[], Detector]) -> None:
+    """Make a detector known by name; it is built when it is asked for, so that its packages are needed only then."""
+    _BUILDERS[name] = builder
+
+
+def known() -> list[str]:
+    return sorted(_BUILDERS)
+
+
+def build(name: str) -> Detector:
+    """A detector by name; an unknown one raises KeyError."""
+    if name not in _BUILDERS:
+        raise KeyError(f"unknown detector {name!r}, known: {', '.join(known())}")
+    return _BUILDERS[name]()
+
+
+def mentions(found: DataFrame) -> DataFrame:
+    """(doc_id, pos, label, value) of predicted spans, with values as they stand in the text."""
+    s = found.select("doc_id", "text", F.explode("pred").alias("s"))
+    return s.select("doc_id", F.col("s.start").alias("pos"), "s.label", F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+
+
 def detect_all(docs: DataFrame, detectors: list) -> DataFrame:
     """Rows by detector: all detectors on one track in one job."""
     parts = [d.detect(docs).withColumn("detector", F.lit(d.name)) for d in detectors]

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from privlytics.functions.tokens import token_count
+
 from .bootstrap import rate_gaps
+from .corpus import distances, wasserstein
 
 #: Clusters, points of the frontier, scale of the divergences.
 BINS, GRID, SCALE = 25, 50, 5.0
@@ -71,6 +74,22 @@ def drift_table(rows: DataFrame, a: str, b: str, metric: str = "detection_rate")
     return rate_gaps(pairs, metric).join(pairs.select("name", "f1_gap"), "name")
 
 
+def description(docs: DataFrame) -> DataFrame:
+    """Of (side, text, labels array<string>) with sides a and b, one row: how far labels and lengths in tokens lie apart. It tells of the corpora, not of models."""
+    n_tokens = docs.select("side", token_count(F.col("text")).cast("long").alias("x"))
+    labels = docs.select("side", F.explode("labels").alias("category")).groupBy("side", "category").agg(F.count("*").alias("n"))
+    mean = lambda s: F.coalesce(F.avg(F.when(F.col("side") == s, F.col("x"))), F.lit(0.0)).alias(f"mean_tokens_{s}")
+    means = n_tokens.agg(mean("a"), mean("b"))
+    return distances(labels).join(F.broadcast(wasserstein(n_tokens).withColumnRenamed("w1", "w1_tokens"))).join(F.broadcast(means))  # one row each
+
+
+def headline_text(row) -> str:
+    """A row of ``headline`` as a sentence."""
+    if not row["models"]:
+        return "no models scored on both corpora"
+    return f"the detection rate of national ids {row['direction']} by {abs(row['mean_gap']) * 100:.1f} pp on average across {row['models']} models (range {row['least'] * 100:+.1f} to {row['most'] * 100:+.1f} pp)"
+
+
 def headline(gaps: DataFrame) -> DataFrame:
     """Mean, least and greatest gap over models, and whether side a overstates."""
     g = gaps.agg(F.count("gap").alias("models"), F.round(F.avg("gap"), 9).alias("mean_gap"), F.min("gap").alias("least"), F.max("gap").alias("most"))

@@ -67,6 +67,35 @@ def class_sizes(rows: DataFrame, qi: list[str], *by: str) -> DataFrame:
     return rows.groupBy(*by, *qi).agg(F.count("*").alias("size")).groupBy(*by, "size").agg(F.count("*").alias("classes"))
 
 
+#: Why there is no k-anonymity to report, and what it is of.
+NO_TUPLES = "no tuples are given, and nothing that survives gives any away"
+SAMPLE_ONLY = "sample distinctiveness, not population re-identification"
+
+
+def class_report(rows: DataFrame, qi: list[str], *by: str) -> DataFrame:
+    """By ``by``: subjects, classes, shares in classes of one and of fewer than five, and the histogram of sizes, smallest first."""
+    of = lambda most: F.coalesce(F.sum(F.when(F.col("size") <= most, F.col("size") * F.col("classes"))), F.lit(0))
+    n = F.sum(F.col("size") * F.col("classes"))
+    sizes = F.array_sort(F.collect_list(F.struct("size", "classes")))  # different sizes: fewer than the root of twice the subjects
+    return class_sizes(rows, qi, *by).groupBy(*by).agg(n.alias("n"), F.sum("classes").alias("n_classes"), (of(1) / n.cast("double")).alias("k1"), (of(4) / n.cast("double")).alias("k_lt5"), sizes.alias("sizes"))
+
+
+def k_anonymity_violation(rows: DataFrame, residual: DataFrame, given: str = "qi_tuple") -> DataFrame:
+    """One row for each detector of ``rows``: whether there are tuples, else why not, and the class report.
+
+    If any row has a tuple of its own (a struct ``given``), all rows count by these, those without as one class. Else the subjects
+    (detector, dob_band, sex, nuts2) of ``residual`` count; a detector that leaves none has nothing to report.
+    """
+    if given in rows.columns and not rows.filter(F.col(given).isNotNull()).isEmpty():
+        # as JSON a tuple has its values only, so that an empty one and none at all are the same
+        found = class_report(rows.select("detector", F.coalesce(F.to_json(given), F.lit("{}")).alias("qi")), ["qi"], "detector")
+    else:
+        found = class_report(residual, ["dob_band", "sex", "nuts2"], "detector")
+    every = rows.select("detector").distinct().join(found, "detector", "left")
+    there = F.col("n").isNotNull()
+    return every.select("detector", there.alias("available"), F.when(~there, NO_TUPLES).alias("reason"), F.lit(SAMPLE_ONLY).alias("label"), "n", "n_classes", "k1", "k_lt5", "sizes")
+
+
 def name_context(persons: DataFrame, ids: DataFrame) -> DataFrame:
     """Per detector, documents with both channels, by whether a name and an id leaked."""
     leak = lambda df, name: df.groupBy("detector", "doc_id").agg(F.bool_or(~F.col("detected")).alias(name))

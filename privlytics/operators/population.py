@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Mapping
+from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privlytics.functions.stats import wilson
@@ -40,6 +43,42 @@ def fit_joint(axes: dict[str, list[str]], marginals: list[tuple[list[str], dict[
     raise ValueError(f"no fit within {sweeps} sweeps")
 
 
+@dataclass(frozen=True)
+class Joint:
+    """A fitted reference population of ``n`` people: ``cells`` are (category of each axis, .., p)."""
+
+    axes: tuple[str, ...]
+    cells: list[tuple]
+    n: int
+    placeholder: bool
+    label: str
+    sweeps: int
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.cells, ", ".join(f"`{a}` string" for a in self.axes) + ", p double")
+
+
+def joint_from_spec(spec: Mapping, tolerance: float = 1e-10, sweeps: int = 1000) -> Joint:
+    """The joint of a census spec (meta, axes, marginals with counts by ``a|b``); one that does not fit raises ValueError.
+
+    Whatever is not marked as a real census is a placeholder.
+    """
+    meta = spec["meta"]
+    axes = {a: [str(c) for c in spec["axes"][a]] for a in meta["axes"]}
+    marginals = [(list(m["axes"]), {tuple(str(k).split("|")): float(n) for k, n in m["counts"].items()}) for m in spec["marginals"]]
+    cells, took = fit_joint(axes, marginals, tolerance, sweeps)
+    placeholder = bool(meta.get("placeholder")) or not meta.get("is_real_census")
+    label = str(meta.get("label") or ("placeholder population: not real census data" if placeholder else ""))
+    return Joint(tuple(axes), cells, int(meta["population_total"]), placeholder, label, took)
+
+
+def read_spec(path: str) -> Joint:
+    """The joint of a YAML file."""
+    import yaml
+
+    return joint_from_spec(yaml.safe_load(Path(path).read_text(encoding="utf-8")))
+
+
 def entropy_bits(joint: DataFrame) -> DataFrame:
     return joint.filter("p > 0").agg((-F.sum(F.col("p") * F.log2("p"))).alias("bits"))
 

@@ -43,12 +43,19 @@ ANONYMIZATION: dict[str, Callable[[DataFrame], DataFrame]] = {
     "detection_recall": lambda rows: _entities(rows).select("detector", "recall", "f2"),
 }
 LEAKAGE: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "k_anonymity_violation": lambda rows: metrics.k_anonymity(subjects.residual_rows(rows), ["dob_band", "sex", "nuts2"]),
+    "k_anonymity_violation": lambda rows: metrics.k_anonymity_violation(rows, subjects.residual_rows(rows)),
     "membership_inference": membership_inference,
 }
 ALL_METRICS = DETECTION | ANONYMIZATION | LEAKAGE
 
 
+def track_drivers(rows: DataFrame) -> DataFrame:
+    """All detectors of a track at once: f1, leak rate, missed and all ids that give something away, and what the missed ones give away."""
+    told = metrics.leak_report(subjects.with_disclosed(subjects.national_id_subjects(rows)), "detector")
+    leak = told.select("detector", "leak_rate", F.col("decode_bearing_missed").alias("missed"), F.col("decode_bearing_total").alias("total"), F.col("leaked_quasi_identifiers").alias("leaked_qi"))
+    return _entities(rows).select("detector", "f1", "f2").join(leak, "detector", "left")
+
+
 def evaluate(rows: DataFrame, names: tuple[str, ...]) -> dict[str, DataFrame]:
     """Results by metric; an unknown name raises KeyError before anything runs."""
     if unknown := [n for n in names if n not in ALL_METRICS]:
