@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import once
 from .tokens import strip
 
 RESULT = "struct<valid:boolean,sex:string,birth_date:string,place_code:string>"
@@ -37,9 +39,13 @@ def weighted(v: Column, weights: Sequence[int]) -> Column:
 
 
 def plausible_date(y: Column, m: Column, d: Column) -> Column:
-    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-    last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    return m.between(1, 12) & (d >= 1) & (d <= last)
+    def there(t: Column) -> Column:
+        y, m, d = t["y"], t["m"], t["d"]
+        leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+        last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+        return m.between(1, 12) & (d >= 1) & (d <= last)
+
+    return once(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), there)
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
@@ -56,19 +62,32 @@ def _digits(v: Column, n: int) -> Column:
     return v.rlike(f"^[0-9]{{{n}}}$")
 
 
-def parse_ro(value: Column) -> Column:
-    v = strip(value)
-    rem = weighted(v, CNP_WEIGHTS) % 11
+def _of(clean: Callable[[Column], Column]) -> Callable:
+    """A parser of a cleaned value, which is worked out once."""
+
+    def made(parser: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        @functools.wraps(parser)
+        def parse_one(value: Column) -> Column:
+            return once(clean(value), parser)
+
+        return parse_one
+
+    return made
+
+
+@_of(lambda value: strip(value))
+def parse_ro(v: Column) -> Column:
+    check = once(weighted(v, CNP_WEIGHTS) % 11, lambda rem: F.when(rem == 10, 1).otherwise(rem))
     s, m, d = digit(v, 1), number(v, 4, 2), number(v, 6, 2)
     century = F.when(s.isin(1, 2), 1900).when(s.isin(3, 4), 1800).when(s.isin(5, 6), 2000)
     year = century + number(v, 2, 2)
     dated = F.when(century.isNotNull(), plausible_date(year, m, d)).otherwise(m.between(1, 12) & d.between(1, 31))
-    valid = _digits(v, 13) & (F.when(rem == 10, 1).otherwise(rem) == digit(v, 13)) & (s != 0) & dated
+    valid = _digits(v, 13) & (check == digit(v, 13)) & (s != 0) & dated
     return _result(valid, F.when(s % 2 == 1, "M").otherwise("F"), F.when(century.isNotNull(), _date(year, m, d)), F.substring(v, 8, 2))
 
 
-def parse_pl(value: Column) -> Column:
-    v = strip(value)
+@_of(lambda value: strip(value))
+def parse_pl(v: Column) -> Column:
     raw, d = number(v, 3, 2), number(v, 5, 2)
     band = raw - raw % 20
     year = F.when(band == 0, 1900).when(band == 20, 2000).when(band == 40, 2100).when(band == 60, 2200).when(band == 80, 1800) + number(v, 1, 2)
@@ -76,44 +95,42 @@ def parse_pl(value: Column) -> Column:
     return _result(valid, F.when(digit(v, 10) % 2 == 1, "M").otherwise("F"), _date(year, raw % 20, d))
 
 
-def parse_es(value: Column) -> Column:
-    v = F.replace(F.upper(strip(value)), F.lit("-"), F.lit(""))
+@_of(lambda value: F.replace(F.upper(strip(value)), F.lit("-"), F.lit("")))
+def parse_es(v: Column) -> Column:
     v = F.concat(F.translate(F.substring(v, 1, 1), "XYZ", "012"), F.expr("''"), F.substr(v, F.lit(2), F.length(v)))
     letter = F.substr(F.lit(DNI_LETTERS), (number(v, 1, 8) % 23 + 1).cast("int"), F.lit(1))
     return _result(v.rlike("^[0-9]{8}[A-Z]$") & (letter == F.substring(v, 9, 1)))
 
 
-def parse_de(value: Column) -> Column:
-    v = strip(value)
+@_of(lambda value: strip(value))
+def parse_de(v: Column) -> Column:
     digits = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.ascii(F.substr(v, i, F.lit(1))) - 48)
     step = lambda product, d: F.when((d + product) % 10 == 0, 10).otherwise((d + product) % 10) * 2 % 11
     check = 11 - F.aggregate(digits, F.lit(10), step)
     return _result(_digits(v, 11) & (digit(v, 1) != 0) & (F.when(check == 10, 0).otherwise(check) == digit(v, 11)))
 
 
-def parse_nl(value: Column) -> Column:
-    v = strip(value)
-    v = F.when(F.length(v) == 8, F.concat(F.lit("0"), v)).otherwise(v)
-    total = weighted(v, BSN_WEIGHTS)
-    return _result(_digits(v, 9) & (total % 11 == 0) & (total != 0))
+@_of(lambda value: F.when(F.length(strip(value)) == 8, F.concat(F.lit("0"), strip(value))).otherwise(strip(value)))
+def parse_nl(v: Column) -> Column:
+    return _result(_digits(v, 9) & once(weighted(v, BSN_WEIGHTS), lambda total: (total % 11 == 0) & (total != 0)))
 
 
-def parse_baltic(value: Column) -> Column:
-    v = strip(value)
-    one, two = weighted(v, BALTIC_FIRST) % 11, weighted(v, BALTIC_SECOND) % 11
-    check = F.when(one < 10, one).when(two < 10, two).otherwise(0)
+@_of(lambda value: strip(value))
+def parse_baltic(v: Column) -> Column:
+    second = once(weighted(v, BALTIC_SECOND) % 11, lambda two: F.when(two < 10, two).otherwise(0))
+    check = once(weighted(v, BALTIC_FIRST) % 11, lambda one: F.when(one < 10, one).otherwise(second))
     g, m, d = digit(v, 1), number(v, 4, 2), number(v, 6, 2)
     year = 1800 + F.floor((g - 1) / 2) * 100 + number(v, 2, 2)
     valid = _digits(v, 11) & g.between(1, 8) & (check == digit(v, 11)) & plausible_date(year, m, d)
     return _result(valid, F.when(g % 2 == 1, "M").otherwise("F"), _date(year, m, d))
 
 
-def parse_si(value: Column) -> Column:
-    v = F.replace(strip(value), F.lit(" "), F.lit(""))
-    rem = 11 - weighted(v, EMSO_WEIGHTS) % 11
+@_of(lambda value: F.replace(strip(value), F.lit(" "), F.lit("")))
+def parse_si(v: Column) -> Column:
+    check = once(11 - weighted(v, EMSO_WEIGHTS) % 11, lambda rem: F.when(rem >= 10, 0).otherwise(rem))
     y, m, d = number(v, 5, 3), number(v, 3, 2), number(v, 1, 2)
     year = F.when(y > 800, 1000 + y).otherwise(2000 + y)
-    valid = _digits(v, 13) & (F.when(rem >= 10, 0).otherwise(rem) == digit(v, 13)) & plausible_date(year, m, d)
+    valid = _digits(v, 13) & (check == digit(v, 13)) & plausible_date(year, m, d)
     return _result(valid, F.when(number(v, 10, 3) < 500, "M").otherwise("F"), _date(year, m, d), F.substring(v, 8, 2))
 
 def _letter_index(c: Column) -> Column:
@@ -122,9 +139,9 @@ def _letter_index(c: Column) -> Column:
     return F.when(code < 58, code - 48).otherwise(code - 65).cast("int")
 
 
-def parse_it(value: Column) -> Column:
+@_of(lambda value: F.upper(strip(value)))
+def parse_it(v: Column) -> Column:
     """Two-digit years: dates are yy-mm-dd; February has 29 days. Letters that stand for digits are read as these."""
-    v = F.upper(strip(value))
     part = lambda i: _letter_index(F.substr(v, i, F.lit(1)))
     table = F.array(*map(F.lit, CF_ODD))
     terms = F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.when(i % 2 == 1, F.get(table, part(i))).otherwise(part(i)))
@@ -139,9 +156,9 @@ def parse_it(value: Column) -> Column:
     return _result(valid, F.when(day > 40, "F").otherwise("M"), F.concat_ws("-", yy, F.format_string("%02d-%02d", month, real.cast("int"))), place)
 
 
-def parse_fr(value: Column) -> Column:
+@_of(lambda value: F.replace(F.upper(strip(value)), F.lit(" "), F.lit("")))
+def parse_fr(v: Column) -> Column:
     """Two-digit years and no day: dates are yy-mm, null where the month is not known."""
-    v = F.replace(F.upper(strip(value)), F.lit(" "), F.lit(""))
     dept = F.substring(v, 6, 2)
     body = F.concat(F.substring(v, 1, 5), F.when(dept == "2A", "19").when(dept == "2B", "18").otherwise(dept), F.substring(v, 8, 6))
     month = number(v, 4, 2)
@@ -150,11 +167,14 @@ def parse_fr(value: Column) -> Column:
     return _result(valid, sex, F.when(month.between(1, 12), F.concat_ws("-", F.substring(v, 2, 2), F.substring(v, 4, 2))), dept)
 
 
-def parse_se(value: Column) -> Column:
+@_of(lambda value: F.translate(strip(value), "-+ ", ""))
+def parse_se(full: Column) -> Column:
     """Dates are yyyy-mm-dd for twelve digits, else yy-mm-dd; a day over 60 is that day less 60."""
-    full = F.translate(strip(value), "-+ ", "")
+    return once(F.when(_digits(full, 12), F.substring(full, 3, 10)).otherwise(full), lambda v: _parse_se(full, v))
+
+
+def _parse_se(full: Column, v: Column) -> Column:
     long = _digits(full, 12)
-    v = F.when(long, F.substring(full, 3, 10)).otherwise(full)
     doubled = lambda i: digit(v, i) * 2 - F.when(digit(v, i) > 4, 9).otherwise(0)
     total = sum((digit(v, i) for i in (2, 4, 6, 8)), sum((doubled(i) for i in (3, 5, 7, 9)), doubled(1)))
     y, m, d = number(v, 1, 2), number(v, 3, 2), number(v, 5, 2)
@@ -166,8 +186,8 @@ def parse_se(value: Column) -> Column:
     return _result(valid, F.when(digit(v, 9) % 2 == 1, "M").otherwise("F"), F.when(long, _date(year, m, day)).otherwise(short))
 
 
-def parse_cz(value: Column) -> Column:
-    v = F.translate(strip(value), "/ ", "")
+@_of(lambda value: F.translate(strip(value), "/ ", ""))
+def parse_cz(v: Column) -> Column:
     raw = number(v, 3, 2)
     woman = raw.between(51, 62) | raw.between(71, 82)
     base = F.when(woman, raw - 50).otherwise(raw)
@@ -179,16 +199,16 @@ def parse_cz(value: Column) -> Column:
     return _result(valid, F.when(woman, "F").otherwise("M"), _date(year, month, number(v, 5, 2)))
 
 
-def parse_dk(value: Column) -> Column:
-    v = F.translate(strip(value), "- ", "")
+@_of(lambda value: F.translate(strip(value), "- ", ""))
+def parse_dk(v: Column) -> Column:
     mark, yy = digit(v, 7), number(v, 5, 2)
     century = F.when(mark <= 3, 1900).when(mark.isin(4, 9), F.when(yy < 37, 2000).otherwise(1900)).otherwise(F.when(yy < 58, 2000).otherwise(1800))
     m, d = number(v, 3, 2), number(v, 1, 2)
     return _result(_digits(v, 10) & plausible_date(century + yy, m, d), F.when(digit(v, 10) % 2 == 1, "M").otherwise("F"), _date(century + yy, m, d))
 
 
-def parse_fi(value: Column) -> Column:
-    v = F.upper(strip(value))
+@_of(lambda value: F.upper(strip(value)))
+def parse_fi(v: Column) -> Column:
     mark = F.substring(v, 7, 1)
     century = F.when(mark == "+", 1800).when(mark.isin(*"-YXWVU"), 1900).otherwise(2000)
     whole = number(v, 1, 6) * 1000 + number(v, 8, 3)

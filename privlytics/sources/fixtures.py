@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from privlytics.functions.bind import once
 from privlytics.functions.national_id import BSN_WEIGHTS, CNP_WEIGHTS, PESEL_WEIGHTS, weighted
 
 SPANS = "array<struct<start:int,end:int,label:string,value:string>>"
@@ -14,14 +15,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _ro_check(body):
+    return once(weighted(body, CNP_WEIGHTS) % 11, lambda rem: F.when(rem == 10, 1).otherwise(rem))
+
+
 def id_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, country, text, name, gold): an id, wrong in every 7th document and repeated in every 4th, and a name."""
     k = F.col("c_custkey")
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     body = F.concat((k % 6 + 1).cast("string"), pad(k * 7 % 100, 2), pad(k % 12 + 1, 2), pad(k % 28 + 1, 2), pad(k % 46 + 1, 2), pad(k * 13 % 1000, 3))
-    rem = weighted(body, CNP_WEIGHTS) % 11
-    check = F.when(rem == 10, 1).otherwise(rem)
-    value = F.concat(body, F.when(k % 7 == 0, (check + 1) % 10).otherwise(check).cast("string"))
+    control = lambda check: F.when(k % 7 == 0, (check + 1) % 10).otherwise(check).cast("string")
+    value = once(body, lambda b: F.concat(b, once(_ro_check(b), control)))
     rows = read_table(spark, sf_dir, "customer").select(k.alias("doc_id"), value.alias("value"), F.col("c_name").alias("name"))
     text = F.concat(F.lit("CNP "), F.col("value"), F.lit(" name "), F.col("name"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" again "), F.col("value"))).otherwise(""))
     n = F.length("name")
@@ -48,14 +52,13 @@ def mixed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     country = F.when(k % 4 == 1, "PL").when(k % 4 == 2, "NL").otherwise("RO")
-    wrong = lambda check, at: F.when(k % 8 == at, (check + 1) % 10).otherwise(check).cast("string")
+    wrong = lambda check, at: once(check, lambda c: F.when(k % 8 == at, (c + 1) % 10).otherwise(c).cast("string"))
     ro = F.concat((k % 6 + 1).cast("string"), pad(k * 7 % 100, 2), pad(k % 12 + 1, 2), pad(k % 28 + 1, 2), pad(k % 46 + 1, 2), pad(k * 13 % 1000, 3))
-    rem = weighted(ro, CNP_WEIGHTS) % 11
     pl = F.concat(pad(k * 3 % 100, 2), pad(k % 12 + 1, 2), pad(k % 28 + 1, 2), pad(k * 17 % 10000, 4))
     nl = pad(10_000_000 + k * 37, 8)
-    value = F.when(country == "PL", F.concat(pl, wrong((10 - weighted(pl, PESEL_WEIGHTS) % 10) % 10, 5)))
-    value = value.when(country == "NL", F.concat(nl, (weighted(nl, BSN_WEIGHTS[:8]) % 11 % 10).cast("string")))
-    value = value.otherwise(F.concat(ro, wrong(F.when(rem == 10, 1).otherwise(rem), 3)))
+    value = F.when(country == "PL", once(pl, lambda v: F.concat(v, wrong((10 - weighted(v, PESEL_WEIGHTS) % 10) % 10, 5))))
+    value = value.when(country == "NL", once(nl, lambda v: F.concat(v, (weighted(v, BSN_WEIGHTS[:8]) % 11 % 10).cast("string"))))
+    value = value.otherwise(once(ro, lambda v: F.concat(v, wrong(_ro_check(v), 3))))
     name = F.concat(F.when(k % 3 == 0, "Ion Vasile ").otherwise("Ana "), F.col("c_name"))
     rows = read_table(spark, sf_dir, "customer").select(k.alias("doc_id"), country.alias("country"), name.alias("name"), value.alias("value"))
     twice = F.col("doc_id") % 5 != 0
