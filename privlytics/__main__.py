@@ -1,4 +1,4 @@
-"""``python -m privlytics``: list, run, taxonomy, validate-card, reproduce."""
+"""``python -m privlytics``: list, run, evaluate, leaderboard, taxonomy, validate-card, reproduce."""
 
 from __future__ import annotations
 
@@ -21,6 +21,12 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("query")
     run.add_argument("tables")
     run.add_argument("--out", help="folder for Parquet; else a table is printed")
+    suite = sub.add_parser("evaluate", help="run detectors over a suite of specs and write a board")
+    suite.add_argument("folder", help="folder of specs; a spec's dataset names the path of its JSON lines (doc_id, country, text, spans)")
+    suite.add_argument("--adapter", action="append", help="a detector by name, several times for several (default: dummy)")
+    suite.add_argument("--out", default="leaderboard.json")
+    shown = sub.add_parser("leaderboard", help="print a board")
+    shown.add_argument("path")
     sub.add_parser("taxonomy", help="entity types and tags")
     card = sub.add_parser("validate-card", help="check a model card")
     card.add_argument("path")
@@ -43,6 +49,26 @@ def main(argv: list[str] | None = None) -> int:
             parser.error(f"unknown query {args.query!r}")
         df = QUERIES[args.query](_spark(), args.tables)
         df.write.mode("errorifexists").parquet(args.out) if args.out else print(markdown(df))
+    elif args.command == "evaluate":
+        from privlytics.operators import detectors, leaderboard
+        from privlytics.plans.suite import suite_rows
+        from privlytics.sources.files import load_suite, write_board
+
+        names = args.adapter or ["dummy"]
+        if unknown := [n for n in names if n not in detectors.known()]:
+            parser.error(f"unknown detector {', '.join(unknown)}")
+        rows, skipped = suite_rows(_spark(), load_suite(args.folder), [detectors.build(n) for n in names])
+        for name in skipped:
+            print(f"skipped {name}: its data is not there")
+        if rows is None:
+            print("nothing was evaluated")
+            return 1
+        write_board(leaderboard.build(rows), args.out)
+        print(f"wrote {args.out}")
+    elif args.command == "leaderboard":
+        from privlytics.operators.leaderboard import board_text
+
+        print(board_text(json.loads(Path(args.path).read_text(encoding="utf-8"))))
     elif args.command == "taxonomy":
         from privlytics.functions import taxonomy
 

@@ -102,3 +102,17 @@ def validate_card(card: Mapping, adapters: tuple[str, ...]) -> Mapping:
     if "@" not in str(card["hf_model_id"]):
         raise ValueError("hf_model_id names no version (name@version)")
     return card
+
+
+def board_text(board: Mapping) -> str:
+    """A written board as two plain tables: F1 and F2 by spec and adapter, then leak rates, missed ids and what they give away."""
+    cells = {(row["spec"], entry.split("::", 1)[0]): row for entry, rows in board.get("entries", {}).items() for row in rows}
+    specs, adapters = (sorted({key[i] for key in cells}) for i in (0, 1))
+    scored = lambda row: f"{row['f1']:.3f}/{row['f2']:.3f}" if row and row.get("f1") is not None and row.get("f2") is not None else "-"
+    lines = [["spec", *adapters], *([s, *(scored(cells.get((s, a))) for a in adapters)] for s in specs)]
+    first = lambda row, *names: next((row[n] for n in names if row.get(n) is not None), None)
+    leaks = [(s, a, first(cells[s, a], "leak_rate", "cnp_leak_rate"), cells[s, a]) for s in specs for a in adapters if (s, a) in cells]
+    told = [[s, a, f"{rate:.3f}", str(first(row, "missed", "cnp_missed") or 0), str(first(row, "leaked_qi") or 0)] for s, a, rate, row in leaks if rate is not None]
+    tables = [lines, [["spec", "adapter", "leak_rate", "missed", "leaked_qi"], *told]] if told else [lines]
+    width = lambda table: [max(len(r[i]) for r in table) for i in range(len(table[0]))]
+    return "\n\n".join("\n".join("  ".join(c.ljust(w) for c, w in zip(row, width(t), strict=True)).rstrip() for row in t) for t in tables)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privlytics.operators import anonymization, detectors, metrics, subjects
-from privlytics.sources.files import Spec
+from privlytics.sources.files import Spec, json_lines
+from privlytics.sources.fixtures import SPANS
 
 
 def _entities(rows: DataFrame) -> DataFrame:
@@ -80,3 +81,28 @@ def run_suite(spark: SparkSession, specs: list[Spec], found: list, load: Callabl
         names = (*spec.metrics, "detection_recall") if spec.task == "anonymization" else spec.metrics
         done[spec.name] = evaluate(detectors.detect_all(docs, found), tuple(dict.fromkeys(names)))
     return done, skipped
+
+
+def load_lines(spark: SparkSession, spec: Spec) -> DataFrame:
+    """(doc_id, country, text, gold) of the JSON lines that a spec's dataset names by ``path``; rows without a country are RO."""
+    rows = json_lines(spark, spec.dataset["path"], "doc_id", "text", "spans", schema="doc_id long, country string, text string, spans array<struct<start:int,end:int,label:string>>")
+    value = lambda s: F.substr(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+    gold = F.transform(F.coalesce("spans", F.array()), lambda s: F.struct(s["start"], s["end"], s["label"], value(s).alias("value")))
+    return rows.select("doc_id", F.coalesce(F.upper("country"), F.lit("RO")).alias("country"), "text", gold.cast(SPANS).alias("gold"))
+
+
+def suite_rows(spark: SparkSession, specs: list[Spec], found: list, load: Callable[[SparkSession, Spec], DataFrame] = load_lines) -> tuple[DataFrame | None, list[str]]:
+    """(rows of a board, skipped specs): one row for each spec and detector, the detectors of a spec as one job; no rows without any data."""
+    rows, skipped = None, []
+    for spec in specs:
+        try:
+            docs = load(spark, spec)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            skipped.append(spec.name)
+            continue
+        scores = track_drivers(detectors.detect_all(docs, found)).withColumnRenamed("detector", "adapter")
+        one = scores.select("adapter", F.col("adapter").alias("model_id"), F.lit(spec.name).alias("spec"), F.lit(spec.dataset.get("config", spec.name)).alias("config"), "f1", "f2", "leak_rate", "missed", "total", "leaked_qi")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows, skipped
