@@ -382,6 +382,22 @@ def test_class_model_is_a_distribution():
     assert np.allclose(np.bincount(cls, 10.0**share), 1)
 
 
+def test_every_training_window_is_learned_from(spark):
+    rows = [(i, f"one two three four five six seven eight nine ten {i} " * n) for i, n in enumerate([1, 3, 400, 2] * 10)] + [(None, None), (100, "")]
+    ranks = lm_score.load_vocabulary()
+    coded = lm_score.encode(spark.createDataFrame(rows, "doc_id long, text string"), F.coalesce(F.col("doc_id") % 4 != 3, F.lit(True)))
+    fitted = lm_score.fit(coded, steps=5)
+    assert fitted["trained"] == sum(len(lm_score.subwords(t, ranks)) for d, t in rows if d is None or d % 4 != 3)
+
+
+def test_sums_by_number():
+    rng = np.random.default_rng(2)
+    index, rows = rng.integers(0, 40, 300), rng.normal(0, 1, (300, 5)).astype(np.float32)
+    found, sums = lm_score._row_sums(index, rows)
+    assert sorted(found.tolist()) == sorted(set(index.tolist()))
+    assert all(np.allclose(s, rows[index == i].sum(axis=0), atol=1e-5) for i, s in zip(found, sums, strict=True))
+
+
 def test_training_grows_with_the_texts(spark):
     rows = [(i, "one two three four five six seven eight nine ten " * n) for i, n in enumerate([1, 3, 400, 2] * 10)] + [(None, None), (-1, "")]
     ranks = lm_score.load_vocabulary()
