@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, partitions
+from .common import broadcast_if_small, materialize, partitions, tidy
 from .language_id import texts_of
 from .words import mix, shingle_sets
 
@@ -116,7 +116,7 @@ def _sets(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
             parts = counters.reshape(64, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(64, batch.column("doc_id").type), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int32()), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.array(range(64), pa.int32()), pa.array([_squeeze(p) for p in parts], pa.binary())], names=["doc_id", "row", "n", "k1", "k2", "part", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, n int, k1 long, k2 long, part int, counts binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, row long, n int, k1 long, k2 long, part int, counts binary")
 
 
 def _sketch(tables: DataFrame, bits: int) -> np.ndarray:
@@ -130,7 +130,7 @@ def _sketch(tables: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_squeeze(np.minimum(v, 2**32 - 1).astype(np.uint32)) for v in total.values()], pa.binary())], names=["part", "counts"])
 
     out = np.zeros((64, (1 << bits) // 64), np.uint32)
-    for r in tables.repartition(8, "part").mapInArrow(add, "part int, counts binary").collect():
+    for r in tables.repartition(8, "part").mapInArrow(tidy(add), "part int, counts binary").collect():
         out[r.part] = _unsqueeze(bytes(r.counts), (1 << bits) // 64)
     return out.reshape(-1)
 
@@ -260,12 +260,12 @@ def _regions(docs: DataFrame, counts: np.ndarray, total: int, shingle: int, num:
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(key), pa.array(step, pa.int32()), pa.array(index)], names=["token", "member", "own", "index"])
 
     any_hot = bool((counts > often_from).any())
-    sent = docs.mapInArrow(send, "target int, packed binary")
+    sent = docs.mapInArrow(tidy(send), "target int, packed binary")
     sent = materialize(sent, "jaccard-prefixes") if any_hot else sent
     common = sent.filter(F.col("target") < targets) if any_hot else sent
-    pairs = common.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(meet, "leader long, step int, member long")
+    pairs = common.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(tidy(meet), "leader long, step int, member long")
     if any_hot:
-        each = sent.filter(F.col("target") >= targets).mapInArrow(rows, "token long, member long, own int, index boolean")
+        each = sent.filter(F.col("target") >= targets).mapInArrow(tidy(rows), "token long, member long, own int, index boolean")
         each = each.withColumn("step", F.explode(F.array(F.col("own"), F.col("own") - 1)))
         each = materialize(each.withColumn("small", F.col("index") & (F.col("own") == F.col("step"))), "jaccard-hot")
         leaders = each.groupBy("token", "step").agg(F.min("member").alias("leader"), F.max("member").alias("last"), F.max("small").alias("any"))
@@ -473,7 +473,7 @@ def _survivors(rows: DataFrame, num: int, den: int) -> DataFrame:
                 out = []
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["region", "member"])
 
-    return rows.repartition(targets, "region").sortWithinPartitions("region", "member").mapInArrow(run, "region long, member long")
+    return rows.repartition(targets, "region").sortWithinPartitions("region", "member").mapInArrow(tidy(run), "region long, member long")
 
 
 def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -498,7 +498,7 @@ def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     dealt = rows.select("region", "task", "side", "member", "comp", "tokens").repartition(targets, "region", "task").sortWithinPartitions("region", "task", "side", "member")
-    return materialize(dealt.mapInArrow(run, "a long, b long"), "jaccard-links")
+    return materialize(dealt.mapInArrow(tidy(run), "a long, b long"), "jaccard-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -541,7 +541,7 @@ def _fetch(source: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: in
                     rows += [[*spot.values(), *made] for spot in spots.as_py()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=names)
 
-    return chosen.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in [*old, *new]))
+    return chosen.mapInArrow(tidy(run), ", ".join(f"{name} {kind}" for name, kind in [*old, *new]))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 3, den: int = 4, bits: int | None = None, hot: int = HOT, block: int = BLOCK) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small
+from .common import broadcast_if_small, tidy
 
 BITS, DIM, PIECE = 15, 16, 1 << 20
 #: By n-gram length: mask of a little-endian group of four bytes, and an odd multiplier.
@@ -127,7 +127,7 @@ def _sample(docs: DataFrame, per_lang: int, learn: Column) -> DataFrame:
                 counts.append(total[found].astype(np.float32))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32())), batch.column("calib")], ["key", "lang", "ids", "counts", "calib"])
 
-    return drawn.mapInArrow(count, "key string, lang string, ids array<int>, counts array<float>, calib boolean")
+    return drawn.mapInArrow(tidy(count), "key string, lang string, ids array<int>, counts array<float>, calib boolean")
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, learn: Column | None = None, per_lang: int = 1000, epoc
             yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
     sample = _sample(docs, per_lang, F.lit(True) if learn is None else learn)
-    got = sample.repartition(1).sortWithinPartitions("key", "lang").mapInArrow(run, "model binary").collect()  # one row: the model
+    got = sample.repartition(1).sortWithinPartitions("key", "lang").mapInArrow(tidy(run), "model binary").collect()  # one row: the model
     if not got:
         return {"langs": [], "table": np.zeros(((1 << BITS) + 1, 1), np.float32), "bias": np.zeros(0), "temperature": 1.0, "threshold": 1.0}
     found = np.load(io.BytesIO(bytes(got[0].model)))
@@ -224,4 +224,4 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             new = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(~has | (score < threshold))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return kept.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double, rejected boolean")

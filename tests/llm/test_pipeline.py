@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from privlytics.llm import mixing, queries
+from privlytics.llm import common, mixing, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -110,3 +110,19 @@ def test_duplicates_keep_rows_without_an_id_and_other_texts(spark):
     assert out.columns == docs.columns
     want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_workers_keep_no_free_memory():
+    """Blocks that were freed below one that is in use: without ``tidy`` they stay with the process."""
+    pins = []
+    mine = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20  # noqa: E731, SIM115
+
+    def work(batches):
+        held = [b"x" * 50_000 for _ in range(4000)]
+        pins.append(b"y" * 50_000)
+        del held
+        yield from batches
+
+    start = mine()
+    assert list(work(iter([1, 2]))) == [1, 2] and mine() - start > 120
+    assert list(common.tidy(work)(iter([1, 2]))) == [1, 2] and mine() - start < 60
