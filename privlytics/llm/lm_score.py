@@ -1,4 +1,4 @@
-"""LM scoring: a causal self-attention model on subword ids, trained in numpy, and unigram counts of the whole corpus.
+"""LM scoring: a causal self-attention model on subword ids, and unigram counts of the whole corpus.
 
 Subwords come from a public byte-level vocabulary (``vocabulary``: a file of ranks; never trained). The model sees subword
 ids: an input is the sum of an embedding of its id, one of its class and one of its place. The output goes through classes:
@@ -14,6 +14,8 @@ tasks go on from the common weights with the windows of their texts, and the mea
 embedding, by its occurrences), is next. So that the tasks set out from weights that can be averaged, the first ones come
 from ``steps`` steps of Adam, in one task, on about ``start_windows`` windows; ``window_share`` below 1 is for tests.
 
+Gradients and scores of windows are graphs of onnxruntime (``lm_graph``); where it is missing, numpy does the same.
+
 Base scores use exact counts of words over all training texts. Tasks send each word's postings to the partition of its
 hash, packed; there counts are summed and each text's share of its log score is sent back to its block of texts. Both
 steps grow with the corpus; no table of all words is ever in one place, and there are so many partitions that each has a
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions
 from .language_id import texts_of
+from .lm_graph import Run, load, scoring, training
 from .words import rows_of_words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -116,12 +119,11 @@ def windows(lengths: np.ndarray, flat: np.ndarray, size: int) -> tuple[np.ndarra
     first = np.concatenate([[0], np.cumsum(count + 1)])[:-1] * HALF  # of each text in the line of inputs
     line = np.full(int((count + 1).sum()) * HALF, size + 1, np.int32)
     line[first + HALF] = size
-    inside = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    last = inside == np.repeat(lengths, lengths) - 1
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    line[(first[text] + HALF + 1 + inside)[~last]] = flat[~last]
     target = np.full(int(count.sum()) * HALF, -1, np.int32)
-    target[(np.cumsum(count) - count)[text] * HALF + inside] = flat
+    ends, begins = np.cumsum(lengths), (np.cumsum(count) - count) * HALF
+    for at, to, a, b in zip((first + HALF + 1).tolist(), begins.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+        line[at : at + b - a - 1] = flat[a : b - 1]
+        target[to : to + b - a] = flat[a:b]
     rows = line.reshape(-1, HALF)
     keep = np.ones(len(rows), bool)
     keep[np.cumsum(count + 1) - 1] = False
@@ -169,6 +171,17 @@ def forward(m: dict, inputs: np.ndarray) -> dict:
     return {"x": x, "classes": classes, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "z": np.clip(z, -60, 60, out=z)}
 
 
+def products(m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Projections multiplied out, so that positions are compared and mixed as they are: (q and k, v and o)."""
+    return (m["q"] @ m["k"].T) * np.float32(DIM**-0.5), m["v"] @ m["o"]
+
+
+def graph_of(m: dict) -> Run | None:
+    """What scores windows; none without the runtime."""
+    qk, vo = products(m)
+    return load(scoring({"x": m["emb"][m["class"]] + m["own"], "pos": m["pos"], "qk": qk, "vo": vo, "u": m["u"], "last": m["bigram"] + m["b"]}, _MASK))
+
+
 def tables_of(m: dict) -> dict[str, np.ndarray]:
     """What scoring needs, multiplied out: projections of ids and of positions, and logits of the last class alone."""
     x, late = m["emb"][m["class"]] + m["own"], m["pos"][HALF:]
@@ -181,9 +194,15 @@ def tables_of(m: dict) -> dict[str, np.ndarray]:
     }
 
 
-def log10_of(t: dict, inputs: np.ndarray, targets: np.ndarray, step: int = 128) -> np.ndarray:
-    """log10 p(class) of each target, 0 where there is none; as ``forward``, in pieces that stay in the cache. ``t``: of ``tables_of``."""
+def log10_of(t: dict, inputs: np.ndarray, targets: np.ndarray, step: int = 128, run: Run | None = None) -> np.ndarray:
+    """log10 p(class) of each target, 0 where there is none; as ``forward``, in pieces that stay in the cache. ``t``: of ``tables_of``; ``run``: of ``graph_of``."""
     out, opens = np.zeros(targets.size), len(t["class"]) - 1
+    for at in range(0, len(inputs) if run else 0, BATCH):
+        x, y = inputs[at : at + BATCH], targets[at : at + BATCH].reshape(-1)
+        feeds = {"ids": np.ascontiguousarray(x, np.int32), "opens": (x[:, 0] == opens).astype(np.int64), "classes": t["class"].take(x[:, HALF:].reshape(-1)), "goal": t["class"].take(np.maximum(y, 0))[:, None]}
+        out[at * HALF : at * HALF + len(y)] = np.where(y >= 0, run(feeds)[0][:, 0], 0)
+    if run:
+        return out / np.log(10)
     for at in range(0, len(inputs), step):
         x, y = inputs[at : at + step], targets[at : at + step].reshape(-1)
         late = x[:, HALF:]
@@ -282,9 +301,65 @@ class Adam:
             self.m[k][at] -= rate * (one / (1 - 0.9**self.step)) / (np.sqrt(two / (1 - 0.99**self.step)) + 1e-8)
 
 
+class GraphAdam:
+    """``Adam`` on gradients from a graph (``lm_graph.training``). Moments are kept as sums of powers of the gradients, without (1 - decay)."""
+
+    def __init__(self, m: dict, run: Run):
+        self.run, self.step, self.given = run, 0, m
+        self.line, cuts = np.concatenate([m[k].reshape(-1) for k in DENSE]), np.cumsum([m[k].size for k in DENSE])[:-1]
+        self.dense = {k: v.reshape(m[k].shape) for k, v in zip(DENSE, np.split(self.line, cuts), strict=True)}
+        self.one, self.two = np.zeros_like(self.line), np.zeros_like(self.line)
+        self.own = [m["own"].copy(), np.zeros_like(m["own"]), np.zeros_like(m["own"])]  # and moments
+        self.times, self.seat = np.zeros(len(m["own"]), np.int64), np.empty(len(m["own"]), np.int64)
+
+    @property
+    def m(self) -> dict:
+        return self.given | self.dense | {"own": self.own[0]}
+
+    def __call__(self, inputs: np.ndarray, targets: np.ndarray, rate: float) -> None:
+        self.step += 1
+        m, cls, goal = self.dense, self.given["class"], targets.reshape(-1)
+        index, at = inputs.reshape(-1), np.arange(inputs.size)
+        self.seat[index] = at  # one of the places of each id
+        ids = index[self.seat.take(index) == at]
+        self.seat[ids] = np.arange(len(ids))
+        kinds, (own, one, two) = cls.take(ids), (a.take(ids, axis=0) for a in self.own)
+        live = goal >= 0
+        feeds = {"rows": m["emb"].take(kinds, axis=0) + own, "kinds": kinds[:, None], "place": self.seat.take(inputs)}
+        feeds |= {"opens": (inputs[:, 0] == len(cls) - 1).astype(np.int64), "classes": cls.take(inputs[:, HALF:].reshape(-1)), "goal": cls.take(np.maximum(goal, 0))[:, None]}
+        feeds |= {"each": (live * np.float32(1 / max(1, np.count_nonzero(live)))).repeat(DIM).reshape(-1, DIM), "pos": m["pos"], "u": m["u"]}
+        feeds |= dict(zip(("qk", "vo"), products(m), strict=True))
+        rows, emb, pos, qk, vo, u = self.run(feeds)
+        qk *= np.float32(DIM**-0.5)
+        g = {"emb": emb, "pos": pos, "q": qk @ m["k"], "k": qk.T @ m["q"], "v": vo @ m["o"].T, "o": m["v"].T @ vo, "u": u}
+        self.line -= self.change(self.one, self.two, np.concatenate([g[k].reshape(-1) for k in DENSE]), rate)
+        own -= self.change(one, two, rows, rate)
+        for kept, now in zip(self.own, (own, one, two), strict=True):
+            kept[ids] = now
+        self.times[ids] += 1
+
+    def change(self, one: np.ndarray, two: np.ndarray, g: np.ndarray, rate: float) -> np.ndarray:
+        """What a step takes off; moves the moments."""
+        one *= 0.9
+        one += g
+        two *= 0.99
+        two += g * g
+        root = (1 - 0.99**self.step) ** 0.5
+        below = np.sqrt(two)
+        below += 1e-7 * root
+        out = one / below
+        out *= rate * root / (1 - 0.9**self.step)
+        return out
+
+
+def adam_of(m: dict) -> Adam | GraphAdam:
+    run = load(training(m["bigram"] + m["b"], _MASK, DIM))
+    return GraphAdam(m, run) if run else Adam(m)
+
+
 def train(m: dict, inputs: np.ndarray, targets: np.ndarray, steps: int = 600, batch: int = BATCH, rate: float = 0.01, seed: int = 5) -> dict:
     rng = np.random.default_rng(seed)
-    adam = Adam(m)
+    adam = adam_of(m)
     for step in range(steps):
         rows = rng.integers(0, len(inputs), batch)
         adam(inputs[rows], targets[rows], rate * (1 - step / steps))
@@ -427,7 +502,7 @@ def train_all(own: DataFrame, size: int, m: dict, share: float, rate: float = 0.
         lr, low, high = rate * (1 - turn / ROUNDS), share * turn / ROUNDS, share * (turn + 1) / ROUNDS
 
         def go(batches: Batches, now=now, lr: float = lr, low: float = low, high: float = high) -> Batches:  # noqa: ANN001
-            adam, used, n = Adam(now.value), 0, 0
+            adam, used, n = adam_of(now.value), 0, 0
             for block, lengths, flat in _training(batches, kind):
                 x, y = _draw(lengths, flat, size, block, 3, low, high)
                 order = np.random.default_rng(7).permutation(len(x))
@@ -436,13 +511,14 @@ def train_all(own: DataFrame, size: int, m: dict, share: float, rate: float = 0.
                     adam(x[rows], y[rows], lr)
                 used, n = used + len(x), n + int((y >= 0).sum())
             if used:
-                dense = np.concatenate([adam.m[k].reshape(-1) for k in DENSE]).astype(np.float64) * used
+                m = adam.m
+                dense = np.concatenate([m[k].reshape(-1) for k in DENSE]).astype(np.float64) * used
                 out = [(-1, 0, np.array([used, n], np.float64).tobytes() + dense.tobytes())]
                 moved = np.flatnonzero(adam.times)
                 for shard in range(SHARDS):
                     ids = moved[moved % SHARDS == shard].astype(np.int32)
                     times = adam.times[ids].astype(np.float32)
-                    out.append((shard, 0, np.array([len(ids)], np.int64).tobytes() + ids.tobytes() + times.tobytes() + (adam.m["own"][ids] * times[:, None]).tobytes()))
+                    out.append((shard, 0, np.array([len(ids)], np.int64).tobytes() + ids.tobytes() + times.tobytes() + (m["own"][ids] * times[:, None]).tobytes()))
                 yield _batch(out)
 
         def add(batches: Batches) -> Batches:
@@ -546,10 +622,10 @@ def fit(coded: tuple[DataFrame, dict], start_windows: int = 40_000, window_share
 # --- scores ----------------------------------------------------------------------------------------------------------
 
 
-def score_ids(lengths: np.ndarray, flat: np.ndarray, tables: dict, share: np.ndarray) -> np.ndarray:
+def score_ids(lengths: np.ndarray, flat: np.ndarray, tables: dict, share: np.ndarray, run: Run | None = None) -> np.ndarray:
     """log10 probability of each text of so many ids, its end included."""
     x, y, text = windows(lengths, flat, len(tables["class"]) - 2)
-    out = np.bincount(text, log10_of(tables, x, y).reshape(-1, HALF).sum(axis=1), minlength=len(lengths))
+    out = np.bincount(text, log10_of(tables, x, y, run=run).reshape(-1, HALF).sum(axis=1), minlength=len(lengths))
     return out + np.bincount(np.repeat(np.arange(len(lengths)), lengths), share[flat], minlength=len(lengths))
 
 
@@ -565,11 +641,11 @@ def score(coded: tuple[DataFrame, dict], fitted: dict) -> DataFrame:
     light = sent.sparkSession.sparkContext.broadcast((fitted["model"], fitted["share"]))
 
     def rate(batches: Batches) -> Batches:
-        tables = tables_of(light.value[0])
+        tables, run = tables_of(light.value[0]), graph_of(light.value[0])
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("packed"), strict=True):
                 head, flat = _own(blob.as_py(), kind)
-                yield _batch([(-1, block, head[:4].tobytes() + score_ids(head[4], flat, tables, light.value[1]).tobytes())])
+                yield _batch([(-1, block, head[:4].tobytes() + score_ids(head[4], flat, tables, light.value[1], run).tobytes())])
 
     scored = materialize(_texts(sent).mapInArrow(rate, CODED), "lm-scored")
     light.destroy()

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -410,3 +411,28 @@ def test_training_grows_with_the_texts(spark):
     start = {k: v if k in ("b", "bigram") else fresh[k] for k, v in m.items()}
     now, first, none = (lm_score.score_texts([rows[2][1]], fitted | {"model": x}, ranks)[0] for x in (m, start, fresh))
     assert now > first > none
+
+
+def test_graphs_agree_with_numpy():
+    rng = np.random.default_rng(9)
+    size = 500
+    m = noisy(rng, size, 0.1, np.float32)
+    x, y, _ = lm_score.windows([700, 40, 7, 1, 300], rng.integers(0, size, 1048), size)
+    plain, fast = lm_score.Adam(m), lm_score.adam_of(m)
+    assert isinstance(fast, lm_score.GraphAdam)  # the runtime is there, so the fast way is taken
+    for rows in np.array_split(rng.permutation(len(x)), 5):
+        plain(x[rows], y[rows], 0.004)
+        fast(x[rows], y[rows], 0.004)
+    got = fast.m
+    # a gradient that is 0 but for rounding has a step of its own in either way: a few numbers may differ
+    assert all(np.quantile(np.abs(plain.m[k] - got[k]), 0.999) < 1e-4 for k in (*lm_score.DENSE, "own")) and (plain.times == fast.times).all()
+    assert all(np.abs(m[k] - got[k]).max() > 0.01 for k in (*lm_score.DENSE, "own"))
+    tables = lm_score.tables_of(got)
+    want = lm_score.log10_of(tables, x, y)
+    assert np.abs(lm_score.log10_of(tables, x, y, run=lm_score.graph_of(got)) - want).max() < 1e-4 and (want[y.reshape(-1) < 0] == 0).all()
+
+
+def test_without_the_runtime(monkeypatch):
+    m = noisy(np.random.default_rng(9), 90, 0.1, np.float32)
+    monkeypatch.setitem(sys.modules, "onnxruntime", None)
+    assert lm_score.graph_of(m) is None and type(lm_score.adam_of(m)) is lm_score.Adam
