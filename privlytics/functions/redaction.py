@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tokens import SPACE
+from .tokens import SPACE, blanks
 
 #: The mask sign and the words that count as masks.
 MASK = "█"
@@ -39,4 +39,4 @@ def is_mask(token: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0))
+    return F.regexp_extract_all(blanks(text), F.lit("[^ ]+"), F.lit(0))

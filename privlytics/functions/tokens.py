@@ -7,21 +7,28 @@ from pyspark.sql import functions as F
 
 #: Fixed value: what splits tokens, spelled out as regex dialects differ.
 SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same as signs.
+SIGNS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def blanks(text: Column) -> Column:
+    """With a blank for each sign of white space: a pattern of all of these takes forty times as long as one of the blank."""
+    return F.translate(text, SIGNS, " " * len(SIGNS))
 
 
 def token_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)))
+    return F.size(F.regexp_extract_all(blanks(text), F.lit("[^ ]+"), F.lit(0)))
 
 
 def _token(at: Column, run: Column) -> Column:
-    tok = F.regexp_replace(run, f"^[{SPACE}]+", "")
+    tok = F.ltrim(run)
     end = at + F.char_length(run)
     return F.named_struct(F.lit("tok"), tok, F.lit("s"), end - F.char_length(tok), F.lit("e"), end)
 
 
 def whitespace_tokens(text: Column) -> Column:
     """array<struct<tok,s,e>>: maximal runs of other than white space; end exclusive."""
-    runs = F.regexp_extract_all(text, F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
+    runs = F.regexp_extract_all(blanks(text), F.lit(" *[^ ]+"), F.lit(0))
     return F.aggregate(
         runs,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<tok:string,s:int,e:int>>").alias("out")),
@@ -45,4 +52,4 @@ def bioes(owners: Column, labels: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SIGNS))

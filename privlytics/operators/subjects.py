@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from privlytics.functions.bind import once
 from privlytics.functions.national_id import DECODE_BEARING, disclosed, parse, parse_ro
 from privlytics.functions.quasi import county_nuts2, dob_band
-from privlytics.functions.tokens import SPACE, strip, whitespace_tokens
+from privlytics.functions.tokens import blanks, strip, whitespace_tokens
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """One row for each gold span of (detector, doc_id, country, text, gold, pred): detected iff a token in it is predicted."""
-    tokens = whitespace_tokens(F.col("text"))
-    hit = F.filter(tokens, lambda t: F.exists("pred", lambda p: (t["s"] < p["end"]) & (t["e"] > p["start"])))
-    one = rows.select("detector", "doc_id", "country", hit.alias("hit"), F.explode("gold").alias("g"))
-    inside = F.exists("hit", lambda t: (t["s"] < F.col("g.end")) & (t["e"] > F.col("g.start")))
-    return one.select("detector", "doc_id", "country", F.col("g.label").alias("label"), F.col("g.value").alias("value"), inside.alias("detected"))
+    """One row for each gold span of (detector, doc_id, country, text, gold, pred): detected iff a token in it is predicted.
+
+    Rows that have ``tokens`` (those of the text) are not split again for each detector.
+    """
+    tokens = F.col("tokens") if "tokens" in rows.columns else whitespace_tokens(F.col("text"))
+    touch = lambda t, s: (t["s"] < s["end"]) & (t["e"] > s["start"])
+    hit = F.filter(tokens, lambda t: F.exists("pred", lambda p: touch(t, p)))
+    # one expression under the generator: as a column of its own the hits would be worked out again for each span
+    found = once(hit, lambda h: F.transform("gold", lambda g: F.struct(g["label"].alias("label"), g["value"].alias("value"), F.exists(h, lambda t: touch(t, g)).alias("detected"))))
+    return rows.select("detector", "doc_id", "country", F.explode(found).alias("g")).select("detector", "doc_id", "country", "g.label", "g.value", "g.detected")
 
 
 def national_id_subjects(rows: DataFrame) -> DataFrame:
@@ -33,7 +38,7 @@ def with_disclosed(subjects: DataFrame) -> DataFrame:
 
 
 def person_subjects(rows: DataFrame) -> DataFrame:
-    value = strip(F.regexp_replace("value", f"[{SPACE}]+", " "))
+    value = F.trim(F.regexp_replace(blanks(F.col("value")), " +", " "))
     names = occurrences(rows).filter("label = 'PERSON'").withColumn("value", value).filter("value <> ''")
     return names.groupBy("detector", "doc_id", "value").agg(F.bool_and("detected").alias("detected"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from privlytics.functions.bind import once
 from privlytics.functions.national_id import BSN_WEIGHTS, CNP_WEIGHTS, PESEL_WEIGHTS, weighted
+from privlytics.functions.tokens import whitespace_tokens
 
 SPANS = "array<struct<start:int,end:int,label:string,value:string>>"
 
@@ -15,6 +16,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Documents of one task.
+DOCS_A_TASK = 2500
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` over tasks of some ``DOCS_A_TASK`` rows: one task reads a small file, whatever is made of its rows.
+
+    What is grouped by the key and more afterwards stays in its task.
+    """
+    return rows.repartition(rows.count() // DOCS_A_TASK + 1, key)
+
+
 def _ro_check(body):
     return once(weighted(body, CNP_WEIGHTS) % 11, lambda rem: F.when(rem == 10, 1).otherwise(rem))
 
@@ -26,7 +39,8 @@ def id_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat((k % 6 + 1).cast("string"), pad(k * 7 % 100, 2), pad(k % 12 + 1, 2), pad(k % 28 + 1, 2), pad(k % 46 + 1, 2), pad(k * 13 % 1000, 3))
     control = lambda check: F.when(k % 7 == 0, (check + 1) % 10).otherwise(check).cast("string")
     value = once(body, lambda b: F.concat(b, once(_ro_check(b), control)))
-    rows = read_table(spark, sf_dir, "customer").select(k.alias("doc_id"), value.alias("value"), F.col("c_name").alias("name"))
+    keys = spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    rows = keys.select(k.alias("doc_id"), value.alias("value"), F.col("c_name").alias("name"))
     text = F.concat(F.lit("CNP "), F.col("value"), F.lit(" name "), F.col("name"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" again "), F.col("value"))).otherwise(""))
     n = F.length("name")
     span = lambda s, e, label, v: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit(label).alias("label"), v.alias("value"))
@@ -36,12 +50,17 @@ def id_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lit("RO").alias("country"), text.alias("text"), "name", gold.cast(SPANS).alias("gold"))
 
 
+def _tokenized(docs: DataFrame) -> DataFrame:
+    """With ``tokens``, which all detectors of a document share."""
+    return docs.withColumn("tokens", whitespace_tokens(F.col("text")))
+
+
 def detected(docs: DataFrame) -> DataFrame:
     """One row per document and detector with ``pred`` spans: all; none; all but every 3rd document; no repeated ids."""
     spans = F.col("gold")
     preds = {"full": spans, "none": F.slice(spans, 1, 0), "third": F.when(F.col("doc_id") % 3 == 0, F.slice(spans, 1, 0)).otherwise(spans), "first": F.slice(spans, 1, 2)}
     rows = F.array(*(F.struct(F.lit(k).alias("detector"), v.alias("pred")) for k, v in preds.items()))
-    return docs.withColumn("d", F.explode(rows)).select("*", "d.detector", "d.pred").drop("d")
+    return _tokenized(docs).withColumn("d", F.explode(rows)).select("*", "d.detector", "d.pred").drop("d")
 
 
 def mixed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +79,8 @@ def mixed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = value.when(country == "NL", once(nl, lambda v: F.concat(v, (weighted(v, BSN_WEIGHTS[:8]) % 11 % 10).cast("string"))))
     value = value.otherwise(once(ro, lambda v: F.concat(v, wrong(_ro_check(v), 3))))
     name = F.concat(F.when(k % 3 == 0, "Ion Vasile ").otherwise("Ana "), F.col("c_name"))
-    rows = read_table(spark, sf_dir, "customer").select(k.alias("doc_id"), country.alias("country"), name.alias("name"), value.alias("value"))
+    keys = spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    rows = keys.select(k.alias("doc_id"), country.alias("country"), name.alias("name"), value.alias("value"))
     twice = F.col("doc_id") % 5 != 0
     text = F.concat(F.lit("Patient "), "name", F.lit(", id "), "value", F.lit(" of "), "name", F.when(twice, F.concat(F.lit(" ("), "value", F.lit(")"))).otherwise(""), F.lit(" of note"))
     n, v = F.length("name"), F.length("value")
@@ -84,4 +104,4 @@ def mixed_detectors(docs: DataFrame) -> DataFrame:
         "none": F.slice(spans, 1, 0),
     }
     rows = F.array(*(F.struct(F.lit(k).alias("detector"), v.cast(SPANS).alias("pred")) for k, v in preds.items()))
-    return docs.withColumn("d", F.explode(rows)).select("*", "d.detector", "d.pred").drop("d")
+    return _tokenized(docs).withColumn("d", F.explode(rows)).select("*", "d.detector", "d.pred").drop("d")
