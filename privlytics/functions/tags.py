@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import once
 from .tokens import bioes
 
 SPAN = "struct<start:int,end:int,label:string>"
@@ -35,19 +36,18 @@ def gold_violation(tokens: Column, spans: Column) -> Column:
 
 def gold_tags(tokens: Column, spans: Column) -> Column:
     """Tags of spans without a violation; each span is one entity."""
-    own = owners(tokens, spans)
-    return bioes(own, F.transform(own, lambda o: F.get(spans, o)["label"]))
+    return once(spans, lambda ss: once(owners(tokens, ss), lambda own: bioes(own, F.transform(own, lambda o: F.get(ss, o)["label"]))))
 
 
 def label_tags(labels: Column) -> Column:
     """Tags of predicted labels (null: none); neighbours of one label are one entity."""
-    kinds = F.array_distinct(labels)
-    return bioes(F.transform(labels, lambda x: F.when(x.isNull(), -1).otherwise(F.array_position(kinds, x).cast("int"))), labels)
+    place = lambda kinds: lambda x: F.when(x.isNull(), -1).otherwise(F.array_position(kinds, x).cast("int"))
+    return once(labels, lambda ls: once(F.array_distinct(ls), lambda kinds: bioes(F.transform(ls, place(kinds)), ls)))
 
 
 def entity_tags(tokens: Column, entities: Column) -> Column:
     """Tags of predicted entities: for each token the first in list order wins."""
-    return label_tags(F.transform(owners(tokens, entities), lambda o: F.get(entities, o)["label"]))
+    return once(entities, lambda es: label_tags(F.transform(owners(tokens, es), lambda o: F.get(es, o)["label"])))
 
 
 def tags_violation(tags: Column) -> Column:

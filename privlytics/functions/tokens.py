@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import once
+
 #: Fixed value: what splits tokens, spelled out as regex dialects differ.
 SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: The same as signs.
@@ -40,14 +42,20 @@ def whitespace_tokens(text: Column) -> Column:
 def bioes(owners: Column, labels: Column) -> Column:
     """Tags of tokens from the entity that owns each (-1: none) and the token's label; neighbours of one owner are one entity."""
 
-    def tag(owner: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(owners, i - 1)).otherwise(F.lit(-1))
-        after = F.coalesce(F.get(owners, i + 1), F.lit(-1))
-        first, last = before != owner, after != owner
-        mark = F.when(first & last, "S").when(first, "B").when(last, "E").otherwise("I")
-        return F.when(owner < 0, "O").otherwise(F.concat(mark, F.lit("-"), F.get(labels, i)))
+    def tags(x: Column) -> Column:
+        owners, labels = x["owners"], x["labels"]
+
+        def tag(owner: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(owners, i - 1)).otherwise(F.lit(-1))
+            after = F.coalesce(F.get(owners, i + 1), F.lit(-1))
+            first, last = before != owner, after != owner
+            mark = F.when(first & last, "S").when(first, "B").when(last, "E").otherwise("I")
+            return F.when(owner < 0, "O").otherwise(F.concat(mark, F.lit("-"), F.get(labels, i)))
+
+        return F.transform(owners, tag)
 
-    return F.transform(owners, tag)
+    # bound, as each token looks at its neighbours: else all owners would be worked out again for each
+    return once(F.struct(owners.alias("owners"), labels.alias("labels")), tags)
 
 
 def strip(text: Column) -> Column:

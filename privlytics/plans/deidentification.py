@@ -28,8 +28,8 @@ def tag1(spark, sf_dir):
 
 @query("tag6_tag_spans", f"WITH {IDS} SELECT k AS doc_id, label, CAST(s AS INT) AS start, CAST(e AS INT) AS \"end\" FROM det WHERE detector = 'first' AND detected")
 def tag6(spark, sf_dir):
-    rows = _rows(spark, sf_dir).filter("detector = 'first'").withColumn("t", tokens.whitespace_tokens(F.col("text")))
-    spans = tags.tag_spans(F.col("t"), tags.entity_tags(F.col("t"), F.col("pred")))
+    rows = _rows(spark, sf_dir).filter("detector = 'first'")
+    spans = tags.tag_spans(F.col("tokens"), tags.entity_tags(F.col("tokens"), F.col("pred")))
     return rows.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.label", "s.start", "s.end")
 
 

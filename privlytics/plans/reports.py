@@ -103,8 +103,7 @@ def tag1(spark, sf_dir):
 
 @query("tag5_entity_tags_of_countries", f"WITH {MIXED}, o AS (SELECT dd.detector, tk.k, tk.i, tt.label FROM tk CROSS JOIN dd LEFT JOIN tt ON tt.detector = dd.detector AND tt.k = tk.k AND tt.i = tk.i), b AS (SELECT detector, k, i, label, lag(label) OVER w IS DISTINCT FROM label AS first, lead(label) OVER w IS DISTINCT FROM label AS last FROM o WINDOW w AS (PARTITION BY detector, k ORDER BY i)) SELECT detector, k AS doc_id, string_agg({_BIOES}, ',' ORDER BY i) AS tags FROM b GROUP BY ALL")
 def tag5(spark, sf_dir):
-    rows = _rows(spark, sf_dir).withColumn("t", tokens.whitespace_tokens(F.col("text")))
-    return rows.select("detector", "doc_id", F.array_join(tags.entity_tags(F.col("t"), F.col("pred")), ",").alias("tags"))
+    return _rows(spark, sf_dir).select("detector", "doc_id", F.array_join(tags.entity_tags(F.col("tokens"), F.col("pred")), ",").alias("tags"))
 
 
 @query("ano1_masks_of_countries", f"WITH {MIXED} SELECT detector, k AS doc_id, redacted FROM red")

@@ -7,13 +7,14 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from privlytics.functions import redaction, tokens
+from privlytics.functions import redaction, tags, tokens
 from privlytics.plans.registry import ORACLE_SQL, QUERIES
 from privlytics.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
 DEALT = [
     "met6_country_counts",
+    "tag5_entity_tags_of_countries",
 ]
 
 
@@ -85,3 +86,11 @@ def test_white_space_by_sign_and_by_pattern(spark):
     for r in df.collect():
         assert r.s == r.ends and r.w == r.runs and (r.t is None or (r.n == len(r.runs) and len(r.b) == len(r.t)))
         assert r.t is None or [(x.tok, r.t[x.s : x.e]) for x in r.x] == [(w, w) for w in r.runs]
+
+
+def test_tags_hold_what_they_look_at_once(spark):
+    df = spark.createDataFrame([("a b c d", [(0, 3, "X"), (6, 7, "Y")])], "text string, e array<struct<start:int,end:int,label:string>>").withColumn("t", tokens.whitespace_tokens(F.col("text")))
+    for made, what in ((tags.entity_tags, "array_distinct("), (tags.gold_tags, "array_position(")):
+        tagged = df.select(made(F.col("t"), F.col("e")).alias("tags"))
+        assert tagged._jdf.queryExecution().analyzed().toString().count(what) == 1
+        assert tagged.first().tags == ["B-X", "E-X", "O", "S-Y"]
