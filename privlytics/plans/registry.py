@@ -216,8 +216,7 @@ p AS (SELECT *, CASE WHEN n_pred > 0 THEN tp * 1.0e0 / n_pred ELSE 0 END AS prec
 SELECT detector, tp, n_gold, n_pred, precision, recall, 2.0e0 * tp / (n_gold + n_pred) AS f1, CASE WHEN 4 * precision + recall > 0 THEN 5 * precision * recall / (4 * precision + recall) ELSE 0 END AS f2 FROM p""")
 def met1(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    flat = lambda c: rows.select("detector", "doc_id", F.explode(c).alias("s")).select("detector", "doc_id", "s.label", "s.start", "s.end")
-    return metrics.entity_scores(flat("gold"), flat("pred"))
+    return metrics.entity_scores(metrics.spans_of(rows, "gold"), metrics.spans_of(rows, "pred"))
 
 
 @query("met11_k_anonymity", f"""WITH {IDS}, s AS (SELECT count(*) AS c FROM sub WHERE detector = 'none' GROUP BY sex, CAST(substr(birth_date, 1, 4) AS INT) // 5, place_code)

@@ -87,9 +87,8 @@ def met11(spark, sf_dir):
 @query("met1_scores_of_countries", f"""WITH {MIXED}, c AS (SELECT dd.detector, (SELECT count(*) FROM p JOIN g USING (k, label, s, e) WHERE p.detector = dd.detector) AS tp, (SELECT count(*) FROM g) AS n_gold, (SELECT count(*) FROM p WHERE p.detector = dd.detector) AS n_pred FROM dd),
 r AS (SELECT *, {_shown('tp', 'n_pred', 'precision')}, tp * 1.0e0 / n_gold AS recall, 2.0e0 * tp / (n_gold + n_pred) AS f1 FROM c) SELECT *, CASE WHEN precision + recall > 0 THEN 5 * precision * recall / (4 * precision + recall) ELSE 0 END AS f2 FROM r""")
 def met1(spark, sf_dir):
-    spans = lambda rows, column: rows.select("detector", "doc_id", F.explode(column).alias("s")).select("detector", "doc_id", "s.label", "s.start", "s.end")
     rows = _rows(spark, sf_dir)
-    return metrics.entity_scores(spans(rows, "gold"), spans(rows, "pred"))
+    return metrics.entity_scores(metrics.spans_of(rows, "gold"), metrics.spans_of(rows, "pred"))
 
 
 _BIOES = "CASE WHEN label IS NULL THEN 'O' ELSE concat(CASE WHEN first AND last THEN 'S-' WHEN first THEN 'B-' WHEN last THEN 'E-' ELSE 'I-' END, label) END"

@@ -15,9 +15,8 @@ from privlytics.sources.fixtures import SPANS
 
 def _entities(rows: DataFrame) -> DataFrame:
     """Scores over labels that the gold has; predictions of other labels do not count."""
-    flat = lambda c: rows.select("detector", "doc_id", F.explode(c).alias("s")).select("detector", "doc_id", "s.label", "s.start", "s.end")
-    gold = flat("gold")
-    return metrics.entity_scores(gold, flat("pred").join(F.broadcast(gold.select("label").distinct()), "label", "left_semi"))  # labels of the taxonomy
+    gold = metrics.spans_of(rows, "gold")
+    return metrics.entity_scores(gold, metrics.spans_of(rows, "pred").join(F.broadcast(gold.select("label").distinct()), "label", "left_semi"))  # labels of the taxonomy
 
 
 def _redaction(rows: DataFrame) -> DataFrame:

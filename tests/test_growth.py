@@ -15,6 +15,7 @@ SF = "/root/testdata/sf0.001"
 DEALT = [
     "met6_country_counts",
     "tag5_entity_tags_of_countries",
+    "met1_scores_of_countries",
 ]
 
 
