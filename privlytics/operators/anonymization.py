@@ -18,13 +18,13 @@ def anonymize(rows: DataFrame) -> DataFrame:
 
 def survivors(subjects: DataFrame, redacted: DataFrame) -> DataFrame:
     """Subjects by detector, detected unless a part of the value survives in the redacted text."""
-    both = redacted.join(subjects, "doc_id")
+    both = redacted.join(subjects.hint("merge"), "doc_id")  # merged as in information_retention
     return both.select("detector", "doc_id", "country", "value", (~value_survives(F.col("redacted"), F.col("value"))).alias("detected"))
 
 
 def redaction_report(subjects: DataFrame, redacted: DataFrame) -> DataFrame:
     """Per detector: subjects (doc_id, value, qi), those of whom a part survives masking, their share with its interval, and what they give away."""
-    both = redacted.join(subjects, "doc_id").select("detector", "qi", value_survives(F.col("redacted"), F.col("value")).alias("left"))
+    both = redacted.join(subjects.hint("merge"), "doc_id").select("detector", "qi", value_survives(F.col("redacted"), F.col("value")).alias("left"))
     n = both.groupBy("detector").agg(F.count("*").alias("subjects_total"), F.count_if(F.col("left")).alias("subjects_leaked"), F.coalesce(F.sum(F.when(F.col("left"), F.col("qi"))), F.lit(0)).cast("long").alias("leaked_quasi_identifiers"))
     low, high = wilson(F.col("subjects_leaked"), F.col("subjects_total"))
     return n.select("detector", "subjects_total", "subjects_leaked", (F.col("subjects_leaked") / F.col("subjects_total").cast("double")).alias("leak_rate"), F.round(low, 12).alias("leak_rate_ci_low"), F.round(high, 12).alias("leak_rate_ci_high"), "leaked_quasi_identifiers")
@@ -67,10 +67,16 @@ def bijection_rate(pairs: DataFrame, *scope: str) -> DataFrame:
 def information_retention(docs: DataFrame, redacted: DataFrame) -> DataFrame:
     """Share of the tokens outside gold spans that the redacted text still has, counted as multisets for each document."""
     outside = F.filter(whitespace_tokens(F.col("text")), lambda t: ~F.exists("gold", lambda g: (t["s"] < g["end"]) & (t["e"] > g["start"])))
-    gold = docs.select("doc_id", F.explode(F.transform(outside, lambda t: t["tok"])).alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("n_gold"))
-    out = redacted.select("detector", "doc_id", F.explode(words(F.col("redacted"))).alias("tok")).groupBy("detector", "doc_id", "tok").agg(F.count("*").alias("n_out"))
-    kept = out.join(gold, ["doc_id", "tok"]).groupBy("detector").agg(F.sum(F.least("n_gold", "n_out")).alias("kept"))
-    total = gold.agg(F.sum("n_gold").alias("total"))
+    gold = docs.select("doc_id", F.transform(outside, lambda t: t["tok"]).alias("toks"))
+    # documents meet by their id alone, so that words stay in the task that has the document; merged, as for a small input file
+    # Spark takes all words of all documents for small and sends them to every executor
+    listed = lambda rows, name, *by: rows.groupBy(*by).agg(F.flatten(F.collect_list("toks")).alias(name))
+    both = listed(redacted.select("detector", "doc_id", words(F.col("redacted")).alias("toks")), "out", "detector", "doc_id").join(listed(gold, "gold", "doc_id").hint("merge"), "doc_id")
+    marked = lambda name: F.transform(name, lambda t: F.struct(t.alias("tok"), F.lit(name).alias("side")))
+    each = both.select("detector", "doc_id", F.explode(F.concat(marked("gold"), marked("out"))).alias("t")).groupBy("detector", "doc_id", "t.tok")
+    n = each.agg(F.count_if(F.col("t.side") == "gold").alias("n_gold"), F.count_if(F.col("t.side") == "out").alias("n_out"))
+    kept = n.groupBy("detector").agg(F.sum(F.least("n_gold", "n_out")).alias("kept"))
+    total = gold.agg(F.sum(F.size("toks")).alias("total"))
     every = redacted.select("detector").distinct().join(kept, "detector", "left").join(F.broadcast(total))  # one row
     return every.select("detector", F.coalesce(F.coalesce("kept", F.lit(0)) / F.nullif(F.col("total"), F.lit(0)).cast("double"), F.lit(1.0)).alias("retention"))
 

@@ -2,12 +2,14 @@
 
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from privlytics.functions import redaction, tags, tokens
+from privlytics.operators import anonymization
 from privlytics.plans.registry import ORACLE_SQL, QUERIES
 from privlytics.sources import fixtures
 
@@ -16,6 +18,7 @@ DEALT = [
     "met6_country_counts",
     "tag5_entity_tags_of_countries",
     "met1_scores_of_countries",
+    "ano8_retention_of_countries",
 ]
 
 
@@ -95,3 +98,17 @@ def test_tags_hold_what_they_look_at_once(spark):
         tagged = df.select(made(F.col("t"), F.col("e")).alias("tags"))
         assert tagged._jdf.queryExecution().analyzed().toString().count(what) == 1
         assert tagged.first().tags == ["B-X", "E-X", "O", "S-Y"]
+
+
+def test_retention_by_document(spark):
+    """Rows of one document under one id count together; no join deals words out again."""
+    docs = [(1, "a b b Ana", [(6, 9)]), (1, "b c", []), (2, "x y", []), (3, "", None), (None, "a", [])]
+    out = [("d", 1, "b b b"), ("d", 1, "a"), ("d", 2, "y y"), ("e", 2, "z"), ("d", None, "a"), ("d", 4, "a")]
+    left = spark.createDataFrame(docs, "doc_id long, text string, gold array<struct<start:int,end:int>>")
+    got = anonymization.information_retention(left, spark.createDataFrame(out, "detector string, doc_id long, redacted string"))
+    gold = {1: Counter("abbbc"), 2: Counter("xy")}
+    kept = {d: sum(sum((gold[k] & sum((Counter(t.split()) for e, i, t in out if (e, i) == (d, k)), Counter())).values()) for k in gold) for d in "de"}
+    total = sum(sum(c.values()) for c in gold.values()) + 1  # and the text without an id
+    assert {r.detector: r.retention for r in got.collect()} == {d: n / total for d, n in kept.items()}
+    joined = [line for line in plan_of(got) if "SortMergeJoin" in line]
+    assert joined and not any("tok" in line for line in joined)
