@@ -105,8 +105,11 @@ def k_anonymity_violation(rows: DataFrame, residual: DataFrame, given: str = "qi
 
 def name_context(persons: DataFrame, ids: DataFrame) -> DataFrame:
     """Per detector, documents with both channels, by whether a name and an id leaked."""
-    leak = lambda df, name: df.groupBy("detector", "doc_id").agg(F.bool_or(~F.col("detected")).alias(name))
-    both = leak(persons, "name").join(leak(ids, "id"), ["detector", "doc_id"])
+    # counted together and not joined: a join by two keys would deal out again what is dealt by document
+    of = lambda df, kind: df.select("detector", "doc_id", F.lit(kind).alias("kind"), (~F.col("detected")).alias("leak"))
+    leak = lambda kind: [F.bool_or(F.when(F.col("kind") == kind, F.col("leak"))).alias(kind), F.count_if(F.col("kind") == kind).alias(f"{kind}s")]
+    each = of(persons, "name").unionByName(of(ids, "id")).filter("detector is not null and doc_id is not null").groupBy("detector", "doc_id")
+    both = each.agg(*leak("name"), *leak("id")).filter("names > 0 and ids > 0")
     n, i = F.col("name"), F.col("id")
     return both.groupBy("detector").agg(F.count_if(n & i).alias("both_leak"), F.count_if(n & ~i).alias("name_only"), F.count_if(~n & i).alias("id_only"), F.count_if(~n & ~i).alias("neither"))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from privlytics.functions import redaction, tags, tokens
-from privlytics.operators import anonymization
+from privlytics.operators import anonymization, bootstrap, metrics
 from privlytics.plans.registry import ORACLE_SQL, QUERIES
 from privlytics.sources import fixtures
 
@@ -19,6 +19,7 @@ DEALT = [
     "tag5_entity_tags_of_countries",
     "met1_scores_of_countries",
     "ano8_retention_of_countries",
+    "met8_name_context",
 ]
 
 
@@ -112,3 +113,19 @@ def test_retention_by_document(spark):
     assert {r.detector: r.retention for r in got.collect()} == {d: n / total for d, n in kept.items()}
     joined = [line for line in plan_of(got) if "SortMergeJoin" in line]
     assert joined and not any("tok" in line for line in joined)
+
+
+def test_names_and_ids_are_counted_without_a_join(spark):
+    schema = "detector string, doc_id long, detected boolean"
+    names = [("d", 1, False), ("d", 1, True), ("d", 2, True), ("d", 3, True), ("d", 4, None), ("d", None, False), (None, 1, False), ("e", 1, True)]
+    ids = [("d", 1, False), ("d", 2, True), ("d", 2, False), ("d", 4, True), ("d", 5, False), ("d", None, False), (None, 1, False), ("e", 1, True)]
+    got = metrics.name_context(spark.createDataFrame(names, schema), spark.createDataFrame(ids, schema))
+    assert sorted(tuple(r) for r in got.collect()) == [("d", 1, 0, 1, 0), ("e", 0, 0, 0, 1)]
+    assert not any("Join" in line for line in plan_of(got))
+
+
+def test_subjects_are_never_sent_to_all(spark):
+    """However small Spark takes them for, by the size of the file that they are made of."""
+    some = spark.createDataFrame([("x", 1, True), ("x", 2, False)], "name string, doc_id long, detected boolean")
+    plan = plan_of(bootstrap.paired_gaps(some, some, ["doc_id"]))
+    assert any("SortMergeJoin" in line for line in plan) and not any("Broadcast" in line for line in plan)
