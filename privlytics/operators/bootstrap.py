@@ -87,7 +87,7 @@ def f1_intervals(docs: DataFrame, by: str = "detector", seed: int = SEED, replic
 
 def paired_gaps(a: DataFrame, b: DataFrame, key: list[str], by: str = "name", seed: int = SEED, replicates: int = REPLICATES, alpha: float = ALPHA) -> DataFrame:
     """Leak rate of a less that of b over the subjects that both have (by, key.., detected); significant iff the interval lies below 0."""
-    both = a.select(by, *key, (~F.col("detected")).cast("int").alias("x")).join(b.select(by, *key, (~F.col("detected")).cast("int").alias("y")), [by, *key])
+    both = a.select(by, *key, (~F.col("detected")).cast("int").alias("x")).join(b.select(by, *key, (~F.col("detected")).cast("int").alias("y")).hint("merge"), [by, *key])
     cells = both.select(by, "x", "y", F.lit(1).alias("one"))
     found = _resampled(cells, by, ["x", "y", "one"], lambda s: (s[:, 0] - s[:, 1]) / s[:, 2], "gap", seed, replicates, alpha)
     return found.withColumn("significant", F.col("ci_high") < 0)
