@@ -20,6 +20,7 @@ DEALT = [
     "met1_scores_of_countries",
     "ano8_retention_of_countries",
     "met8_name_context",
+    "boo4_paired_points",
 ]
 
 
