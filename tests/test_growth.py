@@ -16,6 +16,7 @@ from privlytics.sources import fixtures
 SF = "/root/testdata/sf0.001"
 DEALT = [
     "met6_country_counts",
+    "met7_cnp_report",
     "tag5_entity_tags_of_countries",
     "met1_scores_of_countries",
     "ano8_retention_of_countries",
