@@ -17,6 +17,7 @@ SF = "/root/testdata/sf0.001"
 DEALT = [
     "met6_country_counts",
     "met7_cnp_report",
+    "sig12_track_drivers",
     "tag5_entity_tags_of_countries",
     "met1_scores_of_countries",
     "ano8_retention_of_countries",
