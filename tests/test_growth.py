@@ -18,6 +18,7 @@ DEALT = [
     "met6_country_counts",
     "met7_cnp_report",
     "sig12_track_drivers",
+    "sub1_subjects_of_countries",
     "tag5_entity_tags_of_countries",
     "met1_scores_of_countries",
     "ano8_retention_of_countries",
