@@ -21,6 +21,7 @@ DEALT = [
     "sub1_subjects_of_countries",
     "tag5_entity_tags_of_countries",
     "met1_scores_of_countries",
+    "met6_leak_report",
     "ano8_retention_of_countries",
     "met8_name_context",
     "boo4_paired_points",
