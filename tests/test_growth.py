@@ -23,6 +23,7 @@ DEALT = [
     "met1_scores_of_countries",
     "met6_leak_report",
     "ano8_retention_of_countries",
+    "ano8_information_retention",
     "met8_name_context",
     "boo4_paired_points",
 ]
