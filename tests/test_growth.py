@@ -24,6 +24,7 @@ DEALT = [
     "met6_leak_report",
     "ano8_retention_of_countries",
     "ano8_information_retention",
+    "ano10_detection_recall",
     "met8_name_context",
     "boo4_paired_points",
 ]
