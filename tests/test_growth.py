@@ -25,6 +25,7 @@ DEALT = [
     "ano8_retention_of_countries",
     "ano8_information_retention",
     "ano10_detection_recall",
+    "met1_entity_scores",
     "met8_name_context",
     "boo4_paired_points",
 ]
