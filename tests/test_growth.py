@@ -26,6 +26,7 @@ DEALT = [
     "ano8_information_retention",
     "ano10_detection_recall",
     "met1_entity_scores",
+    "sig12_track_scores",
     "met8_name_context",
     "boo4_paired_points",
 ]
