@@ -27,6 +27,7 @@ DEALT = [
     "ano10_detection_recall",
     "met1_entity_scores",
     "sig12_track_scores",
+    "sig11_summary",
     "met8_name_context",
     "boo4_paired_points",
 ]
