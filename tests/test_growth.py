@@ -28,6 +28,7 @@ DEALT = [
     "met1_entity_scores",
     "sig12_track_scores",
     "sig11_summary",
+    "sig1_detector_gaps",
     "met8_name_context",
     "boo4_paired_points",
 ]
