@@ -29,6 +29,7 @@ DEALT = [
     "sig12_track_scores",
     "sig11_summary",
     "sig1_detector_gaps",
+    "sig2_dissociation",
     "met8_name_context",
     "boo4_paired_points",
 ]
