@@ -30,6 +30,7 @@ DEALT = [
     "sig11_summary",
     "sig1_detector_gaps",
     "sig2_dissociation",
+    "met6_national_id_leakage",
     "met8_name_context",
     "boo4_paired_points",
 ]
