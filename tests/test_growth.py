@@ -31,6 +31,7 @@ DEALT = [
     "sig1_detector_gaps",
     "sig2_dissociation",
     "met6_national_id_leakage",
+    "met7_cnp_leakage",
     "met8_name_context",
     "boo4_paired_points",
 ]
