@@ -32,6 +32,7 @@ DEALT = [
     "sig2_dissociation",
     "met6_national_id_leakage",
     "met7_cnp_leakage",
+    "met9_entity_leakage",
     "met8_name_context",
     "boo4_paired_points",
 ]
