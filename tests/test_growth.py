@@ -33,6 +33,7 @@ DEALT = [
     "met6_national_id_leakage",
     "met7_cnp_leakage",
     "met9_entity_leakage",
+    "sig3_mcnemar",
     "met8_name_context",
     "boo4_paired_points",
 ]
