@@ -34,6 +34,7 @@ DEALT = [
     "met7_cnp_leakage",
     "met9_entity_leakage",
     "sig3_mcnemar",
+    "sig9_family_leaks",
     "met8_name_context",
     "boo4_paired_points",
 ]
