@@ -35,6 +35,7 @@ DEALT = [
     "met9_entity_leakage",
     "sig3_mcnemar",
     "sig9_family_leaks",
+    "sub1_national_id_subjects",
     "met8_name_context",
     "boo4_paired_points",
 ]
