@@ -36,6 +36,7 @@ DEALT = [
     "sig3_mcnemar",
     "sig9_family_leaks",
     "sub1_national_id_subjects",
+    "sub5_entity_subjects",
     "met8_name_context",
     "boo4_paired_points",
 ]
