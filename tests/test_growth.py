@@ -39,6 +39,7 @@ DEALT = [
     "sub5_entity_subjects",
     "met8_name_context",
     "boo4_paired_points",
+    "tag1_tags_of_countries",
 ]
 
 
